@@ -234,14 +234,29 @@ INPUTS: dict[str, str] = {
                     ELSE 'CHURNED' END AS activity_status,
                rank() OVER (ORDER BY sum(total_amount) DESC NULLS FIRST) AS value_rank
         FROM silver_orders GROUP BY customer_id""",
+    "run_log": """
+        SELECT event_id AS run_id, event_type AS source_name, ts AS start_time,
+               CASE event_type WHEN 'error' THEN 'FAILED' ELSE 'SUCCESS' END AS status,
+               fetched AS records_fetched,
+               CASE event_type WHEN 'error' THEN 0 ELSE fetched - fetched // 10 END
+                   AS records_loaded,
+               CASE event_type WHEN 'error' THEN 0 ELSE fetched // 10 END AS records_quarantined
+        FROM (SELECT *, CAST(floor(value * 10) AS BIGINT) AS fetched FROM events)""",
+    "feed": r"""
+        SELECT CASE WHEN k % 29 = 0 THEN NULL ELSE CAST(k AS VARCHAR) END AS order_key,
+               CASE WHEN k % 29 = 0 OR k % 31 = 0 THEN NULL ELSE CAST(c AS VARCHAR) END
+                   AS customer_or_blank,
+               CASE WHEN k % 29 = 0 OR k % 31 = 0 OR k % 37 = 0 THEN chr(9) ELSE p END AS priority,
+               CASE WHEN k % 29 = 0 THEN 6 WHEN k % 31 = 0 THEN 5 WHEN k % 37 = 0 THEN 4 ELSE 0
+                   END AS blanks
+        FROM (SELECT o_orderkey AS k, o_custkey AS c, o_orderpriority AS p FROM orders)""",
+    "checked_feed": """
+        SELECT *, CASE WHEN blanks = 6 THEN 'COMPLETELY_EMPTY_ROW'
+                       WHEN blanks / 6 > 0.8 THEN 'TOO_MANY_NULLS_' || blanks || '_of_6_columns'
+                  END AS rejection_reason
+        FROM feed""",
 }
 
-MODELS = (
-    "silver_orders", "silver_inventory", "silver_stores", "store_performance",
-    "product_analysis", "daily_revenue", "inventory_status", "revenue_by_channel",
-    "tariff_impact", "store_targets", "channel_roi", "product_margins", "customer_360",
-)
-
 
 def with_inputs(select: str) -> str:
     """Prefix ``select`` with the named inputs it refers to, directly or not."""
@@ -253,5 +268,323 @@ def with_inputs(select: str) -> str:
     return f"WITH {', '.join(parts)} {select}" if parts else select
 
 
+# Quality ------------------------------------------------------------------------------
+
+BUSINESS_COLUMNS = {
+    "bronze_orders": (
+        "order_id", "store_id", "customer_id", "order_date", "product_sku", "quantity",
+        "unit_price", "total_amount", "order_status",
+    ),
+    "bronze_inventory": (
+        "inventory_id", "store_id", "product_sku", "product_name", "quantity_on_hand",
+        "reorder_point", "unit_cost",
+    ),
+    "bronze_stores": (
+        "store_id", "store_name", "city", "state", "country", "store_type",
+        "monthly_target", "is_active",
+    ),
+}
+NEGATIVE_COLUMNS = (
+    ("bronze_orders", "quantity"), ("bronze_orders", "unit_price"),
+    ("bronze_orders", "total_amount"), ("bronze_inventory", "quantity_on_hand"),
+    ("bronze_inventory", "reorder_point"), ("bronze_inventory", "unit_cost"),
+)
+
+
+def _check(table: str, kind: str, column: str, condition: str) -> str:
+    return (
+        f"SELECT '{table}' AS table_name, '{kind}' AS issue_type, '{column}' AS column_name, "
+        f"count(*) FILTER ({condition}) AS issue_count, count(*) AS total_records FROM {table}"
+    )
+
+
+def _null_checks() -> list[str]:
+    return [
+        _check(t, "NULL_VALUE", c, f"{c} IS NULL")
+        for t, columns in BUSINESS_COLUMNS.items()
+        for c in columns
+    ]
+
+
+def _negative_checks() -> list[str]:
+    return [_check(t, "NEGATIVE_VALUE", c, f"{c} < 0") for t, c in NEGATIVE_COLUMNS]
+
+
+def _future_checks(as_of: str) -> list[str]:
+    return [_check("bronze_orders", "FUTURE_DATE", "order_date", f"order_date > {as_of}")]
+
+
+def _duplicate_checks() -> list[str]:
+    return [
+        f"SELECT '{t}' AS table_name, 'DUPLICATE_RECORDS' AS issue_type, "
+        f"'{columns[0]}' AS column_name, "
+        f"(SELECT count(*) FROM (SELECT 1 FROM {t} GROUP BY {columns[0]} HAVING count(*) > 1)) "
+        f"AS issue_count, count(*) AS total_records FROM {t}"
+        for t, columns in BUSINESS_COLUMNS.items()
+    ]
+
+
+def _sku_checks() -> list[str]:
+    bad = "NOT regexp_full_match(product_sku, 'ELF-[0-9]{5}')"
+    return [
+        _check(t, "INVALID_SKU_FORMAT", "product_sku", bad)
+        for t in ("bronze_orders", "bronze_inventory")
+    ]
+
+
+def _all_checks() -> list[str]:
+    return [
+        *_null_checks(), *_negative_checks(), *_future_checks(AS_OF), *_duplicate_checks(),
+        *_sku_checks(),
+    ]
+
+
+def _issues(checks: list[str]) -> str:
+    return f"""
+        SELECT *, CASE issue_type
+                  WHEN 'NULL_VALUE' THEN CASE WHEN percentage > 20 THEN 'HIGH'
+                       WHEN percentage > 5 THEN 'MEDIUM' ELSE 'LOW' END
+                  WHEN 'FUTURE_DATE' THEN 'MEDIUM' ELSE 'HIGH' END AS severity,
+               issue_count || CASE issue_type
+                  WHEN 'NULL_VALUE' THEN ' NULL values (' || percentage || '%) in ' || column_name
+                  WHEN 'NEGATIVE_VALUE' THEN ' negative values in ' || column_name
+                       || ' — business rule violation'
+                  WHEN 'FUTURE_DATE' THEN ' future dates in ' || column_name
+                       || ' — impossible dates'
+                  WHEN 'DUPLICATE_RECORDS' THEN ' duplicate values in ' || column_name
+                  ELSE ' SKUs don''t match ELF-XXXXX format' END AS description
+        FROM (SELECT *, {half_up('issue_count / total_records * 100', 1)} AS percentage
+              FROM ({' UNION ALL '.join(checks)}) WHERE issue_count > 0)"""
+
+
+HEALTH = f"""
+    SELECT *, CASE WHEN health_score >= 90 THEN 'HEALTHY' WHEN health_score >= 70 THEN 'WARNING'
+              ELSE 'CRITICAL' END AS quality_status
+    FROM (SELECT table_name, max(total_records) AS total_records,
+                 count(*) FILTER (issue_count > 0) AS issues_found,
+                 CAST(sum(issue_count) AS BIGINT) AS bad_records,
+                 round(greatest(0, max(total_records) - sum(issue_count))
+                       / max(total_records) * 100, 1) AS health_score
+          FROM ({' UNION ALL '.join(_all_checks())}) GROUP BY table_name)"""
+
+SNAPSHOTS = """
+    snapshots AS (
+        SELECT 'P-' || p_partkey AS product_sku, p_name AS product_name, p_type AS category,
+               p_retailprice AS price, p_partkey % 50 AS stock_quantity,
+               p_retailprice + CASE WHEN p_partkey % 5 = 0 THEN 10 ELSE 0 END AS later_price,
+               p_partkey % 50 + CASE WHEN p_partkey % 7 = 0 THEN 1 ELSE 0 END AS later_stock,
+               p_size > 5 AS in_first, p_size < 45 AS in_second,
+               p_partkey % 5 = 0 OR p_partkey % 7 = 0 AS differs
+        FROM part)"""
+
+OTHERS: dict[str, str] = {
+    "quality_nulls": _issues(_null_checks()),
+    "quality_negatives": _issues(_negative_checks()),
+    "quality_future_dates": _issues(_future_checks("TIMESTAMP '2000-06-01'")),
+    "quality_duplicates": _issues(_duplicate_checks()),
+    "quality_patterns": _issues(_sku_checks()),
+    "health_score": HEALTH,
+    "alert_log": f"""
+        SELECT issue_type AS alert_type, table_name || ': ' || description AS message, severity,
+               {AS_OF} AS created_at
+        FROM ({_issues(_all_checks())})""",
+    "validate_rows": "SELECT order_key, priority, rejection_reason FROM checked_feed",
+    "quarantine_reasons": """
+        SELECT rejection_reason, count(*) AS rows FROM checked_feed
+        WHERE rejection_reason IS NOT NULL GROUP BY 1""",
+    "file_ingest": """
+        SELECT count(*) AS records_fetched, count(*) FILTER (blanks < 5) AS records_loaded,
+               count(*) FILTER (blanks >= 5) AS records_quarantined,
+               CAST(sum(length(customer_text)) FILTER (blanks < 5) AS BIGINT)
+                   AS kept_customer_characters,
+               round(count(*) FILTER (blanks < 5) / count(*) * 100, 1) AS load_health
+        FROM (SELECT *, customer_or_blank AS customer_text FROM checked_feed)""",
+    "relational_load": """
+        SELECT c_custkey AS C_CUSTKEY, c_name AS C_NAME, CAST(c_nationkey AS BIGINT) AS C_NATIONKEY,
+               c_acctbal AS C_ACCTBAL, c_mktsegment AS C_MKTSEGMENT FROM customer""",
+    "bytes_to_number": "SELECT o_orderkey, o_orderkey AS from_bytes FROM orders",
+    "null_profile": """
+        SELECT 'store_id' AS column_name, count(*) FILTER (store_id IS NULL) AS null_count
+        FROM bronze_orders
+        UNION ALL SELECT 'customer_id', count(*) FILTER (customer_id IS NULL)
+        FROM bronze_orders""",
+    "load_verification": """
+        SELECT count(*) >= (SELECT count(*) FROM lineitem) AS verified,
+               (SELECT count(*) FROM lineitem) AS expected_count, count(*) AS loaded_count,
+               greatest((SELECT count(*) FROM lineitem) - count(*), 0) AS missing_records,
+               CAST(12 AS BIGINT) AS column_count,
+               count(*) FILTER (store_id IS NULL) AS null_store_ids,
+               CAST(bool_or(store_id IS NULL) AS BIGINT)
+                   + CAST(bool_or(customer_id IS NULL) AS BIGINT) AS columns_with_nulls
+        FROM bronze_orders""",
+    "table_counts": " UNION ALL ".join(
+        f"SELECT '{t}' AS table_name, count(*) AS record_count FROM {t}" for t in BUSINESS_COLUMNS
+    ),
+    "stream_ingest": """
+        SELECT o_orderstatus, count(*) AS orders, CAST(sum(o_custkey) AS BIGINT) AS customer_keys
+        FROM orders GROUP BY 1""",
+    "run_statistics": """
+        SELECT count(*) AS total_pipeline_runs,
+               count(*) FILTER (status = 'SUCCESS') AS successful_runs,
+               count(*) FILTER (status = 'FAILED') AS failed_runs,
+               CAST(sum(records_loaded) AS BIGINT) AS total_records_loaded FROM run_log""",
+    "success_rate": """
+        SELECT CAST(round(avg(CASE status WHEN 'SUCCESS' THEN 100.0 ELSE 0 END)) AS BIGINT)
+                   AS success_rate
+        FROM (SELECT * FROM run_log ORDER BY start_time DESC, run_id LIMIT 20)""",
+    "run_series": """
+        SELECT 'Run ' || row_number() OVER (ORDER BY start_time, run_id DESC) AS name,
+               records_loaded AS loaded, records_quarantined AS quarantined
+        FROM (SELECT * FROM run_log ORDER BY start_time DESC, run_id LIMIT 10)""",
+    "newest_n": "SELECT * FROM run_log ORDER BY start_time DESC, run_id LIMIT 20",
+    "chart_series": """
+        SELECT left(store_name, 15) AS name, total_revenue AS value FROM store_performance
+        ORDER BY revenue_rank, store_id LIMIT 10""",
+    "result_text": """
+        SELECT product_sku, coalesce(product_name, 'N/A') AS product_name,
+               CAST(current_stock AS VARCHAR) AS current_stock,
+               coalesce(CAST(margin_pct AS VARCHAR), 'N/A') AS margin_pct FROM product_analysis""",
+    "global_rank": """
+        SELECT l_orderkey, l_linenumber, l_extendedprice,
+               rank() OVER (ORDER BY l_extendedprice DESC) AS price_rank FROM lineitem""",
+    "global_rank_ties": """
+        SELECT l_orderkey, l_linenumber, l_quantity,
+               rank() OVER (ORDER BY l_quantity DESC) AS quantity_rank FROM lineitem""",
+    "running_total": """
+        SELECT o_orderkey, o_totalprice,
+               round(sum(o_totalprice) OVER (ORDER BY o_orderkey), 2) AS total_so_far
+        FROM orders""",
+    "upsert": """
+        SELECT * FROM bronze_inventory
+        QUALIFY row_number() OVER (PARTITION BY inventory_id ORDER BY _loaded_at DESC) = 1""",
+    "scd2_history": f"""
+        WITH {SNAPSHOTS}
+        SELECT product_sku, product_name, category, price, stock_quantity,
+               TIMESTAMP '2001-01-01' AS valid_from,
+               CASE WHEN NOT in_second OR differs THEN TIMESTAMP '2001-02-01' END AS valid_to,
+               in_second AND NOT differs AS is_current, 'SYNTH_PARTS' AS _source,
+               TIMESTAMP '2001-01-01' AS _loaded_at
+        FROM snapshots WHERE in_first
+        UNION ALL
+        SELECT product_sku, product_name, category, later_price, later_stock,
+               TIMESTAMP '2001-02-01', NULL, true, 'SYNTH_PARTS', TIMESTAMP '2001-02-01'
+        FROM snapshots WHERE in_second AND (differs OR NOT in_first)""",
+    "schema_changes": f"""
+        SELECT 'CSV_CUSTOMER' AS source_name, change_type, column_name, old_value, new_value,
+               {AS_OF} AS detected_at
+        FROM (SELECT unnest([
+                  {{'change_type': 'TYPE_CHANGED', 'column_name': 'C_NATIONKEY',
+                    'old_value': CASE WHEN count(c_nationkey) = count(*) THEN 'bigint'
+                                 ELSE 'double' END,
+                    'new_value': CASE WHEN bool_and(c_nationkey <> 0) THEN 'bigint'
+                                 ELSE 'double' END}},
+                  {{'change_type': 'TYPE_CHANGED', 'column_name': 'C_ACCTBAL',
+                    'old_value': 'double',
+                    'new_value': CASE WHEN count(c_acctbal) = count(*) THEN 'bigint'
+                                 ELSE 'double' END}},
+                  {{'change_type': 'REMOVED', 'column_name': 'C_MKTSEGMENT',
+                    'old_value': 'string', 'new_value': NULL}},
+                  {{'change_type': 'ADDED', 'column_name': 'C_IN_CREDIT', 'old_value': NULL,
+                    'new_value': CASE WHEN count(c_acctbal) = count(*) THEN 'boolean'
+                                 ELSE 'string' END}}], recursive := true) FROM customer)
+        WHERE old_value IS DISTINCT FROM new_value""",
+    "volume_history": """
+        SELECT source_name, recorded_at, record_count,
+               CAST(previous AS DOUBLE) AS previous_count,
+               CAST(record_count - previous AS DOUBLE) AS change,
+               round((record_count - previous) / previous * 100, 1) AS change_pct
+        FROM (SELECT *, lag(record_count) OVER (PARTITION BY source_name ORDER BY recorded_at)
+                     AS previous
+              FROM (SELECT _source AS source_name, _loaded_at AS recorded_at,
+                           count(*) AS record_count
+                    FROM (SELECT _source, _loaded_at FROM bronze_orders
+                          UNION ALL SELECT _source, _loaded_at FROM bronze_inventory
+                          UNION ALL SELECT _source, _loaded_at FROM bronze_stores)
+                    GROUP BY 1, 2))""",
+    "pivot": """
+        SELECT strftime(order_date, '%Y-%m') AS month, """
+    + ", ".join(
+        f"round(sum(total_amount) FILTER (store_type = '{k}'), 2) AS {k.lower()}"
+        for k in ("Flagship", "Standard", "Premium", "Outlet")
+    )
+    + " FROM sold GROUP BY 1",
+    "unpivot": """
+        UNPIVOT (SELECT product_sku, total_revenue, avg_selling_price, margin_pct,
+                        CAST(revenue_rank AS DOUBLE) AS revenue_rank FROM product_analysis)
+        ON total_revenue, avg_selling_price, margin_pct, revenue_rank
+        INTO NAME metric VALUE value""",
+    "lead_dense_rank": """
+        SELECT store_type, month, units,
+               dense_rank() OVER (PARTITION BY store_type ORDER BY units DESC) AS units_rank,
+               coalesce(lead(units) OVER (PARTITION BY store_type ORDER BY month), 0)
+                   AS next_units,
+               avg(units) OVER (PARTITION BY store_type) AS mean_units
+        FROM (SELECT store_type, strftime(order_date, '%Y-%m') AS month,
+                     CAST(sum(quantity) AS BIGINT) AS units FROM sold GROUP BY 1, 2)""",
+    "stddev": """
+        SELECT product_sku, round(stddev_samp(unit_price), 6) AS price_stddev,
+               count(*) AS orders FROM silver_orders GROUP BY 1""",
+    "right_join": """
+        SELECT s.store_id, store_name, nullif(count(inventory_id), 0) AS stock_rows,
+               CAST(sum(quantity_on_hand) AS BIGINT) AS on_hand
+        FROM silver_inventory i RIGHT JOIN silver_stores s ON i.store_id = s.store_id
+        GROUP BY s.store_id, store_name""",
+    "semi_join": """
+        SELECT order_id, product_sku FROM silver_orders
+        WHERE product_sku IN (SELECT product_sku FROM silver_inventory)""",
+    "anti_join": """
+        SELECT order_id, product_sku FROM silver_orders o
+        WHERE NOT EXISTS (SELECT 1 FROM silver_inventory i WHERE i.product_sku = o.product_sku)""",
+    "date_functions": f"""
+        SELECT o_orderkey, o_orderdate + INTERVAL 30 DAY AS due,
+               CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) AS day,
+               CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS month,
+               date_diff('day', o_orderdate, {AS_OF}) AS age_days FROM orders""",
+    "text_functions": """
+        SELECT c_custkey, upper(c_name) AS upper_name, lower(c_mktsegment) AS segment,
+               c_name AS trimmed, regexp_full_match(c_name, 'Customer#[0-9]{9}') AS well_formed
+        FROM customer""",
+    "free_sql": """
+        SELECT store_id, month, round(revenue, 2) AS revenue,
+               round(revenue - lag(revenue) OVER (PARTITION BY store_id ORDER BY month), 2)
+                   AS change,
+               revenue > avg(revenue) OVER () AS above_average
+        FROM (SELECT store_id, CAST(date_trunc('month', order_date) AS TIMESTAMP) AS month,
+                     sum(total_amount) AS revenue
+              FROM sold WHERE is_active = 1 GROUP BY 1, 2)""",
+    "ask_top_store": """
+        SELECT store_id, store_name, total_revenue FROM store_performance
+        WHERE total_revenue = (SELECT max(total_revenue) FROM store_performance)""",
+    "ask_low_stock": """
+        SELECT product_sku, product_name, current_stock, reorder_point, stock_status
+        FROM product_analysis WHERE stock_status <> 'IN_STOCK'""",
+    "ask_daily_trend": """
+        SELECT order_day, daily_revenue, cumulative_revenue, day_over_day_growth_pct
+        FROM daily_revenue""",
+    "ask_negative_margin": """
+        SELECT product_sku, product_name, avg_selling_price, avg_unit_cost, unit_margin
+        FROM product_analysis WHERE unit_margin < 0""",
+    "ask_store_ranking": """
+        SELECT revenue_rank, store_id, store_name, total_revenue FROM store_performance""",
+    "ask_reorder_need": """
+        SELECT store_id, store_name, count(*) AS items_to_reorder,
+               count(*) FILTER (quantity_on_hand = 0) AS items_out_of_stock
+        FROM inventory_status WHERE quantity_on_hand <= reorder_point GROUP BY 1, 2""",
+    "ask_total_revenue": """
+        SELECT round(sum(total_revenue), 2) AS total_revenue,
+               CAST(sum(total_orders) AS BIGINT) AS total_orders FROM store_performance""",
+    "ask_top_products": """
+        SELECT product_sku, product_name, total_units_sold FROM product_analysis
+        ORDER BY total_units_sold DESC, product_sku LIMIT 3""",
+}
+
+MODELS = (
+    "silver_orders", "silver_inventory", "silver_stores", "store_performance",
+    "product_analysis", "daily_revenue", "inventory_status", "revenue_by_channel",
+    "tariff_impact", "store_targets", "channel_roi", "product_margins", "customer_360",
+)
+
+
 def statements() -> dict[str, str]:
-    return {name: with_inputs(f"SELECT * FROM {name}") for name in MODELS}
+    models = {name: f"SELECT * FROM {name}" for name in MODELS}
+    return {name: with_inputs(text) for name, text in (models | OTHERS).items()}

@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tradewind.plans import gold, silver
+from tradewind.functions.columns import bytes_to_long
+from tradewind.operators import audit, history, quality, ranking, reshape, validation
+from tradewind.plans import gold, questions, silver
+from tradewind.session import staging_path
+from tradewind.sources import files, relational
 from tradewind.sources import star_schema as star
+from tradewind.streaming import incremental
 
 AS_OF = star.AS_OF
 Query = Callable[[SparkSession, str], DataFrame]
@@ -91,6 +96,400 @@ def customer_360(spark, folder):
     return rounded(plain(model), "lifetime_value", "avg_order_value")
 
 
+# Quality -------------------------------------------------------------------------------
+
+def bronze_tables(spark, folder):
+    return {
+        "bronze_orders": star.bronze_orders(spark, folder),
+        "bronze_inventory": star.bronze_inventory(spark, folder),
+        "bronze_stores": star.bronze_stores(spark, folder),
+    }
+
+
+def quality_issues(kind: str, as_of: str = AS_OF) -> Query:
+    def query(spark, folder):
+        counts = quality.check_tables(bronze_tables(spark, folder), as_of, only=[kind])
+        return quality.issues(counts)
+
+    return query
+
+
+def health_score(spark, folder):
+    return quality.health(quality.check_tables(bronze_tables(spark, folder), AS_OF))
+
+
+def alert_log(spark, folder):
+    counts = quality.check_tables(bronze_tables(spark, folder), AS_OF)
+    return quality.alerts(quality.issues(counts), AS_OF).drop("alert_id", "resolved_at")
+
+
+# Ingest ----------------------------------------------------------------------------------
+
+FEED = ("order_key", "customer", "status", "price", "ordered", "priority")
+
+
+def order_feed(spark, folder):
+    """Orders as text cells, some rows blanked: all cells, five of six, four of six."""
+    raw = star.table(spark, folder, "orders").select(
+        F.col("o_orderkey").alias("key"),
+        *(
+            F.col(c).cast("string").alias(n)
+            for c, n in zip(
+                ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate",
+                 "o_orderpriority"), FEED,
+            )
+        ),
+    )
+
+    def cell(i: int, name: str) -> Column:
+        blank = F.lit((None, "  ", "\t")[i % 3])
+        emptied = (
+            (F.col("key") % 29 == 0)
+            | ((F.col("key") % 31 == 0) & (i > 0))
+            | ((F.col("key") % 37 == 0) & (i > 1))
+        )
+        return F.when(emptied, blank).otherwise(F.col(name)).alias(name)
+
+    return raw.select(*(cell(i, n) for i, n in enumerate(FEED)))
+
+
+def validate_rows(spark, folder):
+    return validation.with_reason(order_feed(spark, folder)).select(
+        "order_key", "priority", "rejection_reason"
+    )
+
+
+def quarantine_reasons(spark, folder):
+    checked = validation.with_reason(order_feed(spark, folder))
+    return validation.rejected(checked).groupBy("rejection_reason").agg(
+        F.count(F.lit(1)).alias("rows")
+    )
+
+
+def file_ingest(spark, folder):
+    """The feed written as CSV files, read back with inferred types, and validated."""
+    path = staging_path(spark, "feed") + ".csv"
+    order_feed(spark, folder).write.options(
+        header=True, quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    ).csv(path)
+    checked = validation.with_reason(files.read_csv(spark, path))
+    kept = F.col("rejection_reason").isNull()
+    return checked.agg(
+        F.count(F.lit(1)).alias("records_fetched"),
+        F.count_if(kept).alias("records_loaded"),
+        F.count_if(~kept).alias("records_quarantined"),
+        F.sum(F.when(kept, F.length("CUSTOMER"))).alias("kept_customer_characters"),
+    ).withColumn(
+        "load_health",
+        validation.load_health(F.col("records_fetched"), F.col("records_loaded")),
+    )
+
+
+def relational_load(spark, folder):
+    origin = relational.FolderSource(spark, folder, ("customer",))
+    rows = relational.map_types(origin.read("customer"), origin.column_types("customer"))
+    return validation.drop_all_null(rows)
+
+
+def bytes_to_number(spark, folder):
+    key = F.col("o_orderkey")
+    return star.table(spark, folder, "orders").select(
+        "o_orderkey", bytes_to_long(F.unhex(F.lpad(F.hex(key), 16, "0"))).alias("from_bytes")
+    )
+
+
+def null_profile(spark, folder):
+    return validation.null_profile(star.bronze_orders(spark, folder))
+
+
+def load_verification(spark, folder):
+    """Bronze orders against the number of line items they come from."""
+    expected = star.table(spark, folder, "lineitem").agg(F.count(F.lit(1))).scalar()
+    checked = validation.load_verification(star.bronze_orders(spark, folder), expected)
+    return checked.select(
+        "verified", "expected_count", "loaded_count", "missing_records", "column_count",
+        F.coalesce(F.col("null_summary")["store_id"], F.lit(0)).alias("null_store_ids"),
+        F.cardinality("null_summary").cast("long").alias("columns_with_nulls"),
+    )
+
+
+def table_counts(spark, folder):
+    return audit.table_counts(bronze_tables(spark, folder))
+
+
+def stream_ingest(spark, folder):
+    """Order files taken in as a stream, batch by batch, then counted by status."""
+    source = star.table(spark, folder, "orders")
+    stream = incremental.arrivals(spark, folder, source.schema, pathGlobFilter="orders.parquet")
+    loaded = incremental.load_arrivals(stream, staging_path(spark, "stream"), "FILES_ORDERS")
+    return loaded.groupBy("o_orderstatus").agg(
+        F.count(F.lit(1)).alias("orders"), F.sum("o_custkey").alias("customer_keys")
+    )
+
+
+# Run log and reports -----------------------------------------------------------------------
+
+def run_log(spark, folder):
+    """Events as pipeline runs: an error event is a run that loaded nothing."""
+    failed = F.col("event_type") == "error"
+    fetched = F.floor(F.col("value") * 10).cast("long")
+    refused = F.when(failed, F.lit(0)).otherwise(F.floor(fetched / 10).cast("long"))
+    return star.table(spark, folder, "events").select(
+        F.col("event_id").alias("run_id"),
+        F.col("event_type").alias("source_name"),
+        F.col("ts").alias("start_time"),
+        F.when(failed, "FAILED").otherwise("SUCCESS").alias("status"),
+        fetched.alias("records_fetched"),
+        F.when(failed, F.lit(0)).otherwise(fetched - refused).alias("records_loaded"),
+        refused.alias("records_quarantined"),
+    )
+
+
+def run_statistics(spark, folder):
+    return audit.run_statistics(run_log(spark, folder))
+
+
+def success_rate(spark, folder):
+    return audit.success_rate(run_log(spark, folder))
+
+
+def run_series(spark, folder):
+    return audit.run_series(run_log(spark, folder))
+
+
+def newest_n(spark, folder):
+    return audit.newest(run_log(spark, folder), "start_time", 20, "run_id")
+
+
+def chart_series(spark, folder):
+    ranking_of_stores = questions.store_ranking(store_performance(spark, folder))
+    return audit.chart_series(ranking_of_stores.select("store_name", "total_revenue"))
+
+
+def result_text(spark, folder):
+    products = product_analysis(spark, folder)
+    return audit.as_text(
+        products.select("product_sku", "product_name", "current_stock", "margin_pct")
+    )
+
+
+# Ranks, running totals, history --------------------------------------------------------------
+
+RANGE_ROWS = 10_000  # small enough that even the test data is cut into several ranges
+
+
+def global_rank(spark, folder):
+    lines = star.table(spark, folder, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_extendedprice"
+    )
+    return ranking.global_rank(lines, "l_extendedprice", "price_rank", RANGE_ROWS)
+
+
+def global_rank_ties(spark, folder):
+    """Fifty quantities over all lines: every value is shared by many rows."""
+    lines = star.table(spark, folder, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_quantity"
+    )
+    return ranking.global_rank(lines, "l_quantity", "quantity_rank", RANGE_ROWS)
+
+
+def running_total(spark, folder):
+    heads = star.table(spark, folder, "orders").select("o_orderkey", "o_totalprice")
+    totals = ranking.running_total(
+        heads, "o_orderkey", "o_totalprice", "total_so_far", RANGE_ROWS
+    )
+    return rounded(totals, "total_so_far")
+
+
+def upsert(spark, folder):
+    """The last stock delivery merged into the deliveries before it."""
+    loads = star.bronze_inventory(spark, folder)
+    last = F.lit("2001-01-05 00:00:00").cast("timestamp_ntz")
+    earlier = loads.filter(F.col("_loaded_at") < last)
+    return history.upsert(earlier, loads.filter(F.col("_loaded_at") >= last), ["inventory_id"])
+
+
+def product_snapshots(spark, folder):
+    """The product list twice: later some prices and stocks change, small sizes are
+    new and the largest are gone."""
+    parts = star.table(spark, folder, "part")
+
+    def snapshot(day: str, price: Column, stock: Column) -> DataFrame:
+        return parts.select(
+            F.concat(F.lit("P-"), F.col("p_partkey").cast("string")).alias("product_sku"),
+            F.col("p_name").alias("product_name"),
+            F.col("p_type").alias("category"),
+            price.alias("price"),
+            stock.cast("long").alias("stock_quantity"),
+            F.lit("SYNTH_PARTS").alias("_source"),
+            F.lit(day).cast("timestamp_ntz").alias("_loaded_at"),
+            "p_size",
+        )
+
+    price, stock = F.col("p_retailprice"), F.col("p_partkey") % 50
+    raised = F.when(F.col("p_partkey") % 5 == 0, price + 10).otherwise(price)
+    moved = F.when(F.col("p_partkey") % 7 == 0, stock + 1).otherwise(stock)
+    first = snapshot("2001-01-01", price, stock).filter("p_size > 5").drop("p_size")
+    second = snapshot("2001-02-01", raised, moved).filter("p_size < 45").drop("p_size")
+    return first, second
+
+
+def scd2_history(spark, folder):
+    first, second = product_snapshots(spark, folder)
+    opened = history.open_versions(first, "2001-01-01")
+    return history.apply_snapshot(opened, second, "2001-02-01", close_missing=True).drop(
+        "surrogate_key"
+    )
+
+
+def schema_changes(spark, folder):
+    """Two customer deliveries as text; their schemas are inferred from every row."""
+    customers = star.table(spark, folder, "customer")
+    before = customers.select(*(F.col(c).cast("string").alias(c) for c in customers.columns))
+    nation, balance = F.col("c_nationkey"), F.col("c_acctbal")
+    after = customers.select(
+        F.col("c_custkey").cast("string").alias("c_custkey"),
+        "c_name",
+        F.when(nation != 0, nation.cast("string")).alias("c_nationkey"),
+        F.floor(balance).cast("string").alias("c_acctbal"),
+        (balance > 0).cast("string").alias("c_in_credit"),
+    )
+    schemas = [files.typed(d, files.infer_types(d)).schema for d in (before, after)]
+    at = F.lit(AS_OF).cast("timestamp_ntz")
+    changes = history.schema_changes(spark, "CSV_CUSTOMER", *schemas)
+    return changes.drop("change_id").withColumn("detected_at", at)
+
+
+def volume_history(spark, folder):
+    lineage = [t.select("_source", "_loaded_at") for t in bronze_tables(spark, folder).values()]
+    volumes = history.volume_history(lineage[0].unionByName(lineage[1]).unionByName(lineage[2]))
+    return volumes.withColumns(
+        {c: F.col(c).cast("double") for c in ("previous_count", "change")}
+    )
+
+
+# The SQL surface: joins, windows, reshaping, functions -------------------------------------
+
+def pivot(spark, folder):
+    """Revenue per month and channel."""
+    sold = orders(spark, folder).join(
+        stores(spark, folder).select("store_id", "store_type"), "store_id"
+    ).withColumn("month", F.date_format("order_date", "yyyy-MM"))
+    kinds = ["Flagship", "Standard", "Premium", "Outlet"]
+    wide = reshape.pivot(sold, ["month"], "store_type", kinds, F.sum("total_amount"))
+    return rounded(wide.toDF("month", *(k.lower() for k in kinds)), *(k.lower() for k in kinds))
+
+
+def unpivot(spark, folder):
+    products = product_analysis(spark, folder).withColumn(
+        "revenue_rank", F.col("revenue_rank").cast("double")
+    )
+    return reshape.unpivot(
+        products, ["product_sku"],
+        ["total_revenue", "avg_selling_price", "margin_pct", "revenue_rank"], "metric", "value",
+    )
+
+
+def lead_dense_rank(spark, folder):
+    """Units per channel and month: rank in the channel, next month, channel mean."""
+    monthly = (
+        orders(spark, folder)
+        .join(stores(spark, folder).select("store_id", "store_type"), "store_id")
+        .groupBy("store_type", F.date_format("order_date", "yyyy-MM").alias("month"))
+        .agg(F.sum("quantity").alias("units"))
+    )
+    channel = Window.partitionBy("store_type")
+    return monthly.select(
+        "store_type", "month", "units",
+        F.dense_rank().over(channel.orderBy(F.col("units").desc())).cast("long")
+        .alias("units_rank"),
+        F.coalesce(F.lead("units", 1).over(channel.orderBy("month")), F.lit(0))
+        .alias("next_units"),
+        F.avg("units").over(channel).alias("mean_units"),
+    )
+
+
+def stddev(spark, folder):
+    return orders(spark, folder).groupBy("product_sku").agg(
+        F.round(F.stddev("unit_price"), 6).alias("price_stddev"),
+        F.count(F.lit(1)).alias("orders"),
+    )
+
+
+def right_join(spark, folder):
+    """Every store with its stock rows, stores without stock included."""
+    stock = inventory(spark, folder).groupBy("store_id").agg(
+        F.count(F.lit(1)).alias("stock_rows"), F.sum("quantity_on_hand").alias("on_hand")
+    )
+    named = stores(spark, folder).select("store_id", "store_name")
+    return stock.join(named, "store_id", "right").select(
+        "store_id", "store_name", "stock_rows", "on_hand"
+    )
+
+
+def _stock_keys(spark, folder):
+    return inventory(spark, folder).select("product_sku").distinct()
+
+
+def semi_join(spark, folder):
+    """Orders of products that are in stock records."""
+    return orders(spark, folder).join(_stock_keys(spark, folder), "product_sku", "left_semi").select(
+        "order_id", "product_sku"
+    )
+
+
+def anti_join(spark, folder):
+    """Orders of products without a stock record."""
+    return orders(spark, folder).join(_stock_keys(spark, folder), "product_sku", "left_anti").select(
+        "order_id", "product_sku"
+    )
+
+
+def date_functions(spark, folder):
+    ordered = F.col("o_orderdate")
+    return star.table(spark, folder, "orders").select(
+        "o_orderkey",
+        F.dateadd(ordered, 30).cast("timestamp_ntz").alias("due"),
+        F.to_date(F.date_format(ordered, "yyyy-MM-dd")).cast("timestamp_ntz").alias("day"),
+        F.date_trunc("month", ordered).cast("timestamp_ntz").alias("month"),
+        F.datediff(F.lit(AS_OF).cast("timestamp_ntz"), ordered).cast("long").alias("age_days"),
+    )
+
+
+def text_functions(spark, folder):
+    name = F.col("c_name")
+    return star.table(spark, folder, "customer").select(
+        "c_custkey",
+        F.upper(name).alias("upper_name"),
+        F.lower("c_mktsegment").alias("segment"),
+        F.trim(F.concat(F.lit("  "), name, F.lit(" "))).alias("trimmed"),
+        name.rlike(r"\ACustomer#[0-9]{9}\z").alias("well_formed"),
+    )
+
+
+FREE_SQL = """
+    WITH monthly AS (
+        SELECT store_id, date_trunc('MONTH', order_date) AS month, sum(total_amount) AS revenue
+        FROM {orders} WHERE store_id IN (SELECT store_id FROM {stores} WHERE is_active = 1)
+        GROUP BY ALL
+    )
+    SELECT store_id, CAST(month AS TIMESTAMP_NTZ) AS month, round(revenue, 2) AS revenue,
+           round(revenue - lag(revenue) OVER (PARTITION BY store_id ORDER BY month), 2) AS change,
+           revenue > (SELECT avg(revenue) FROM monthly) AS above_average
+    FROM monthly
+"""
+
+
+def free_sql(spark, folder):
+    return spark.sql(FREE_SQL, orders=orders(spark, folder), stores=stores(spark, folder))
+
+
+# Named questions ------------------------------------------------------------------------------
+
+def ask(question, model: Query) -> Query:
+    return lambda spark, folder: question(model(spark, folder))
+
+
 QUERIES: dict[str, Query] = {
     "silver_orders": orders,
     "silver_inventory": inventory,
@@ -105,4 +504,51 @@ QUERIES: dict[str, Query] = {
     "channel_roi": channel_roi,
     "product_margins": product_margins,
     "customer_360": customer_360,
+    "quality_nulls": quality_issues(quality.NULLS),
+    "quality_negatives": quality_issues(quality.NEGATIVES),
+    "quality_future_dates": quality_issues(quality.FUTURE_DATES, "2000-06-01 00:00:00"),
+    "quality_duplicates": quality_issues(quality.DUPLICATES),
+    "quality_patterns": quality_issues(quality.BAD_SKUS),
+    "health_score": health_score,
+    "alert_log": alert_log,
+    "validate_rows": validate_rows,
+    "quarantine_reasons": quarantine_reasons,
+    "file_ingest": file_ingest,
+    "relational_load": relational_load,
+    "bytes_to_number": bytes_to_number,
+    "null_profile": null_profile,
+    "load_verification": load_verification,
+    "table_counts": table_counts,
+    "stream_ingest": stream_ingest,
+    "run_statistics": run_statistics,
+    "success_rate": success_rate,
+    "run_series": run_series,
+    "newest_n": newest_n,
+    "chart_series": chart_series,
+    "result_text": result_text,
+    "global_rank": global_rank,
+    "global_rank_ties": global_rank_ties,
+    "running_total": running_total,
+    "upsert": upsert,
+    "scd2_history": scd2_history,
+    "schema_changes": schema_changes,
+    "volume_history": volume_history,
+    "pivot": pivot,
+    "unpivot": unpivot,
+    "lead_dense_rank": lead_dense_rank,
+    "stddev": stddev,
+    "right_join": right_join,
+    "semi_join": semi_join,
+    "anti_join": anti_join,
+    "date_functions": date_functions,
+    "text_functions": text_functions,
+    "free_sql": free_sql,
+    "ask_top_store": ask(questions.top_store, store_performance),
+    "ask_low_stock": ask(questions.low_stock, product_analysis),
+    "ask_daily_trend": ask(questions.daily_trend, daily_revenue),
+    "ask_negative_margin": ask(questions.negative_margin, product_analysis),
+    "ask_store_ranking": ask(questions.store_ranking, store_performance),
+    "ask_reorder_need": ask(questions.reorder_need, inventory_status),
+    "ask_total_revenue": ask(questions.total_revenue, store_performance),
+    "ask_top_products": ask(questions.top_products, product_analysis),
 }

@@ -16,6 +16,11 @@ from pyspark.sql import functions as F
 from tradewind.session import stage
 
 ROWS_PER_RANGE = 500_000
+MAX_RANGES = 4096  # beyond it ranges grow and sort on disk
+
+
+def _ranges(rows: int, rows_per_range: int) -> int:
+    return min(math.ceil(rows / rows_per_range), MAX_RANGES)
 
 
 def _cut_points(df: DataFrame, column: str, ranges: int) -> list[float]:
@@ -60,7 +65,7 @@ def global_rank(
     sizes and the ranks inside them must see the same stored doubles.
     """
     staged, rows = stage(df, "rank")
-    ranges = math.ceil(rows / rows_per_range)
+    ranges = _ranges(rows, rows_per_range)
     order = F.col(by).desc_nulls_first()
     if ranges <= 1:
         return staged.withColumn(name, F.rank().over(Window.orderBy(order)).cast("long"))
@@ -92,7 +97,7 @@ def running_total(
     ``position`` is numeric and unique, as after grouping by it.
     """
     staged, rows = stage(df, "running")
-    ranges = math.ceil(rows / rows_per_range)
+    ranges = _ranges(rows, rows_per_range)
     so_far = (Window.unboundedPreceding, Window.currentRow)
     if ranges <= 1:
         return staged.withColumn(
