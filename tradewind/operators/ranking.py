@@ -24,8 +24,10 @@ def _ranges(rows: int, rows_per_range: int) -> int:
 
 
 def _cut_points(df: DataFrame, column: str, ranges: int) -> list[float]:
+    """Distinct finite values that split the rows into about ``ranges`` parts."""
     shares = [i / ranges for i in range(1, ranges)]
-    return sorted(set(df.approxQuantile(column, shares, 0.25 / ranges)))
+    found = set(df.approxQuantile(column, shares, 0.25 / ranges))
+    return sorted(filter(math.isfinite, found)) or [0.0]
 
 
 def _with_range(df: DataFrame, column: str, cuts: list[float]) -> DataFrame:

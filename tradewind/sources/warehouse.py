@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -79,18 +80,21 @@ def names(spark: SparkSession, prefix: str = "") -> list[str]:
 def list_bronze(spark: SparkSession) -> DataFrame:
     """Bronze tables with row count and creation time, newest first."""
     tables = names(spark, "BRZ_")
+    made = spark.createDataFrame(
+        [(n, _created(spark, n)) for n in tables], "table_name string, created timestamp_ntz"
+    )
     if not tables:
-        return spark.createDataFrame([], "table_name string, record_count bigint, created string")
-    made = {n: _created(spark, n) for n in tables}
-    created = F.create_map(*(F.lit(x) for pair in made.items() for x in pair))
+        return made.select("table_name", F.lit(0).cast("long").alias("record_count"), "created")
     counts = table_counts({n: spark.table(n) for n in tables})
-    listed = counts.withColumn("created", created[F.col("table_name")])
-    return listed.orderBy(F.to_timestamp("created", "EEE MMM dd HH:mm:ss zzz yyyy").desc())
+    return counts.join(made, "table_name").orderBy(F.col("created").desc(), "table_name")
 
 
-def _created(spark: SparkSession, table: str) -> str:
+def _created(spark: SparkSession, table: str) -> dt.datetime:
+    """The catalog gives the time as text: weekday, month, day, time, zone, year."""
     described = spark.sql(f"DESCRIBE TABLE EXTENDED {table}")
-    return described.filter("col_name = 'Created Time'").first()["data_type"]
+    text = described.filter("col_name = 'Created Time'").first()["data_type"]
+    _, month, day, clock, _, year = text.split()
+    return dt.datetime.strptime(f"{month} {day} {clock} {year}", "%b %d %H:%M:%S %Y")
 
 
 def catalog_summary(spark: SparkSession) -> DataFrame:
