@@ -90,6 +90,7 @@ def test_run_reports(spark):
     assert sorted(r.loaded for r in series) == list(range(15, 25))
     assert {r.name: r.loaded for r in series}["Run 1"] == 15
     assert {r.quarantined for r in series} == {0}
+    assert audit.recent(log, "PIPELINE_RUNS").count() == 20
     assert [r.run_id for r in audit.newest(log, "start_time", 3).collect()] == ["r24", "r23", "r22"]
     none = runs(spark)
     assert tuple(audit.run_statistics(none).first()) == (0, 0, 0, 0)

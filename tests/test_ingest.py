@@ -67,8 +67,11 @@ def test_header_only_and_empty_and_long_rows(spark, tmp_path):
 
 def test_line_breaks_in_quotes(spark, tmp_path):
     path = write(tmp_path, "a,b", '1,"two', 'lines"', "2,one")
-    rows = {tuple(r) for r in files.read_csv(spark, path, multi_line=True).collect()}
+    rows = {tuple(r) for r in files.read_csv(spark, path).collect()}
     assert rows == {(1, "two\nlines"), (2, "one")}
+    assert files.has_quoted_breaks(spark, path)
+    plain = write(tmp_path, "a,b", '1,"say ""x"""', name="plain.csv")
+    assert not files.has_quoted_breaks(spark, plain)
 
 
 @pytest.mark.parametrize("row, reason", [
@@ -120,6 +123,11 @@ def test_schema_is_frozen_at_the_first_load(spark, empty_catalog, tmp_path):
     assert runs == {("SUCCESS", 1), ("FAILED", 0)}
     failed = spark.table("PIPELINE_RUNS").filter("status = 'FAILED'").first()
     assert failed.error_message
+    changes = spark.table("SCHEMA_CHANGES").collect()
+    assert {(r.change_type, r.column_name) for r in changes} == {
+        ("ADDED", "NEW"), ("REMOVED", "A"), ("TYPE_CHANGED", "B"), ("TYPE_CHANGED", "A"),
+    }
+    assert [r.record_count for r in spark.table("VOLUME_HISTORY").collect()] == [1, 1, 1]
 
 
 def test_unknown_file_kind_logs_nothing(spark, empty_catalog):

@@ -34,6 +34,19 @@ def test_run_all_and_status(spark, empty_catalog):
     assert spark.table("GOLD_DAILY_REVENUE").count() == 2
 
 
+def test_product_history_table(spark, empty_catalog):
+    def snapshot(price):
+        return spark.sql(
+            f"SELECT 'a' product_sku, 'A' product_name, 'c' category, {price}D price, "
+            "5L stock_quantity, 'S' _source, timestamp_ntz'2026-01-01' _loaded_at"
+        )
+    assert pipeline.record_products(spark, snapshot(1.0), "2026-01-01") == 1
+    assert pipeline.record_products(spark, snapshot(1.0), "2026-01-02") == 1
+    assert pipeline.record_products(spark, snapshot(2.0), "2026-01-03") == 2
+    history = spark.table(NAMES.product_history)
+    assert {(r.price, r.is_current) for r in history.collect()} == {(1.0, False), (2.0, True)}
+
+
 def test_failed_model_does_not_stop_the_others(spark, empty_catalog):
     bronze = bronze_tables(spark)
     for name in ("stores", "orders"):

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import datetime as dt
+import sys
 from collections.abc import Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# A character that is not whitespace, counting the control separators as whitespace.
-VISIBLE_CHARACTER = r"(?U)[^\s\x1c-\x1f]"
+# Every character that counts as whitespace, from all scripts.
+WHITESPACE = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isspace())
 
 
 def as_of_timestamp(as_of: dt.datetime | str | None = None) -> Column:
@@ -26,7 +27,7 @@ def has_text(column: Column) -> Column:
 
 def is_blank(column: Column) -> Column:
     """Null or nothing but whitespace of any kind."""
-    return column.isNull() | ~column.cast("string").rlike(VISIBLE_CHARACTER)
+    return column.isNull() | (F.ltrim(column.cast("string"), F.lit(WHITESPACE)) == "")
 
 
 def matches_whole(column: Column, pattern: str) -> Column:

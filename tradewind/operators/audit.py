@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from tradewind import rules
 from tradewind.functions.columns import display_text
 
+REPORTS = {
+    "PIPELINE_RUNS": ("start_time", "run_id", rules.RUNS_SHOWN),
+    "QUARANTINE_RECORDS": ("quarantined_at", "quarantine_id", rules.QUARANTINE_SHOWN),
+    "ALERT_LOG": ("created_at", "alert_id", rules.ALERTS_SHOWN),
+    "QUERY_HISTORY": ("asked_at", "query_id", rules.QUERIES_SHOWN),
+}
 LEADING_NUMBER = r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)"
 
 
@@ -16,6 +22,12 @@ def newest(df: DataFrame, moment: str, n: int, *ties: str) -> DataFrame:
     return df.orderBy(F.col(moment).desc(), *ties).limit(n)
 
 
+def recent(log: DataFrame, table: str) -> DataFrame:
+    """The newest entries of an operations table, as many as its report shows."""
+    moment, key, n = REPORTS[table]
+    return newest(log, moment, n, key)
+
+
 def run_statistics(runs: DataFrame) -> DataFrame:
     """Runs in total, by outcome, and rows loaded. Zeros for an empty log."""
     return runs.agg(

@@ -15,5 +15,7 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column])
     shuffle, so a key with very many copies sends one row per input partition.
     """
     window = Window.partitionBy(*keys).orderBy(*order)
-    keyed = df.dropna(how="any", subset=list(keys))
+    keyed = df
+    for key in keys:
+        keyed = keyed.filter(F.col(key).isNotNull())
     return keyed.withColumn("_rn", F.row_number().over(window)).filter("_rn = 1").drop("_rn")

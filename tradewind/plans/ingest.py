@@ -8,9 +8,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tradewind.functions.columns import as_of_timestamp
-from tradewind.operators import validation
+from tradewind.operators import history, validation
 from tradewind.sources import files, ops, relational, warehouse
 
 
@@ -51,6 +52,8 @@ def _logged(
     line = (run_id, source, start, end, status, fetched, loaded, refused,
             error and error[:1000], seconds)
     ops.append_rows(spark, "PIPELINE_RUNS", [line])
+    if not error:
+        ops.append_rows(spark, "VOLUME_HISTORY", [(f"V-{run_id}", source, loaded, end)])
     if error:
         return {"status": "error", "run_id": run_id, "message": error}
     return {"status": "success", "run_id": run_id, "duration_seconds": seconds,
@@ -65,6 +68,15 @@ def _write_counted(df: DataFrame, keep, table: str) -> tuple[int, int]:
     return seen.get["rows"], kept.get["rows"]
 
 
+def _note_schema(batch: DataFrame, table: str, source: str, at: dt.datetime) -> None:
+    """Log how a batch differs from its table, also when the load then fails."""
+    spark = batch.sparkSession
+    if spark.catalog.tableExists(table):
+        stored = [f for f in spark.table(table).schema if not f.name.startswith("_")]
+        changes = history.schema_changes(spark, source, T.StructType(stored), batch.schema, at)
+        ops.append(changes, "SCHEMA_CHANGES")
+
+
 def load_batch(
     batch: DataFrame, table: str, source: str, run_id: str, at: dt.datetime, file_name: str
 ) -> dict:
@@ -73,6 +85,7 @@ def load_batch(
     The batch is read twice, for good and for bad rows, rather than held in
     memory; without bad rows the second pass is left out.
     """
+    _note_schema(batch, table, source, at)
     checked = validation.with_reason(batch)
 
     def good(df: DataFrame) -> DataFrame:
@@ -87,7 +100,7 @@ def load_batch(
 
 
 def load_csv_to_bronze(
-    spark: SparkSession, path: str, table_name: str, multi_line: bool = False
+    spark: SparkSession, path: str, table_name: str, multi_line: bool | None = None
 ) -> dict:
     """One CSV file, or a folder of files under one header, into ``BRZ_<table_name>``."""
     file_name = path.rstrip("/").rsplit("/", 1)[-1]

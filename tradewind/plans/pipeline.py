@@ -10,10 +10,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tradewind.operators import quality
+from tradewind.operators import history, quality
 from tradewind.plans import gold, silver
 from tradewind.rules import TableNames
-from tradewind.session import stage
+from tradewind.session import stage, staging_scope
 from tradewind.sources import ops, warehouse
 
 
@@ -100,7 +100,8 @@ def run_all(spark: SparkSession, as_of=None, names: TableNames = TableNames()) -
     """Build every model; ``partial`` when some failed."""
     start = time.monotonic()
     ops.create_if_missing(spark, names.product_history, ops.PRODUCT_HISTORY)
-    outcomes = [run_model(m) for m in models(spark, as_of, names)]
+    with staging_scope(spark):
+        outcomes = [run_model(m) for m in models(spark, as_of, names)]
     done = [o for o in outcomes if o["status"] == "SUCCESS"]
     failed = [o for o in outcomes if o["status"] != "SUCCESS"]
     return {
@@ -115,6 +116,17 @@ def run_all(spark: SparkSession, as_of=None, names: TableNames = TableNames()) -
     }
 
 
+def record_products(
+    spark: SparkSession, snapshot: DataFrame, at, names: TableNames = TableNames(),
+    close_missing: bool = False,
+) -> int:
+    """Bring the product history table up to ``snapshot``, one row per SKU."""
+    ops.create_if_missing(spark, names.product_history, ops.PRODUCT_HISTORY)
+    past = spark.table(names.product_history)
+    present = history.apply_snapshot(past, snapshot, at, close_missing)
+    return warehouse.swap(present, names.product_history)
+
+
 def status(spark: SparkSession, names: TableNames = TableNames()) -> DataFrame:
     return warehouse.layer_status(spark, {m.table: m.layer for m in models(spark, names=names)})
 

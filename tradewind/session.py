@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -45,6 +47,9 @@ def staging_path(spark: SparkSession, label: str) -> str:
     return f"{staging_root(spark)}/tradewind/{label}-{uuid.uuid4().hex}"
 
 
+_staged: list[str] = []
+
+
 def stage(df: DataFrame, label: str) -> tuple[DataFrame, int]:
     """Write ``df`` to the shared folder; return the written table and its row count.
 
@@ -53,6 +58,21 @@ def stage(df: DataFrame, label: str) -> tuple[DataFrame, int]:
     after losing an executor it would repeat the whole upstream plan.
     """
     path = staging_path(df.sparkSession, label)
+    _staged.append(path)
     seen = Observation(label)
     df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), seen.get["rows"]
+
+
+@contextmanager
+def staging_scope(spark: SparkSession) -> Iterator[None]:
+    """Delete what was staged inside the block. Write results to tables before it ends."""
+    before = len(_staged)
+    try:
+        yield
+    finally:
+        configuration = spark._jsc.hadoopConfiguration()
+        for path in _staged[before:]:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(configuration).delete(folder, True)
+        del _staged[before:]

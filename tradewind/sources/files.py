@@ -39,12 +39,23 @@ def clean_columns(df: DataFrame) -> DataFrame:
     return df.toDF(*clean_names(df.columns))
 
 
-def read_text_cells(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+def has_quoted_breaks(spark: SparkSession, path: str) -> bool:
+    """True when a line break stands inside quotes: some line then has an odd number of them."""
+    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
+    return not spark.read.text(path).filter(quotes % 2 == 1).isEmpty()
+
+
+def read_text_cells(
+    spark: SparkSession, path: str, multi_line: bool | None = None
+) -> DataFrame:
     """Every cell as text, null tokens as null, columns under their cleaned names.
 
-    Files split at line ends and load in parallel. ``multi_line`` allows line
-    breaks inside quotes, at the price of one task per file.
+    Files split at line ends and load in parallel, unless a line break stands
+    inside quotes: then a file is one task. A known ``multi_line`` saves the
+    pass that looks for such breaks.
     """
+    if multi_line is None:
+        multi_line = has_quoted_breaks(spark, path)
     reader = spark.read.options(quote='"', escape='"', multiLine=multi_line)
     header = reader.option("header", False).csv(path).first()
     if header is None:
@@ -110,7 +121,7 @@ def typed(cells: DataFrame, types: dict[str, str]) -> DataFrame:
     )
 
 
-def read_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, multi_line: bool | None = None) -> DataFrame:
     """A CSV file, or a folder of files with one header, as a typed table."""
     cells = read_text_cells(spark, path, multi_line)
     return typed(cells, infer_types(cells))
