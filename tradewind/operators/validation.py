@@ -17,13 +17,13 @@ def rejection_reason(
 ) -> Column:
     """Why a row is refused, or null for a row to keep."""
     n = len(columns)
-    blanks = sum((is_blank(F.col(f"`{c}`")).cast("int") for c in columns), F.lit(0))
-    too_many = F.concat(
-        F.lit("TOO_MANY_NULLS_"), blanks.cast("string"), F.lit(f"_of_{n}_columns")
-    )
-    return F.when(blanks == n, "COMPLETELY_EMPTY_ROW").when(
-        blanks / F.lit(n) > blank_limit, too_many
-    )
+    # One reason per possible number of blanks, so a row's blanks are counted once.
+    reasons = [
+        f"TOO_MANY_NULLS_{blanks}_of_{n}_columns" if blanks / n > blank_limit else None
+        for blanks in range(n)
+    ]
+    by_blanks = F.array(*(F.lit(r).cast("string") for r in [*reasons, "COMPLETELY_EMPTY_ROW"]))
+    return by_blanks[sum((is_blank(F.col(f"`{c}`")).cast("int") for c in columns), F.lit(0))]
 
 
 def with_reason(df: DataFrame, blank_limit: float = rules.BLANK_SHARE_LIMIT) -> DataFrame:
