@@ -116,6 +116,30 @@ def test_stream_takes_each_file_once(spark, tmp_path):
     assert {r._RUN_ID for r in loaded.collect()} == {"batch-0", "batch-1"}
 
 
+def test_stream_cycle_rebuilds_the_models(spark, empty_catalog, tmp_path):
+    tables = source_tables(spark)
+    for name, df in tables.items():
+        df.write.parquet(str(tmp_path / "in" / name))
+    streams = {
+        n: incremental.arrivals(spark, str(tmp_path / "in" / n), df.schema)
+        for n, df in tables.items()
+    }
+    store = str(tmp_path / "store")
+    first = incremental.stream_cycle(spark, streams, store, AS_OF)
+    assert first["transform"]["status"] == "success", first["transform"]["errors"]
+    assert {r.health_score for r in first["health"].collect()} == {100.0}
+    more = tables["orders"].selectExpr(
+        *("order_id + 100 as order_id" if c == "order_id" else c for c in tables["orders"].columns)
+    )
+    more.write.mode("append").parquet(str(tmp_path / "in" / "orders"))
+    second = incremental.stream_cycle(spark, streams, store, AS_OF)
+    counts = {t["table"]: t["records"] for t in second["transform"]["silver_tables"]}
+    assert counts == {NAMES.silver("orders"): 20, NAMES.silver("stores"): 5,
+                      NAMES.silver("inventory"): 10}
+    top = spark.table("GOLD_STORE_PERFORMANCE").filter("revenue_rank = 1").first()
+    assert (top.store_id, top.total_revenue, top.unique_customers) == (2, 188.0, 3)
+
+
 def test_quality_log_times(spark, empty_catalog):
     warehouse.append(bronze_tables(spark, syncs=2)["orders"], "BRZ_X")
     pipeline.check_quality(spark, ["BRZ_X"], AS_OF, dt.datetime(2026, 5, 1))

@@ -45,8 +45,9 @@ def percent(numerator: Column, denominator: Column, digits: int = 1) -> Column:
 
 
 def day_of(moment: Column) -> Column:
-    """Midnight of the day, as a zone-free timestamp."""
-    return F.date_trunc("day", moment).cast("timestamp_ntz")
+    """Midnight of the day, as a zone-free timestamp. Going through the date avoids
+    ``date_trunc``, whose result depends on the session's time zone."""
+    return F.to_date(moment).cast("timestamp_ntz")
 
 
 def days_between(start: Column, end: Column) -> Column:

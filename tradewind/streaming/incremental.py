@@ -37,9 +37,9 @@ def load_arrivals(
         run_id, at = f"batch-{number}", dt.datetime.now()
         checked = validation.with_reason(batch)
         good = ingest.add_lineage(validation.accepted(checked), source, run_id, at)
-        good.write.mode("overwrite").parquet(f"{accepted}/batch={number}")
+        good.write.mode("overwrite").parquet(f"{accepted}/_batch={number}")
         bad = validation.quarantine_rows(checked, run_id, source, as_of_timestamp(at))
-        bad.write.mode("overwrite").parquet(f"{refused}/batch={number}")
+        bad.write.mode("overwrite").parquet(f"{refused}/_batch={number}")
         if after is not None:
             after()
 
@@ -53,6 +53,26 @@ def load_arrivals(
     return stream.sparkSession.read.parquet(accepted)
 
 
+def publish(spark: SparkSession, path: str, table: str) -> None:
+    """Make what ``load_arrivals`` stored under ``path`` readable as a Bronze table."""
+    if not spark.catalog.tableExists(table):
+        spark.catalog.createTable(table, path=f"{path}/accepted", source="parquet")
+    spark.catalog.recoverPartitions(table)
+
+
+def stream_cycle(
+    spark: SparkSession, streams: dict[str, DataFrame], path: str, as_of=None,
+    names: TableNames = TableNames(),
+) -> dict:
+    """One round over new files of each entity: store, check Bronze, rebuild Silver and Gold."""
+    for entity, stream in streams.items():
+        table = names.bronze(entity)
+        load_arrivals(stream, f"{path}/{entity}", f"FILES_{entity.upper()}")
+        publish(spark, f"{path}/{entity}", table)
+    health = pipeline.check_quality(spark, [names.bronze(e) for e in streams], as_of)
+    return {"health": health, "transform": pipeline.run_all(spark, as_of, names)}
+
+
 def run_cycle(
     spark: SparkSession, origin, as_of=None, names: TableNames = TableNames()
 ) -> dict:
