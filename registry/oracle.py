@@ -171,7 +171,7 @@ INPUTS: dict[str, str] = {
     "store_targets": """
         SELECT store_id, store_name, city, state, country, store_type, monthly_target,
                count(DISTINCT order_id) AS total_orders,
-               round(sum(total_amount), 2) AS actual_revenue,
+               round(sum(total_amount), 6) AS actual_revenue,
                round(monthly_target - sum(total_amount), 2) AS target_gap,
                round(sum(total_amount) / nullif(monthly_target, 0) * 100, 2)
                    AS target_achievement_pct,
@@ -201,13 +201,13 @@ INPUTS: dict[str, str] = {
         SELECT o.product_sku, max(product_name) AS product_name,
                count(DISTINCT order_id) AS total_orders,
                CAST(sum(quantity) AS BIGINT) AS total_units_sold,
-               round(avg(unit_price), 2) AS avg_selling_price,
+               round(avg(unit_price), 6) AS avg_selling_price,
                round(avg(unit_cost), 4) AS avg_unit_cost,
-               round(sum(total_amount), 2) AS total_revenue,
+               round(sum(total_amount), 6) AS total_revenue,
                round(avg(unit_price) - avg(unit_cost), 2) AS gross_margin_per_unit,
                round((avg(unit_price) - avg(unit_cost)) / nullif(avg(unit_price), 0) * 100, 2)
                    AS gross_margin_pct,
-               round(sum(quantity * (unit_price - coalesce(unit_cost, 0))), 2)
+               round(sum(quantity * (unit_price - coalesce(unit_cost, 0))), 4)
                    AS total_gross_profit,
                CASE WHEN sum(total_amount) >= 10000 THEN 'HERO_PRODUCT'
                     WHEN sum(total_amount) >= 5000 THEN 'STRONG_PRODUCT'
@@ -218,7 +218,7 @@ INPUTS: dict[str, str] = {
         GROUP BY o.product_sku""",
     "customer_360": f"""
         SELECT customer_id, count(DISTINCT order_id) AS total_orders,
-               round(sum(total_amount), 2) AS lifetime_value,
+               round(sum(total_amount), 6) AS lifetime_value,
                round(avg(total_amount), 2) AS avg_order_value,
                min(order_date) AS first_order_date, max(order_date) AS last_order_date,
                date_diff('day', min(order_date), max(order_date)) AS customer_age_days,

@@ -19,9 +19,13 @@ AS_OF = star.AS_OF
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def rounded(df: DataFrame, *columns: str) -> DataFrame:
-    """Money to two places: double sums differ in the last bits between engines."""
-    return df.withColumns({c: F.round(c, 2) for c in columns})
+def rounded(df: DataFrame, *columns: str, digits: int = 2) -> DataFrame:
+    """Double sums differ in the last bits between engines, so money is rounded.
+
+    Amounts have up to six decimals. Six digits leave no ties in the small sums per
+    product or customer; means and the few large sums need two, far above their last bits.
+    """
+    return df.withColumns({c: F.round(c, digits) for c in columns})
 
 
 def plain(df: DataFrame) -> DataFrame:
@@ -77,7 +81,7 @@ def tariff_impact(spark, folder):
 
 def store_targets(spark, folder):
     model = gold.store_targets(sales(spark, folder), stores(spark, folder), AS_OF)
-    return rounded(plain(model), "actual_revenue", "avg_order_value")
+    return rounded(rounded(plain(model), "actual_revenue", digits=6), "avg_order_value")
 
 
 def channel_roi(spark, folder):
@@ -87,13 +91,13 @@ def channel_roi(spark, folder):
 
 def product_margins(spark, folder):
     model = gold.product_margins(orders(spark, folder), inventory(spark, folder), AS_OF)
-    money = rounded(plain(model), "avg_selling_price", "total_revenue", "total_gross_profit")
-    return money.withColumn("avg_unit_cost", F.round("avg_unit_cost", 4))
+    money = rounded(plain(model), "avg_selling_price", "total_revenue", digits=6)
+    return rounded(money, "avg_unit_cost", "total_gross_profit", digits=4)
 
 
 def customer_360(spark, folder):
     model = gold.customer_360(orders(spark, folder), AS_OF)
-    return rounded(plain(model), "lifetime_value", "avg_order_value")
+    return rounded(rounded(plain(model), "lifetime_value", digits=6), "avg_order_value")
 
 
 # Quality -------------------------------------------------------------------------------

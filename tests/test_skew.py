@@ -62,7 +62,7 @@ def shop(spark):
 
 
 def money(df, *columns):
-    return rounded(plain(df), *columns)
+    return rounded(plain(df), *columns, digits=6)
 
 
 MODELS = {
