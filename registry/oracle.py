@@ -68,8 +68,10 @@ INPUTS: dict[str, str] = {
         FROM (SELECT * FROM bronze_orders WHERE order_id IS NOT NULL
               QUALIFY row_number() OVER (PARTITION BY order_id
                   ORDER BY _loaded_at DESC NULLS FIRST, total_amount DESC NULLS LAST,
-                  product_sku, store_id, quantity, unit_price, customer_id, order_date,
-                  order_status) = 1)
+                  store_id DESC NULLS LAST, customer_id DESC NULLS LAST,
+                  order_date DESC NULLS LAST, product_sku DESC NULLS LAST,
+                  quantity DESC NULLS LAST, unit_price DESC NULLS LAST,
+                  order_status DESC NULLS LAST) = 1)
         WHERE store_id IS NOT NULL AND customer_id IS NOT NULL AND order_date <= {AS_OF}
           AND least(quantity, unit_price, total_amount) > 0
           AND regexp_full_match(product_sku, 'ELF-[0-9]{{5}}')""",
@@ -79,8 +81,10 @@ INPUTS: dict[str, str] = {
                {AS_OF} AS _silver_loaded_at
         FROM (SELECT * FROM bronze_inventory WHERE inventory_id IS NOT NULL
               QUALIFY row_number() OVER (PARTITION BY inventory_id
-                  ORDER BY _loaded_at DESC NULLS FIRST, product_sku, store_id, product_name,
-                  quantity_on_hand, reorder_point, unit_cost) = 1)
+                  ORDER BY _loaded_at DESC NULLS FIRST, store_id DESC NULLS LAST,
+                  product_sku DESC NULLS LAST, product_name DESC NULLS LAST,
+                  quantity_on_hand DESC NULLS LAST, reorder_point DESC NULLS LAST,
+                  unit_cost DESC NULLS LAST) = 1)
         WHERE product_sku IS NOT NULL AND store_id IS NOT NULL
           AND trim(product_name) <> '' AND quantity_on_hand >= 0 AND unit_cost > 0""",
     "silver_stores": f"""
@@ -515,6 +519,7 @@ OTHERS: dict[str, str] = {
         INTO NAME metric VALUE value""",
     "lead_dense_rank": """
         SELECT store_type, month, units,
+               row_number() OVER (PARTITION BY store_type ORDER BY month) AS month_number,
                dense_rank() OVER (PARTITION BY store_type ORDER BY units DESC) AS units_rank,
                coalesce(lead(units) OVER (PARTITION BY store_type ORDER BY month), 0)
                    AS next_units,

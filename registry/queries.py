@@ -405,6 +405,7 @@ def lead_dense_rank(spark, folder):
     channel = Window.partitionBy("store_type")
     return monthly.select(
         "store_type", "month", "units",
+        F.row_number().over(channel.orderBy("month")).cast("long").alias("month_number"),
         F.dense_rank().over(channel.orderBy(F.col("units").desc())).cast("long")
         .alias("units_rank"),
         F.coalesce(F.lead("units", 1).over(channel.orderBy("month")), F.lit(0))

@@ -61,9 +61,23 @@ def test_running_total_equals_plain_window(spark, rows_per_range):
     assert got == want
 
 
-def test_latest_per_key_limits_rows_before_the_shuffle(spark):
+def test_latest_per_key_combines_before_the_shuffle(spark):
     df = spark.range(1000).selectExpr("id % 3 as k", "id as t", "id * 2 as v")
-    newest = latest_per_key(df, ["k"], [F.col("t").desc()])
-    assert {(r.k, r.t) for r in newest.collect()} == {(0, 999), (1, 997), (2, 998)}
-    plan = newest._jdf.queryExecution().sparkPlan().toString()
-    assert "WindowGroupLimit" in plan and "Partial" in plan
+    newest = latest_per_key(df, ["k"], "t")
+    assert {(r.k, r.t, r.v) for r in newest.collect()} == {
+        (0, 999, 1998), (1, 997, 1994), (2, 998, 1996),
+    }
+    assert newest.columns == df.columns
+    assert "partial_max" in newest._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_latest_per_key_ties_and_nulls(spark):
+    rows = [
+        ("a", 1, 5, "x"), ("a", 2, 1, "y"), ("a", 2, None, "z"),  # larger tie wins
+        ("b", 9, 9, "x"), ("b", None, 0, "y"),  # no date sorts as the newest
+        ("c", 1, None, None), ("c", 1, None, "q"),
+        (None, 7, 7, "x"),
+    ]
+    df = spark.createDataFrame(rows, "k string, t int, v int, w string")
+    got = {tuple(r) for r in latest_per_key(df, ["k"], "t", ["v"]).collect()}
+    assert got == {("a", 2, 1, "y"), ("b", None, 0, "y"), ("c", 1, None, "q")}

@@ -29,10 +29,10 @@ def run(df) -> None:
     df.write.format("noop").mode("overwrite").save()
 
 
-def dedup_by_aggregate(bronze):
-    row = F.struct(*silver.ORDER_COLUMNS)
-    newest = F.max_by(row, F.struct("_loaded_at", "total_amount"))
-    return bronze.filter("order_id is not null").groupBy("order_id").agg(newest.alias("r"))
+def dedup_by_window(bronze):
+    newest_first = Window.partitionBy("order_id").orderBy(F.col("_loaded_at").desc_nulls_first())
+    rows = bronze.select(*silver.ORDER_COLUMNS).filter("order_id is not null")
+    return rows.withColumn("n", F.row_number().over(newest_first)).filter("n = 1")
 
 
 def margins_by_join(orders, inventory):
@@ -85,8 +85,8 @@ def main() -> None:
         return spark.table(names.silver("inventory"))
 
     variants = {
-        "dedup: row_number": lambda: run(silver.silver_orders(bronze, q.AS_OF)),
-        "dedup: max_by": lambda: run(dedup_by_aggregate(bronze)),
+        "dedup: maximum of the row": lambda: run(silver.silver_orders(bronze, q.AS_OF)),
+        "dedup: row_number": lambda: run(dedup_by_window(bronze)),
         "margins: aggregate, then join": lambda: run(
             gold.product_margins(orders(), inventory(), q.AS_OF)),
         "margins: join, then aggregate": lambda: run(margins_by_join(orders(), inventory())),

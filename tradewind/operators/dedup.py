@@ -4,18 +4,28 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """Keep the first row of every key under ``order``; drop rows with a null key.
+def latest_per_key(
+    df: DataFrame, keys: Sequence[str], newest: str, ties: Sequence[str] = ()
+) -> DataFrame:
+    """The row with the largest ``newest`` per key; rows with a null key are dropped.
 
-    Spark turns the ``= 1`` filter into a group limit that also runs before the
-    shuffle, so a key with very many copies sends one row per input partition.
+    A null ``newest`` counts as the largest, as in a descending sort with nulls
+    first. Among equals the largest ``ties`` win, then the largest remaining
+    columns, so the choice does not depend on how the rows arrive.
+
+    The maximum of a struct is a plain aggregate: it sorts by the key only and
+    combines before the shuffle, so a key with very many copies sends one row
+    per input partition.
     """
-    window = Window.partitionBy(*keys).orderBy(*order)
+    order = [newest, *ties]
+    order += [c for c in df.columns if c not in order and c not in keys]
+    row = F.struct(F.col(newest).isNull().alias("_undated"), *order)
     keyed = df
     for key in keys:
         keyed = keyed.filter(F.col(key).isNotNull())
-    return keyed.withColumn("_rn", F.row_number().over(window)).filter("_rn = 1").drop("_rn")
+    picked = keyed.groupBy(*keys).agg(F.max(row).alias("_row"))
+    return picked.select(*(c if c in keys else F.col(f"_row.{c}").alias(c) for c in df.columns))

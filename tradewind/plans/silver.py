@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tradewind import rules
@@ -23,27 +23,10 @@ STORE_COLUMNS = (
 )
 
 
-def _newest_first(*ties: Column) -> list[Column]:
-    """Load time decides; the remaining columns only make equal load times repeatable."""
-    return [F.col("_loaded_at").desc_nulls_first(), *ties]
-
-
-def _ascending(*columns: str) -> list[Column]:
-    return [F.col(c).asc_nulls_last() for c in columns]
-
-
 def silver_orders(bronze: DataFrame, as_of=None, sku: str = rules.sku_pattern()) -> DataFrame:
     """The newest row of an order counts even if invalid: the order then drops out."""
     newest = latest_per_key(
-        bronze.select(*ORDER_COLUMNS),
-        ["order_id"],
-        _newest_first(
-            F.col("total_amount").desc_nulls_last(),
-            *_ascending(
-                "product_sku", "store_id", "quantity", "unit_price", "customer_id",
-                "order_date", "order_status",
-            ),
-        ),
+        bronze.select(*ORDER_COLUMNS), ["order_id"], "_loaded_at", ["total_amount"]
     )
     valid = (
         F.col("store_id").isNotNull()
@@ -60,16 +43,7 @@ def silver_orders(bronze: DataFrame, as_of=None, sku: str = rules.sku_pattern())
 
 
 def silver_inventory(bronze: DataFrame, as_of=None) -> DataFrame:
-    newest = latest_per_key(
-        bronze.select(*INVENTORY_COLUMNS),
-        ["inventory_id"],
-        _newest_first(
-            *_ascending(
-                "product_sku", "store_id", "product_name", "quantity_on_hand",
-                "reorder_point", "unit_cost",
-            )
-        ),
-    )
+    newest = latest_per_key(bronze.select(*INVENTORY_COLUMNS), ["inventory_id"], "_loaded_at")
     valid = (
         F.col("product_sku").isNotNull()
         & F.col("store_id").isNotNull()
@@ -87,15 +61,6 @@ def silver_stores(bronze: DataFrame, as_of=None, dedup: bool = False) -> DataFra
     """
     stores = bronze.select(*STORE_COLUMNS)
     if dedup:
-        stores = latest_per_key(
-            stores,
-            ["store_id"],
-            _newest_first(
-                *_ascending(
-                    "store_name", "city", "state", "country", "store_type",
-                    "monthly_target", "is_active",
-                )
-            ),
-        )
+        stores = latest_per_key(stores, ["store_id"], "_loaded_at")
     named = F.col("store_id").isNotNull() & has_text(F.col("store_name"))
     return stores.filter(named).withColumn("_silver_loaded_at", as_of_timestamp(as_of))
