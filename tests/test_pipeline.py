@@ -14,6 +14,26 @@ def shop_source(spark):
     return Source({f"{NAMES.code.lower()}_{n}": df for n, df in source_tables(spark).items()})
 
 
+def test_run_all_leaves_no_staged_data_of_its_own(spark, empty_catalog):
+    import os
+
+    from tradewind.session import stage, staging_root
+
+    other, _ = stage(spark.range(3), "other")
+    folder = staging_root(spark).removeprefix("file:") + "/tradewind"
+    before = set(os.listdir(folder))
+    for name, df in bronze_tables(spark).items():
+        warehouse.append(df, NAMES.bronze(name))
+    assert pipeline.run_all(spark, AS_OF)["status"] == "success"
+    assert set(os.listdir(folder)) == before
+    assert other.count() == 3
+    assert pipeline.check_all_bronze(spark, AS_OF).count() == 3
+
+
+def test_nothing_to_check(spark, empty_catalog):
+    assert pipeline.check_all_bronze(spark, AS_OF).count() == 0
+
+
 def test_run_all_and_status(spark, empty_catalog):
     for name, df in bronze_tables(spark).items():
         warehouse.append(df, NAMES.bronze(name))

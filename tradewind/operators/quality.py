@@ -18,6 +18,10 @@ from tradewind.functions.columns import as_of_timestamp, matches_whole, percent,
 NULLS, NEGATIVES, FUTURE_DATES = "NULL_VALUE", "NEGATIVE_VALUE", "FUTURE_DATE"
 DUPLICATES, BAD_SKUS = "DUPLICATE_RECORDS", "INVALID_SKU_FORMAT"
 ALL_CHECKS = (NULLS, NEGATIVES, FUTURE_DATES, DUPLICATES, BAD_SKUS)
+HEALTH_SCHEMA = (
+    "table_name string, total_records bigint, issues_found bigint, bad_records bigint, "
+    "health_score double, quality_status string"
+)
 SEVERITIES = {
     NEGATIVES: "HIGH", FUTURE_DATES: "MEDIUM", DUPLICATES: "HIGH", BAD_SKUS: "HIGH",
 }

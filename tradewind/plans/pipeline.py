@@ -8,6 +8,7 @@ import time
 import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
+from contextvars import copy_context
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -114,7 +115,12 @@ def run_all(
     planned = models(spark, as_of, names)
     with staging_scope(spark), ThreadPoolExecutor(parallel) as submit:
         for layer in ("SILVER", "GOLD"):
-            outcomes += submit.map(run_model, [m for m in planned if m.layer == layer])
+            running = [
+                submit.submit(copy_context().run, run_model, m)
+                for m in planned
+                if m.layer == layer
+            ]
+            outcomes += [r.result() for r in running]
     done = [o for o in outcomes if o["status"] == "SUCCESS"]
     failed = [o for o in outcomes if o["status"] != "SUCCESS"]
     return {
@@ -148,6 +154,8 @@ def check_quality(
     spark: SparkSession, tables: list[str], as_of=None, logged_at: dt.datetime | None = None
 ) -> DataFrame:
     """Check Bronze tables, log an alert per issue, return health per table."""
+    if not tables:
+        return spark.createDataFrame([], quality.HEALTH_SCHEMA)
     counts, _ = stage(
         quality.check_tables({t: spark.table(t) for t in tables}, as_of), "checks"
     )

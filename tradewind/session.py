@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -47,7 +48,7 @@ def staging_path(spark: SparkSession, label: str) -> str:
     return f"{staging_root(spark)}/tradewind/{label}-{uuid.uuid4().hex}"
 
 
-_staged: list[str] = []
+_scope: ContextVar[list[str] | None] = ContextVar("staged in this scope", default=None)
 
 
 def stage(df: DataFrame, label: str) -> tuple[DataFrame, int]:
@@ -58,7 +59,8 @@ def stage(df: DataFrame, label: str) -> tuple[DataFrame, int]:
     after losing an executor it would repeat the whole upstream plan.
     """
     path = staging_path(df.sparkSession, label)
-    _staged.append(path)
+    if (paths := _scope.get()) is not None:
+        paths.append(path)
     seen = Observation(label)
     df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), seen.get["rows"]
@@ -66,13 +68,17 @@ def stage(df: DataFrame, label: str) -> tuple[DataFrame, int]:
 
 @contextmanager
 def staging_scope(spark: SparkSession) -> Iterator[None]:
-    """Delete what was staged inside the block. Write results to tables before it ends."""
-    before = len(_staged)
+    """Delete what was staged inside the block. Write results to tables before it ends.
+
+    A thread started inside belongs to the block if it runs in a copy of its context.
+    """
+    paths: list[str] = []
+    token = _scope.set(paths)
     try:
         yield
     finally:
+        _scope.reset(token)
         configuration = spark._jsc.hadoopConfiguration()
-        for path in _staged[before:]:
+        for path in paths:
             folder = spark._jvm.org.apache.hadoop.fs.Path(path)
             folder.getFileSystem(configuration).delete(folder, True)
-        del _staged[before:]
