@@ -28,7 +28,9 @@ def test_blank_and_text(spark):
 
 
 def test_days_between_counts_midnights(spark):
-    start, end = (F.lit(t).cast("timestamp_ntz") for t in ("2026-01-01 23:59:00", "2026-01-02 00:01:00"))
+    start, end = (
+        F.lit(t).cast("timestamp_ntz") for t in ("2026-01-01 23:59:00", "2026-01-02 00:01:00")
+    )
     assert value(spark, fn.days_between(start, end)) == 1
     assert value(spark, fn.days_between(end, start)) == -1
 
@@ -45,7 +47,8 @@ def test_tier(spark):
 
 
 def test_day_of_keeps_the_zone_free_type(spark):
-    day = spark.range(1).select(fn.day_of(F.lit("2026-01-02 03:04:05").cast("timestamp_ntz")).alias("d"))
+    moment = F.lit("2026-01-02 03:04:05").cast("timestamp_ntz")
+    day = spark.range(1).select(fn.day_of(moment).alias("d"))
     assert day.schema["d"].dataType.simpleString() == "timestamp_ntz"
     assert str(day.first().d) == "2026-01-02 00:00:00"
 

@@ -104,10 +104,11 @@ def bronze_stores(spark: SparkSession, folder: str) -> DataFrame:
     nations = table(spark, folder, "nation")
     regions = table(spark, folder, "region")
     suppliers = table(spark, folder, "supplier")
+    # The two small tables first: suppliers are then shuffled once at most.
+    places = nations.join(regions, nations.n_regionkey == regions.r_regionkey)
     kinds = F.array(*map(F.lit, ("Flagship", "Standard", "Premium", "Outlet")))
     return (
-        suppliers.join(nations, suppliers.s_nationkey == nations.n_nationkey)
-        .join(regions, nations.n_regionkey == regions.r_regionkey)
+        suppliers.join(places, suppliers.s_nationkey == places.n_nationkey)
         .select(
             F.col("s_suppkey").alias("store_id"),
             F.col("s_name").alias("store_name"),
