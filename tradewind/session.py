@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -29,19 +30,26 @@ def local_session(cores: int | str = 8, app: str = "tradewind", **conf: str) ->
     return spark
 
 
+#: Folders standing in for ``spark.checkpoint.dir``, by application.
+_fallback: dict[str, str] = {}
+
+
 def staging_root(spark: SparkSession) -> str:
     """The folder all executors share, as named by ``spark.checkpoint.dir``.
 
-    A temporary folder stands in only for a local master, where driver and
-    executors are one process.
+    A temporary folder stands in only for a ``local`` master, where driver and
+    executors are one process. Spark refuses to set ``spark.checkpoint.dir`` at
+    run time, so the folder is remembered here.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-        root = tempfile.mkdtemp(prefix="tradewind-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+    if root:
+        return root.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
+    application = spark.sparkContext.applicationId
+    if application not in _fallback:
+        _fallback[application] = tempfile.mkdtemp(prefix="tradewind-")
+    return _fallback[application]
 
 
 def staging_path(spark: SparkSession, label: str) -> str:
@@ -49,6 +57,8 @@ def staging_path(spark: SparkSession, label: str) -> str:
 
 
 _scope: ContextVar[list[str] | None] = ContextVar("staged in this scope", default=None)
+#: Staged outside any scope, by application; ``release_staged`` deletes them.
+_loose: dict[str, list[str]] = {}
 
 
 def stage(df: DataFrame, label: str) -> tuple[DataFrame, int]:
@@ -59,8 +69,9 @@ def stage(df: DataFrame, label: str) -> tuple[DataFrame, int]:
     after losing an executor it would repeat the whole upstream plan.
     """
     path = staging_path(df.sparkSession, label)
-    if (paths := _scope.get()) is not None:
-        paths.append(path)
+    own = _loose.setdefault(df.sparkSession.sparkContext.applicationId, [])
+    paths = _scope.get()
+    (own if paths is None else paths).append(path)
     seen = Observation(label)
     df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), seen.get["rows"]
@@ -78,7 +89,19 @@ def staging_scope(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         _scope.reset(token)
-        configuration = spark._jsc.hadoopConfiguration()
-        for path in paths:
-            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-            folder.getFileSystem(configuration).delete(folder, True)
+        _delete(spark, paths)
+
+
+def release_staged(spark: SparkSession) -> None:
+    """Delete what this application staged outside ``staging_scope``.
+
+    Call it once the results that read the staged tables are written.
+    """
+    _delete(spark, _loose.pop(spark.sparkContext.applicationId, []))
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    configuration = spark._jsc.hadoopConfiguration()
+    for path in paths:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(configuration).delete(folder, True)
