@@ -165,3 +165,18 @@ def licenses() -> str:
 
 
 SQL["op6_licenses"] = licenses()
+
+SQL["op8_topk"] = """
+    WITH vectors AS (
+        SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v
+        FROM embeddings
+        WHERE len(embedding) > 0
+          AND len(list_filter(embedding, lambda x: coalesce(isfinite(x), false))) = len(embedding)
+    ), scored AS (
+        SELECT q.vec_id AS query_id, p.vec_id, CAST(list_inner_product(q.v, p.v) AS BIGINT) AS score
+        FROM vectors q JOIN vectors p ON q.vec_id % 20 = 0 AND q.vec_id <> p.vec_id
+    )
+    SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+    FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank
+          FROM scored)
+    WHERE rank <= 20"""

@@ -4,7 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tradewind.llm import decontaminate, licenses, line_dedup, mixing, secrets, simhash
+from tradewind.llm import (
+    decontaminate,
+    licenses,
+    line_dedup,
+    mixing,
+    pii,
+    secrets,
+    simhash,
+    topk,
+    toxicity,
+    url_filter,
+)
 
 
 def table(spark, folder, name):
@@ -19,6 +30,10 @@ def op1_simhash(spark, folder):
     )
 
 
+def op2_pii(spark, folder):
+    return pii.summary(pii.scan(table(spark, folder, "documents")))
+
+
 def op3_line_dedup(spark, folder):
     marked = line_dedup.with_dropped_runs(table(spark, folder, "documents"))
     return marked.select(
@@ -28,6 +43,20 @@ def op3_line_dedup(spark, folder):
     )
 
 
+def op4_url_filter(spark, folder):
+    return url_filter.judge(table(spark, folder, "pages")).drop("score")
+
+
+def op5_toxicity(spark, folder):
+    docs = table(spark, folder, "documents")
+    network = toxicity.learn(docs, table(spark, folder, "labels"))
+    return toxicity.with_scores(docs, network).select(
+        "doc_id", toxicity.held_out("doc_id").alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        toxicity.flagged(network).alias("flagged"),
+    )
+
+
 def op6_licenses(spark, folder):
     return licenses.scan(table(spark, folder, "documents"))
 
@@ -36,6 +65,10 @@ def op7_secrets(spark, folder):
     return secrets.summary(secrets.scan(table(spark, folder, "documents")))
 
 
+def op8_topk(spark, folder):
+    return topk.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op9_mixing(spark, folder):
     documents, _ = mixing.mix(table(spark, folder, "documents"))
     return documents.select("doc_id", "size", "source_size", "target", "taken")
@@ -58,9 +91,13 @@ def op10_decontamination(spark, folder):
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_pii": op2_pii,
     "op3_line_dedup": op3_line_dedup,
+    "op4_url_filter": op4_url_filter,
+    "op5_toxicity": op5_toxicity,
     "op6_licenses": op6_licenses,
     "op7_secrets": op7_secrets,
+    "op8_topk": op8_topk,
     "op9_mixing": op9_mixing,
     "op10_decontamination": op10_decontamination,
 }
