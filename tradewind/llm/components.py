@@ -33,7 +33,7 @@ def _small_star(links: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, root) for every node that has a link; root is the smallest node reachable.
+    """(node, root) of every linked node but the roots; a root is the smallest node reachable.
 
     ``links`` has two columns of one type; their order and repeats do not matter.
     No links give an empty result.
