@@ -541,7 +541,8 @@ OTHERS: dict[str, str] = {
         SELECT order_id, product_sku FROM silver_orders o
         WHERE NOT EXISTS (SELECT 1 FROM silver_inventory i WHERE i.product_sku = o.product_sku)""",
     "date_functions": f"""
-        SELECT o_orderkey, o_orderdate + INTERVAL 30 DAY AS due,
+        SELECT o_orderkey,
+               o_orderdate + to_hours(o_orderkey % 24) + INTERVAL 30 DAY AS due,
                CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) AS day,
                CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS month,
                date_diff('day', o_orderdate, {AS_OF}) AS age_days FROM orders""",

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tradewind.functions.columns import bytes_to_long
+from tradewind.functions.columns import add_days, bytes_to_long
 from tradewind.operators import audit, history, quality, ranking, reshape, validation
 from tradewind.plans import gold, questions, silver
 from tradewind.session import staging_path
@@ -451,10 +451,11 @@ def anti_join(spark, folder):
 
 
 def date_functions(spark, folder):
-    ordered = F.col("o_orderdate")
+    hours = F.make_dt_interval(F.lit(0), (F.col("o_orderkey") % 24).cast("int"))
+    ordered = F.col("o_orderdate") + hours  # at all times of day
     return star.table(spark, folder, "orders").select(
         "o_orderkey",
-        F.dateadd(ordered, 30).cast("timestamp_ntz").alias("due"),
+        add_days(ordered, 30).cast("timestamp_ntz").alias("due"),
         F.to_date(F.date_format(ordered, "yyyy-MM-dd")).cast("timestamp_ntz").alias("day"),
         F.date_trunc("month", ordered).cast("timestamp_ntz").alias("month"),
         F.datediff(F.lit(AS_OF).cast("timestamp_ntz"), ordered).cast("long").alias("age_days"),

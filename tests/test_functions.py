@@ -55,7 +55,7 @@ def test_day_of_keeps_the_zone_free_type(spark):
 
 def test_ids_and_text(spark):
     one, again = (value(spark, fn.short_id(F.lit("a"), F.lit(1))) for _ in range(2))
-    assert one == again and len(one) == 8 and one != value(spark, fn.short_id(F.lit("b"), F.lit(1)))
+    assert one == again and len(one) == 32 and one != value(spark, fn.short_id(F.lit("b"), F.lit(1)))
     assert value(spark, fn.display_text(F.lit(None).cast("int"))) == "N/A"
     assert value(spark, fn.bytes_to_long(F.lit(bytearray(b"\x01\x02")))) == 258
 

@@ -2,6 +2,8 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+import pytest
+
 from tradewind.operators import audit, history, reshape
 from tradewind.sources import ops
 
@@ -121,3 +123,22 @@ def test_pivot_and_unpivot(spark):
     assert {tuple(r) for r in wide.collect()} == {(1, 2, 3), (2, 5, None)}
     long = reshape.unpivot(wide, ["k"], ["x", "y"], "c", "v")
     assert {tuple(r) for r in long.collect()} == {(1, "x", 2), (1, "y", 3), (2, "x", 5)}
+
+
+def test_values_that_move_between_columns_are_a_change(spark):
+    kind = (
+        "product_sku string, product_name string, category string, price double,"
+        " stock_quantity bigint, _source string, _loaded_at timestamp_ntz"
+    )
+    first = spark.createDataFrame([("A", "X", None, 1.0, 1, "s", None)], kind)
+    second = spark.createDataFrame([("A", None, "X", 1.0, 1, "s", None)], kind)
+    opened = history.open_versions(first, "2001-01-01")
+    after = history.apply_snapshot(opened, second, "2001-02-01").collect()
+    assert sorted(r.is_current for r in after) == [False, True]
+
+
+def test_a_repeated_key_fails_the_upsert(spark):
+    target = spark.createDataFrame([(1, "a")], "id int, v string")
+    source = spark.createDataFrame([(1, "b"), (1, "c")], "id int, v string")
+    with pytest.raises(Exception, match="more than one row"):
+        history.upsert(target, source, ["id"]).collect()

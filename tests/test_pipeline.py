@@ -2,6 +2,8 @@ import datetime as dt
 
 from seed import AS_OF, bronze_tables, source_tables
 from test_ingest import Source
+import pytest
+
 from tradewind.plans import ask, pipeline
 from tradewind.rules import TableNames
 from tradewind.sources import warehouse
@@ -109,12 +111,19 @@ def test_cycle_and_questions(spark, empty_catalog):
 
 def test_result_caps(spark, empty_catalog):
     warehouse.replace(spark.range(300).toDF("id"), "T")
-    capped = ask.run_query(spark, "SELECT id, CAST(NULL AS INT) n FROM T")
-    assert capped["total_rows"] == 100
-    assert (len(capped["results"]), len(capped["chart_data"])) == (50, 20)
-    assert capped["results"][0]["n"] == "N/A"
-    whole = ask.run_query(spark, "SELECT id FROM T", limit=None)
-    assert whole["total_rows"] == 300 and len(whole["results"]) == 50
+    whole = ask.run_query(spark, "SELECT id, CAST(NULL AS INT) n FROM T ORDER BY id DESC")
+    assert whole["total_rows"] == 300
+    assert (len(whole["results"]), len(whole["chart_data"])) == (50, 20)
+    assert whole["results"][0] == {"id": "299", "n": "N/A"}
+    assert [r["id"] for r in whole["results"]] == [str(i) for i in range(299, 249, -1)]
+    assert ask.run_query(spark, "SELECT id FROM T", limit=100)["total_rows"] == 100
+
+
+def test_failing_replacement_keeps_the_old_table(spark, empty_catalog):
+    warehouse.replace(spark.range(3).toDF("id"), "T")
+    with pytest.raises(Exception, match="stop here"):
+        warehouse.replace(spark.range(5).selectExpr("raise_error('stop here') AS id"), "T")
+    assert spark.table("T").count() == 3 and warehouse.names(spark) == ["t"]
 
 
 def test_stream_takes_each_file_once(spark, tmp_path):

@@ -60,7 +60,7 @@ def test_every_defect_is_found(spark):
     alerts = quality.alerts(
         quality.issues(quality.check_counts(df, "T", AS_OF)), AS_OF
     ).collect()
-    assert len(alerts) == 6 and all(len(a.alert_id) == 8 for a in alerts)
+    assert len(alerts) == 6 and all(len(a.alert_id) == 32 for a in alerts)
     assert "T: 1 SKUs don't match ELF-XXXXX format" in {a.message for a in alerts}
 
 

@@ -14,20 +14,31 @@ WHITESPACE = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isspace
 
 
 def as_of_timestamp(as_of: dt.datetime | str | None = None) -> Column:
-    """The moment the run refers to; the session's clock when none is given."""
+    """The moment the run refers to; the time now in UTC when none is given."""
     if as_of is None:
-        return F.localtimestamp()
+        return F.convert_timezone(None, F.lit("UTC"), F.localtimestamp())
     return F.lit(str(as_of)).cast("timestamp_ntz")
 
 
+def utc_now() -> dt.datetime:
+    """The one clock of all logs and load stamps: UTC, without a zone."""
+    return dt.datetime.now(dt.UTC).replace(tzinfo=None)
+
+
+def add_days(moment: Column, days: int) -> Column:
+    """The moment so many days later; the time of day stays."""
+    return moment + F.make_dt_interval(F.lit(days))
+
+
 def has_text(column: Column) -> Column:
     """True when something is left after trimming spaces; null counts as empty."""
     return F.trim(F.coalesce(column, F.lit(""))) != ""
 
 
 def is_blank(column: Column) -> Column:
-    """Null or nothing but whitespace of any kind."""
-    return column.isNull() | (F.ltrim(column.cast("string"), F.lit(WHITESPACE)) == "")
+    """Null, not a number, or nothing but whitespace of any kind."""
+    no_number = F.typeof(column).isin("double", "float") & (column.cast("string") == "NaN")
+    return column.isNull() | no_number | (F.ltrim(column.cast("string"), F.lit(WHITESPACE)) == "")
 
 
 def matches_whole(column: Column, pattern: str) -> Column:
@@ -64,8 +75,9 @@ def tier(value: Column, limits: Iterable[tuple[float, str]], default: str) -> Co
 
 
 def short_id(*parts: Column) -> Column:
-    """Eight hex characters that depend only on ``parts``."""
-    return F.lower(F.substring(F.lpad(F.hex(F.xxhash64(*parts)), 16, "0"), 1, 8))
+    """32 hex characters that depend only on ``parts``; nulls and their places count."""
+    told_apart = F.to_json(F.array(*(p.cast("string") for p in parts)))
+    return F.substring(F.sha2(told_apart, 256), 1, 32)
 
 
 def display_text(column: Column) -> Column:

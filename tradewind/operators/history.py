@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tradewind.functions.columns import as_of_timestamp, percent, short_id
+from tradewind.functions.columns import as_of_timestamp, percent, short_id, utc_now
 from tradewind.sources.ops import SCHEMA_CHANGES
 
 TRACKED = ("product_name", "category", "price", "stock_quantity")
@@ -23,10 +24,11 @@ def upsert(
 ) -> DataFrame:
     """``target`` with matched rows updated from ``source`` and new rows added.
 
-    ``source`` has one row per key. Both joins keep the target or the source on
+    A key that repeats in ``source`` raises. Both joins keep the target or the source on
     their outer side, which lets Spark split a key that is frequent there.
     """
     columns = [c for c in target.columns if c not in keys]
+    source = one_per_key(source, list(keys))
     updated = set(columns if update is None else update)
     changes = source.select(
         *keys, F.lit(True).alias("_matched"), *(F.col(c).alias(f"_new_{c}") for c in columns)
@@ -44,8 +46,25 @@ def upsert(
     return merged.select(*target.columns).unionByName(added.select(*target.columns))
 
 
-def _fingerprint(side: str) -> Column:
-    return F.xxhash64(*(F.col(f"{side}.{c}") for c in TRACKED))
+def _changed() -> Column:
+    """Any tracked column differs; null differs from every value but null."""
+    same = [F.col(f"old.{c}").eqNullSafe(F.col(f"new.{c}")) for c in TRACKED]
+    return ~reduce(Column.__and__, same)
+
+
+def one_per_key(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``rows`` as they are; the job that reads them fails if a key repeats."""
+    others = [c for c in rows.columns if c not in keys]
+    counted = rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_rows"),
+        F.any_value(F.struct(F.lit(0).alias("_any"), *others)).alias("_row"),
+    )
+    alone = F.when(
+        F.col("_rows") > 1, F.raise_error(F.lit(f"more than one row for a key of {list(keys)}"))
+    ).otherwise(F.col("_row"))
+    return counted.select(*keys, alone.alias("_row")).select(
+        *(F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in rows.columns)
+    )
 
 
 def open_versions(snapshot: DataFrame, at) -> DataFrame:
@@ -64,7 +83,7 @@ def open_versions(snapshot: DataFrame, at) -> DataFrame:
 def apply_snapshot(
     history: DataFrame, snapshot: DataFrame, at, close_missing: bool = False
 ) -> DataFrame:
-    """New product history after ``snapshot`` (one row per SKU) was seen at ``at``.
+    """New product history after ``snapshot`` was seen at ``at``; a repeated SKU raises.
 
     Unchanged products keep their open version; changed ones get it closed and
     a new one opened. Both sides have one row per SKU; closed versions pass
@@ -72,12 +91,12 @@ def apply_snapshot(
     """
     now = as_of_timestamp(at)
     closed, current = history.filter(~F.col("is_current")), history.filter("is_current")
-    fresh = open_versions(snapshot, at).select(*history.columns)
+    fresh = open_versions(one_per_key(snapshot, ["product_sku"]), at).select(*history.columns)
     joined = current.alias("old").join(
         fresh.alias("new"), F.col("old.product_sku") == F.col("new.product_sku"), "full_outer"
     )
     is_old, is_new = F.col("old.product_sku").isNotNull(), F.col("new.product_sku").isNotNull()
-    changed = _fingerprint("old") != _fingerprint("new")
+    changed = _changed()
     ends = F.when(is_new, changed).otherwise(F.lit(close_missing))
     kept = {
         "valid_to": F.when(ends, now).otherwise(F.col("old.valid_to")),
@@ -98,7 +117,7 @@ def schema_changes(
     """ADDED, REMOVED and TYPE_CHANGED columns between two schemas."""
     before = {f.name.upper(): f.dataType.simpleString() for f in stored}
     after = {f.name.upper(): f.dataType.simpleString() for f in incoming}
-    at = at or dt.datetime.now()
+    at = at or utc_now()
     rows = []
     for name in [*before, *(n for n in after if n not in before)]:
         old, new = before.get(name), after.get(name)

@@ -63,7 +63,7 @@ def drop_all_null(df: DataFrame) -> DataFrame:
 
 def null_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Null count per column, only where there are some."""
-    names = list(columns or business_columns(df)[: rules.NULL_PROFILE_COLUMNS])
+    names = list(columns or business_columns(df))
     counted = df.agg(
         *(F.count_if(F.col(f"`{c}`").isNull()).alias(f"n{i}") for i, c in enumerate(names))
     )
@@ -74,9 +74,11 @@ def null_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     return counted.select(F.inline(F.array(*rows))).filter("null_count > 0")
 
 
-def load_verification(df: DataFrame, expected: int | Column) -> DataFrame:
+def load_verification(
+    df: DataFrame, expected: int | Column, columns: Sequence[str] | None = None
+) -> DataFrame:
     """One row: does the table hold at least the expected rows, and where are nulls."""
-    names = business_columns(df)[: rules.NULL_PROFILE_COLUMNS]
+    names = list(columns or business_columns(df))
     want = expected if isinstance(expected, Column) else F.lit(expected)
     counted = df.agg(
         F.count(F.lit(1)).alias("loaded_count"),

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tradewind.functions.columns import utc_now
 from tradewind.functions.columns import as_of_timestamp
 from tradewind.operators import history, validation
 from tradewind.sources import files, ops, relational, warehouse
@@ -34,7 +35,7 @@ def _logged(
     spark: SparkSession, source: str, run: Callable[[str, dt.datetime], dict | None]
 ) -> dict:
     """Run a load and write its log line, SUCCESS or FAILED. ``None`` leaves no line."""
-    run_id, start = uuid.uuid4().hex[:8], dt.datetime.now()
+    run_id, start = uuid.uuid4().hex[:8], utc_now()
     try:
         report = run(run_id, start)
         error = None
@@ -43,7 +44,7 @@ def _logged(
     if report is None:
         return {"status": "success", "run_id": run_id, "records_fetched": 0,
                 "records_loaded": 0, "message": "Table is empty"}
-    end = dt.datetime.now()
+    end = utc_now()
     fetched, loaded, refused = (
         report.get(k, 0) for k in ("records_fetched", "records_loaded", "records_quarantined")
     )

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tradewind import rules
 from tradewind.operators import history, quality
 from tradewind.plans import gold, silver
 from tradewind.rules import TableNames
@@ -64,7 +65,8 @@ def models(spark: SparkSession, as_of=None, names: TableNames = TableNames()) ->
         Model("SILVER", names.silver("stores"),
               lambda: silver.silver_stores(bronze("stores"), as_of)),
         Model("SILVER", names.silver("orders"),
-              lambda: silver.silver_orders(bronze("orders"), as_of)),
+              lambda: silver.silver_orders(
+                  bronze("orders"), as_of, rules.sku_pattern(names.code))),
         Model("SILVER", names.silver("inventory"),
               lambda: silver.silver_inventory(bronze("inventory"), as_of)),
         Model("GOLD", names.gold("store_performance"),
@@ -151,17 +153,24 @@ def status(spark: SparkSession, names: TableNames = TableNames()) -> DataFrame:
 
 
 def check_quality(
-    spark: SparkSession, tables: list[str], as_of=None, logged_at: dt.datetime | None = None
+    spark: SparkSession, tables: list[str], as_of=None, logged_at: dt.datetime | None = None,
+    code: str = rules.PRODUCT_CODE,
 ) -> DataFrame:
     """Check Bronze tables, log an alert per issue, return health per table."""
     if not tables:
         return spark.createDataFrame([], quality.HEALTH_SCHEMA)
-    counts, _ = stage(
-        quality.check_tables({t: spark.table(t) for t in tables}, as_of), "checks"
+    checked = quality.check_tables(
+        {t: spark.table(t) for t in tables}, as_of, sku=rules.sku_pattern(code)
     )
-    ops.append(quality.alerts(quality.issues(counts), logged_at), "ALERT_LOG")
-    return quality.health(counts)
+    with staging_scope(spark):
+        counts, _ = stage(checked, "checks")
+        ops.append(quality.alerts(quality.issues(counts, code), logged_at), "ALERT_LOG")
+        health = quality.health(counts)
+        # a row per table, so that the staged counts can go
+        return spark.createDataFrame(health.collect(), health.schema)
 
 
-def check_all_bronze(spark: SparkSession, as_of=None) -> DataFrame:
-    return check_quality(spark, warehouse.names(spark, "BRZ_"), as_of)
+def check_all_bronze(
+    spark: SparkSession, as_of=None, code: str = rules.PRODUCT_CODE
+) -> DataFrame:
+    return check_quality(spark, warehouse.names(spark, "BRZ_"), as_of, code=code)

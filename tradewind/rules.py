@@ -41,10 +41,9 @@ CUSTOMER_SEGMENT_DEFAULT = "NEW"
 ACTIVE_WITHIN_DAYS = 30
 AT_RISK_WITHIN_DAYS = 90
 RUNS_SHOWN, QUARANTINE_SHOWN, ALERTS_SHOWN, QUERIES_SHOWN = 20, 50, 50, 20
-RESULT_LIMIT, RESULT_SHOWN, CHART_ROWS, SERIES_ROWS = 100, 50, 20, 10
+RESULT_SHOWN, CHART_ROWS, SERIES_ROWS = 50, 20, 10
 SERIES_LABEL_CHARS = 15
 CATALOG_COLUMNS_SHOWN = 10
-NULL_PROFILE_COLUMNS = 10
 
 
 def sku_pattern(code: str = PRODUCT_CODE) -> str:

@@ -53,18 +53,21 @@ def append(df: DataFrame, table: str) -> None:
 
 
 def replace(df: DataFrame, table: str) -> int:
-    """Write ``df`` as the whole of ``table`` and return the number of rows written."""
-    written = Observation(table)
-    counted = df.observe(written, F.count(F.lit(1)).alias("rows"))
-    counted.write.format("parquet").mode("overwrite").saveAsTable(table)
-    return written.get["rows"]
+    """Write ``df`` as the whole of ``table`` and return the number of rows written.
 
-
-def swap(df: DataFrame, table: str) -> int:
-    """As ``replace``, for a ``df`` that reads ``table``: write aside, then rename."""
+    The rows are written aside and the tables renamed once all is written, so the old
+    table stays if the job fails, and ``df`` may read ``table``.
+    """
     spark = df.sparkSession
     mark = uuid.uuid4().hex[:8]
-    rows = replace(df, f"{table}_new_{mark}")
+    written = Observation(table)
+    counted = df.observe(written, F.count(F.lit(1)).alias("rows"))
+    try:
+        counted.write.format("parquet").saveAsTable(f"{table}_new_{mark}")
+    except Exception:
+        spark.sql(f"DROP TABLE IF EXISTS {table}_new_{mark}")
+        raise
+    rows = written.get["rows"]
     if spark.catalog.tableExists(table):
         spark.sql(f"ALTER TABLE {table} RENAME TO {table}_old_{mark}")
     spark.sql(f"ALTER TABLE {table}_new_{mark} RENAME TO {table}")
@@ -72,6 +75,9 @@ def swap(df: DataFrame, table: str) -> int:
     return rows
 
 
+swap = replace
+
+
 def names(spark: SparkSession, prefix: str = "") -> list[str]:
     found = (t.name for t in spark.catalog.listTables() if not t.isTemporary)
     return sorted(n for n in found if n.upper().startswith(prefix.upper()))

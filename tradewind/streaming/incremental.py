@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+from tradewind.functions.columns import utc_now
 from tradewind.functions.columns import as_of_timestamp
 from tradewind.operators import validation
 from tradewind.plans import ingest, pipeline
@@ -34,7 +34,7 @@ def load_arrivals(
     accepted, refused = f"{path}/accepted", f"{path}/quarantine"
 
     def store(batch: DataFrame, number: int) -> None:
-        run_id, at = f"batch-{number}", dt.datetime.now()
+        run_id, at = f"batch-{number}", utc_now()
         checked = validation.with_reason(batch)
         good = ingest.add_lineage(validation.accepted(checked), source, run_id, at)
         good.write.mode("overwrite").parquet(f"{accepted}/_batch={number}")
@@ -69,7 +69,7 @@ def stream_cycle(
         table = names.bronze(entity)
         load_arrivals(stream, f"{path}/{entity}", f"FILES_{entity.upper()}")
         publish(spark, f"{path}/{entity}", table)
-    health = pipeline.check_quality(spark, [names.bronze(e) for e in streams], as_of)
+    health = pipeline.check_quality(spark, [names.bronze(e) for e in streams], as_of, code=names.code)
     return {"health": health, "transform": pipeline.run_all(spark, as_of, names)}
 
 
@@ -78,7 +78,7 @@ def run_cycle(
 ) -> dict:
     """One round: sync every source table, check Bronze, rebuild Silver and Gold."""
     synced = ingest.sync_all(spark, origin)
-    health = pipeline.check_all_bronze(spark, as_of)
+    health = pipeline.check_all_bronze(spark, as_of, names.code)
     return {
         "tables_synced": len(synced),
         "health": health,
