@@ -35,25 +35,28 @@ CASES = {
 
 
 @pytest.mark.parametrize("name", CASES)
-@pytest.mark.parametrize("rows_per_range", [13, 100])
-def test_rank_equals_plain_window(spark, name, rows_per_range):
+@pytest.mark.parametrize("ranges, frequent_rows", [(None, 500_000), (9, 20)])
+def test_rank_equals_plain_window(spark, name, ranges, frequent_rows):
     df = frame(spark, [None if v is None else float(v) for v in CASES[name]])
-    got = {r.id: r.k for r in global_rank(df, "x", "k", rows_per_range).collect()}
+    ranked = global_rank(df, "x", "k", ranges, frequent_rows)
+    assert ranked.columns == ["id", "x", "k"]
+    got = {r.id: r.k for r in ranked.collect()}
     assert got == plain_rank(df)
 
 
-def test_ties_are_spread_over_partitions(spark):
-    """A value that a third of the rows share is not sorted by one task."""
-    df = frame(spark, CASES["third is one value"])
-    plan = global_rank(df, "x", "k", 50)._jdf.queryExecution().optimizedPlan().toString()
-    assert "_spread" in plan and "xxhash64" in plan
+def test_identical_rows_stay_spread(spark):
+    """Rows that are all alike are neither sorted nor brought together."""
+    df = spark.range(0, 400_000, 1, 8).select(F.lit(1.0).alias("x"))
+    ranked = global_rank(df, "x", "k", frequent_rows=1_000)
+    tasks = ranked.groupBy(F.spark_partition_id()).agg(F.count("*"), F.max("k")).collect()
+    assert len(tasks) > 1 and sum(t[1] for t in tasks) == 400_000 and {t[2] for t in tasks} == {1}
 
 
-@pytest.mark.parametrize("rows_per_range", [7, 1000])
-def test_running_total_equals_plain_window(spark, rows_per_range):
+@pytest.mark.parametrize("ranges", [None, 7])
+def test_running_total_equals_plain_window(spark, ranges):
     values = [(i * 3, float(RANDOM.randint(0, 100))) for i in range(300)]
     df = spark.createDataFrame(values, "day bigint, v double").repartition(5)
-    got = {r.day: r.t for r in running_total(df, "day", "v", "t", rows_per_range).collect()}
+    got = {r.day: r.t for r in running_total(df, "day", "v", "t", ranges).collect()}
     total, want = 0.0, {}
     for day, value in values:
         total += value

@@ -1,119 +1,77 @@
 """Ranks and running totals over a whole result, without one task sorting it all.
 
 A window with an ordering and no partition key sorts every row in one task.
-Here the rows are cut into value ranges; the window runs per range, and each
-range adds the number (or the sum) of the rows in the ranges before it.
+Here what decides the order is dealt out by value ranges, the window runs per range, and
+each range adds the sum of the ranges before it. The way is the same at every size.
 """
 
 from __future__ import annotations
 
-import math
-
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradewind.session import stage
 
-ROWS_PER_RANGE = 500_000
-MAX_RANGES = 4096  # beyond it ranges grow and sort on disk
-
-
-def _ranges(rows: int, rows_per_range: int) -> int:
-    return min(math.ceil(rows / rows_per_range), MAX_RANGES)
-
+#: A value of more rows than this is looked up where its rows are instead of in a shuffle.
+FREQUENT_ROWS = 500_000
 
-def _cut_points(df: DataFrame, column: str, ranges: int) -> list[float]:
-    """Distinct finite values that split the rows into about ``ranges`` parts."""
-    shares = [i / ranges for i in range(1, ranges)]
-    found = set(df.approxQuantile(column, shares, 0.25 / ranges))
-    return sorted(filter(math.isfinite, found)) or [0.0]
 
-
-def _with_range(df: DataFrame, column: str, cuts: list[float]) -> DataFrame:
-    """Add ``_range``, ascending with the value: cut, between, cut, between, ... null.
-
-    A value so frequent that it fills a range of its own is always a cut point,
-    so the ranges between cut points stay of bounded size.
-    """
-    splits = [-math.inf, *cuts, math.inf]
-    sliced = Bucketizer(
-        splits=splits, inputCol=column, outputCol="_slice", handleInvalid="keep"
-    ).transform(df)
-    lower = F.element_at(F.array(*map(F.lit, splits)), F.col("_slice").cast("int") + 1)
-    return sliced.withColumn(
-        "_range",
-        F.when(F.col(column).isNull(), 2 * len(splits) + 2)
-        .when(F.col("_slice") >= len(splits) - 1, 2 * len(splits))
-        .when(F.col(column) == lower, 2 * F.col("_slice").cast("int"))
-        .otherwise(2 * F.col("_slice").cast("int") + 1),
-    ).drop("_slice")
+def _in_ranges(df: DataFrame, order: Column, ranges: int | None, label: str) -> DataFrame:
+    """``df`` with ``_range``, ascending along ``order``, written once so that it stays."""
+    ranged = df.repartitionByRange(order) if ranges is None else df.repartitionByRange(ranges, order)
+    return stage(ranged.withColumn("_range", F.spark_partition_id()), label)[0]
 
 
-def _prefix(per_range: DataFrame, measure: str, order: Column) -> DataFrame:
-    """Sum of ``measure`` over the ranges before each one; a row per range only."""
-    before = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return per_range.select(
-        "_range", F.coalesce(F.sum(measure).over(before), F.lit(0)).alias("_before")
+def _sums(ranged: DataFrame, order: Column, measure: str, name: str, last: int) -> DataFrame:
+    """Add the sum of ``measure`` from the first row to the row ``last`` places from this one."""
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranged.groupBy("_range").agg(F.sum(measure).alias("_sum")).select(
+        "_range", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before")
+    )
+    within = Window.partitionBy("_range").orderBy(order).rowsBetween(
+        Window.unboundedPreceding, last
+    )
+    return (
+        ranged.join(F.broadcast(offsets), "_range")  # a row per range
+        .withColumn(name, F.coalesce(F.sum(measure).over(within), F.lit(0)) + F.col("_before"))
+        .drop("_range", "_before")
     )
 
 
 def global_rank(
-    df: DataFrame, by: str, name: str, rows_per_range: int = ROWS_PER_RANGE
+    df: DataFrame, by: str, name: str, ranges: int | None = None,
+    frequent_rows: int = FREQUENT_ROWS,
 ) -> DataFrame:
     """Add ``RANK() OVER (ORDER BY by DESC NULLS FIRST)`` as a long.
 
-    ``by`` is a double column. Rows are staged first, because the ranges, their
-    sizes and the ranks inside them must see the same stored doubles.
+    A rank is one more than the rows with a larger value. So rows are counted per value,
+    before any shuffle, and only values are put in order. Ranks of frequent
+    values are sent to their rows, which stay where they are: there is at most one such value
+    for each ``frequent_rows`` rows. The others meet in a shuffle where no key has more rows.
+    Rows are staged first, because counts and rows must see the same stored doubles.
     """
-    staged, rows = stage(df, "rank")
-    ranges = _ranges(rows, rows_per_range)
-    order = F.col(by).desc_nulls_first()
-    if ranges <= 1:
-        return staged.withColumn(name, F.rank().over(Window.orderBy(order)).cast("long"))
-    ranged = _with_range(staged, by, _cut_points(staged, by, ranges))
-    # Rows equal to a cut point, and nulls, are all ties with rank one in their
-    # range, so they may be spread over many tasks: a frequent value stays cheap.
-    tied = (F.col("_range") % 2 == 0).cast("int")
-    spread = F.pmod(F.xxhash64(*df.columns), F.lit(ranges)) * tied
-    within = Window.partitionBy("_range", "_spread").orderBy(order)
-    offsets = _prefix(
-        ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_rows")),
-        "_rows",
-        F.col("_range").desc(),
+    rows, _ = stage(df, "rank")
+    counts = rows.groupBy(F.col(by).alias("_value")).agg(F.count(F.lit(1)).alias("_rows"))
+    order = F.col("_value").desc_nulls_first()
+    ranged = _in_ranges(counts, order, ranges, "rank-values")
+    ranks = _sums(ranged, order, "_rows", "_larger", -1).select(
+        "_value", "_rows", (F.col("_larger") + 1).alias(name)
     )
-    return (
-        ranged.withColumn("_spread", spread)
-        .withColumn(name, F.rank().over(within).cast("long"))
-        .join(F.broadcast(offsets), "_range")  # at most 2 * ranges + 3 rows
-        .withColumn(name, F.col(name) + F.col("_before"))
-        .drop("_range", "_spread", "_before")
+    same = F.col(by).eqNullSafe(F.col("_value"))
+    frequent = F.broadcast(ranks.filter(F.col("_rows") > frequent_rows))
+    others = ranks.filter(F.col("_rows") <= frequent_rows)
+    columns = [*(F.col(f"`{c}`") for c in df.columns), F.col(name)]
+    return rows.join(frequent, same).select(*columns).unionByName(
+        rows.join(frequent, same, "left_anti").join(others, same).select(*columns)
     )
 
 
 def running_total(
-    df: DataFrame, position: str, value: str, name: str, rows_per_range: int = ROWS_PER_RANGE
+    df: DataFrame, position: str, value: str, name: str, ranges: int | None = None
 ) -> DataFrame:
     """Add the sum of ``value`` from the lowest ``position`` up to this row.
 
-    ``position`` is numeric and unique, as after grouping by it.
+    ``position`` is unique, as after grouping by it.
     """
-    staged, rows = stage(df, "running")
-    ranges = _ranges(rows, rows_per_range)
-    so_far = (Window.unboundedPreceding, Window.currentRow)
-    if ranges <= 1:
-        return staged.withColumn(
-            name, F.sum(value).over(Window.orderBy(position).rowsBetween(*so_far))
-        )
-    placed = staged.withColumn("_position", F.col(position).cast("double"))
-    ranged = _with_range(placed, "_position", _cut_points(placed, "_position", ranges))
-    within = Window.partitionBy("_range").orderBy(position).rowsBetween(*so_far)
-    offsets = _prefix(
-        ranged.groupBy("_range").agg(F.sum(value).alias("_sum")), "_sum", F.col("_range")
-    )
-    return (
-        ranged.withColumn(name, F.sum(value).over(within))
-        .join(F.broadcast(offsets), "_range")  # at most 2 * ranges + 3 rows
-        .withColumn(name, F.coalesce(F.col(name), F.lit(0)) + F.col("_before"))
-        .drop("_range", "_before", "_position")
-    )
+    order = F.col(position).asc()
+    return _sums(_in_ranges(df, order, ranges, "running"), order, value, name, Window.currentRow)
