@@ -74,6 +74,16 @@ def test_line_breaks_in_quotes(spark, tmp_path):
     assert not files.has_quoted_breaks(spark, plain)
 
 
+def test_headers_in_another_order_are_refused(spark, tmp_path):
+    write(tmp_path, "a,b", "1,x", name="one.csv")
+    write(tmp_path, '"A", b', "2,y", name="two.csv")
+    rows = {tuple(r) for r in files.read_csv(spark, str(tmp_path)).collect()}
+    assert rows == {(1, "x"), (2, "y")}
+    write(tmp_path, "b,a", "z,3", name="three.csv")
+    with pytest.raises(ValueError, match="2 different header lines"):
+        files.read_csv(spark, str(tmp_path))
+
+
 @pytest.mark.parametrize("row, reason", [
     (FULL, None),
     ("7,,,,,", "TOO_MANY_NULLS_5_of_6_columns"),

@@ -40,9 +40,28 @@ def clean_columns(df: DataFrame) -> DataFrame:
 
 
 def has_quoted_breaks(spark: SparkSession, path: str) -> bool:
-    """True when a line break stands inside quotes: some line then has an odd number of them."""
+    """True when a line break stands inside quotes: some line then has an odd number of them.
+
+    The same pass compares the files' first lines. Cells are read by position, so files
+    whose headers differ in more than quotes, spaces and case raise.
+    """
     quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
-    return not spark.read.text(path).filter(quotes % 2 == 1).isEmpty()
+    lines = spark.read.text(path).filter("value != ''").select(
+        "value", (quotes % 2 == 1).alias("odd"),
+        F.col("_metadata.file_path").alias("file"),
+        F.when(F.col("_metadata.file_block_start") == 0, F.monotonically_increasing_id())
+        .alias("place"),
+    )
+    by_file = lines.groupBy("file").agg(
+        F.min_by("value", "place").alias("header"), F.bool_or("odd").alias("odd")
+    )
+    header = F.upper(F.regexp_replace("header", r'["\s\x{FEFF}]', ""))
+    seen = by_file.agg(
+        F.count_distinct(header).alias("headers"), F.bool_or("odd").alias("odd")
+    ).first()
+    if seen["headers"] > 1:
+        raise ValueError(f"{seen['headers']} different header lines in the files of {path}")
+    return bool(seen["odd"])
 
 
 def read_text_cells(
@@ -52,7 +71,7 @@ def read_text_cells(
 
     Files split at line ends and load in parallel, unless a line break stands
     inside quotes: then a file is one task. A known ``multi_line`` saves the
-    pass that looks for such breaks.
+    pass that looks for such breaks and compares the headers.
     """
     if multi_line is None:
         multi_line = has_quoted_breaks(spark, path)
