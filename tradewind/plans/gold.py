@@ -16,7 +16,6 @@ from tradewind.functions.columns import (
     as_of_timestamp, day_of, days_between, percent, ratio, tier,
 )
 from tradewind.operators.ranking import global_rank
-from tradewind.session import stage
 
 
 def _stamp(df: DataFrame, as_of) -> DataFrame:
@@ -128,9 +127,8 @@ def _by_channel(sales: DataFrame, stores: DataFrame, *columns: str) -> DataFrame
 
 
 def revenue_by_channel(sales: DataFrame, stores: DataFrame, as_of=None) -> DataFrame:
-    # Staged, so that the total is summed over the stored rows instead of all orders again.
-    channels, _ = stage(_by_channel(sales, stores, "store_type"), "channels")
-    total = channels.agg(F.sum("total_revenue")).scalar()
+    channels = _by_channel(sales, stores, "store_type")
+    total = F.sum("total_revenue").over(Window.partitionBy(F.lit(0)))  # a row per store type
     return _stamp(
         channels.select(
             F.col("store_type").alias("channel"), "total_orders", "total_revenue",
