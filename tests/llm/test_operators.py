@@ -112,11 +112,14 @@ def test_contexts_reveal_unseen_identifiers(spark):
 
 def test_odd_texts_of_personal_data(spark):
     rows = [(1, "a@b.cc_x@y.zz"), (2, "é" * 5 + "😀 a@b.c"), (3, "1 " * 40_000), (4, "4111 1111-1111 1111")]
+    rows += [(5, "7" * 300_000 + " 1.2 01.2.3.4.5.6.7.8 1.2.3.256"), (6, "1.2.3.4.5.6.7")]
     made = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r for r in pii.scan(made).collect()}
     assert [(s.start, s.end) for s in got[1].email] == [(0, 6), (6, 13)]
     assert [(s.start, s.end) for s in got[2].email] == [(7, 12)]
     assert got[3].card == [] and len(got[4].card) == 1
+    assert [s.value for s in got[5].ip] == ["01.2.3.4", "5.6.7.8"]
+    assert [s.value for s in got[6].ip] == ["1.2.3.4"]
 
 
 def test_line_bitmaps(docs):

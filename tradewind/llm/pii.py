@@ -21,11 +21,12 @@ KINDS = ("email", "ip", "card", "phone")
 
 # The patterns of the four kinds. Possessive repeats find the same spans as
 # plain ones here, since what follows cannot begin inside them; they need no stack. A local
-# part starts at its first character or behind the last match, never inside itself.
+# part starts at its first character or behind the last match, never inside itself; an
+# address never starts inside a number, so long runs of digits are passed once.
 EMAIL = (
     r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 )
-IP = r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"
+IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9][0-9]?)"
