@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tradewind.llm.text import staged
+from tradewind.llm.text import small_batches, staged
 
 WINDOW = 10
 #: Words of items in one automaton; an automaton is some 100 bytes a word.
@@ -235,6 +235,7 @@ def contamination(
         "named_struct('n_words', 0L, 'spans', cast(array() AS array<struct<start:int,end:int>>),"
         " 'items', cast(array() AS array<string>))"
     )
+    small_batches(docs.sparkSession)
     marked = docs.withColumn(found, empty)
     built = automata(benchmark, window, max_words) or [
         docs.sparkSession.sparkContext.broadcast(Automaton([], window))

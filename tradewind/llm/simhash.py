@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tradewind.llm.components import components
-from tradewind.llm.text import row_key, staged
+from tradewind.llm.text import row_key, small_batches, staged
 
 BYTES = 8
 SEED = 42
@@ -70,6 +70,7 @@ def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
                 ["doc_id", "text_key", "fingerprint"],
             )
 
+    small_batches(docs.sparkSession)
     rows = docs.select("doc_id", row_key().alias("text_key"), "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(batches, f"doc_id {kind}, text_key long, fingerprint long")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tradewind.session import stage
@@ -36,3 +36,22 @@ def row_key(text: str = "text") -> Column:
 def staged(df: DataFrame, label: str) -> DataFrame:
     """The rows written once to the shared folder and read back."""
     return stage(df, label)[0]
+
+
+#: What Spark sets where nobody set anything, and what texts are sent to Python in instead.
+ARROW_BATCH = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "500"),
+    "spark.sql.execution.arrow.maxBytesPerBatch": (str(1 << 26), str(1 << 22)),
+}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Send rows to Python in small batches, so that a worker never holds many whole texts.
+
+    Sets the session's Arrow batch limits, which hold from then on; a limit that somebody has
+    set stays. Results do not depend on them.
+    """
+    for key, (default, small) in ARROW_BATCH.items():
+        now = str(spark.conf.get(key, default)).lower().removesuffix("b")
+        if now in (default, "64m", "-1"):
+            spark.conf.set(key, small)

@@ -22,10 +22,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tradewind.llm.text import small_batches
+
 #: Labelled texts that training takes at most, and their size in characters altogether.
 SAMPLE = 6_000
 SAMPLE_CHARACTERS = 40_000_000
 BUCKETS = 1 << 16
+#: Words whose bucket a scoring task remembers.
+REMEMBERED = 1 << 16
 DIMENSIONS = 8
 WIDTHS = (1, 2, 3)
 FILTERS = 8
@@ -42,7 +46,7 @@ class Hasher(dict):
     """Bucket of a word; remembers words, up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) >= REMEMBERED:
             self.clear()
         bucket = self[word] = xxhash.xxh64_intdigest(word) % BUCKETS
         return bucket
@@ -226,6 +230,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network:
 
 def score_column(spark, network: Network):
     """A column function: text to score, piece by piece of any length, row by row."""
+    small_batches(spark)
     sent = spark.sparkContext.broadcast(network)
 
     @F.arrow_udf("double")
