@@ -590,7 +590,54 @@ MODELS = (
     "tariff_impact", "store_targets", "channel_roi", "product_margins", "customer_360",
 )
 
+#: Tables of a whole run by model.
+RUN_TABLES = {
+    "silver_stores": "SLV_ELF_STORES", "silver_orders": "SLV_ELF_ORDERS",
+    "silver_inventory": "SLV_ELF_INVENTORY", "store_performance": "GOLD_STORE_PERFORMANCE",
+    "product_analysis": "GOLD_PRODUCT_ANALYSIS", "daily_revenue": "GOLD_DAILY_REVENUE",
+    "inventory_status": "GOLD_INVENTORY_STATUS",
+    "revenue_by_channel": "GOLD_ELF_REVENUE_BY_CHANNEL",
+    "tariff_impact": "GOLD_ELF_TARIFF_IMPACT", "store_targets": "GOLD_ELF_STORE_PERFORMANCE",
+    "channel_roi": "GOLD_ELF_MARKETING_ROI", "product_margins": "GOLD_ELF_PRODUCT_MARGINS",
+    "customer_360": "GOLD_ELF_CUSTOMER_360",
+}
+
+RUNS = {
+    "pipeline_run": " UNION ALL ".join(
+        f"SELECT '{table}' AS table_name, '{'SILVER' if model.startswith('silver') else 'GOLD'}' "
+        f'AS layer, true AS "exists", count(*) AS record_count FROM {model}'
+        for model, table in RUN_TABLES.items()
+    ),
+    "check_all": f"""
+        SELECT 'BRZ_MYSQL_ELF_' || upper(replace(table_name, 'bronze_', '')) AS table_name,
+               total_records, issues_found, bad_records, health_score, quality_status,
+               issues_found AS alerts
+        FROM ({HEALTH})""",
+    "sync_tables": " UNION ALL ".join(
+        f"SELECT 'BRZ_MYSQL_{t.upper()}' AS table_name, 2 * count(*) AS record_count, "
+        f"CAST(2 AS BIGINT) AS runs, 2 * count(*) AS records_loaded FROM {t}"
+        for t in ("customer", "nation", "orders", "part", "region", "supplier")
+    ),
+    "csv_to_bronze": """
+        SELECT 'BRZ_FEED' AS table_name, 'CSV_FEED' AS detail, count(*) AS rows
+        FROM checked_feed WHERE rejection_reason IS NULL
+        UNION ALL SELECT 'QUARANTINE_RECORDS', rejection_reason, count(*)
+        FROM checked_feed WHERE rejection_reason IS NOT NULL GROUP BY 2
+        UNION ALL SELECT 'PIPELINE_RUNS', 'SUCCESS', count(*)
+        FROM checked_feed WHERE rejection_reason IS NULL
+        UNION ALL SELECT 'VOLUME_HISTORY', 'CSV_FEED', count(*)
+        FROM checked_feed WHERE rejection_reason IS NULL""",
+    "ask_result": """
+        SELECT position, product_sku, CAST(total_units_sold AS VARCHAR) AS units, stock_status,
+               total_rows, total_rows AS logged_rows, position <= 20 AS charted
+        FROM (SELECT *, count(*) OVER () AS total_rows,
+                     row_number() OVER (ORDER BY total_units_sold DESC NULLS LAST, product_sku)
+                         AS position
+              FROM product_analysis)
+        WHERE position <= 50""",
+}
+
 
 def statements() -> dict[str, str]:
     models = {name: f"SELECT * FROM {name}" for name in MODELS}
-    return {name: with_inputs(text) for name, text in (models | OTHERS).items()}
+    return {name: with_inputs(text) for name, text in (models | OTHERS | RUNS).items()}

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tradewind.functions.columns import add_days, bytes_to_long
 from tradewind.operators import audit, history, quality, ranking, reshape, validation
-from tradewind.plans import gold, questions, silver
-from tradewind.session import staging_path
-from tradewind.sources import files, relational
+from tradewind.plans import ask as asking
+from tradewind.plans import gold, ingest, pipeline, questions, silver
+from tradewind.rules import TableNames
+from tradewind.session import stage, staging_path
+from tradewind.sources import files, relational, warehouse
 from tradewind.sources import star_schema as star
 from tradewind.streaming import incremental
 
@@ -170,13 +174,18 @@ def quarantine_reasons(spark, folder):
     )
 
 
-def file_ingest(spark, folder):
-    """The feed written as CSV files, read back with inferred types, and validated."""
+def feed_files(spark, folder) -> str:
+    """Folder of CSV files that hold the feed."""
     path = staging_path(spark, "feed") + ".csv"
     order_feed(spark, folder).write.options(
         header=True, quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
     ).csv(path)
-    checked = validation.with_reason(files.read_csv(spark, path))
+    return path
+
+
+def file_ingest(spark, folder):
+    """The feed written as CSV files, read back with inferred types, and validated."""
+    checked = validation.with_reason(files.read_csv(spark, feed_files(spark, folder)))
     kept = F.col("rejection_reason").isNull()
     return checked.agg(
         F.count(F.lit(1)).alias("records_fetched"),
@@ -372,6 +381,105 @@ def volume_history(spark, folder):
     )
 
 
+# Whole runs, each in a database of its own ------------------------------------------------
+
+@contextmanager
+def own_database(spark) -> Iterator[None]:
+    """Tables written inside go into a new database, which is dropped at the end."""
+    before, name = spark.catalog.currentDatabase(), f"run_{uuid.uuid4().hex[:12]}"
+    spark.sql(f"CREATE DATABASE {name}")
+    spark.catalog.setCurrentDatabase(name)
+    try:
+        yield
+    finally:
+        spark.catalog.setCurrentDatabase(before)
+        spark.sql(f"DROP DATABASE {name} CASCADE")
+
+
+def write_bronze(spark, folder):
+    for name, rows in bronze_tables(spark, folder).items():
+        warehouse.append(rows, TableNames().bronze(name.removeprefix("bronze_")))
+
+
+def pipeline_run(spark, folder):
+    """Every table that a whole run writes, with its rows."""
+    with own_database(spark):
+        write_bronze(spark, folder)
+        pipeline.run_all(spark, AS_OF)
+        return stage(pipeline.status(spark), "layer-status")[0]
+
+
+def check_all(spark, folder):
+    """Health of all Bronze tables and the alerts that the check logged for each."""
+    with own_database(spark):
+        write_bronze(spark, folder)
+        health = pipeline.check_all_bronze(spark, AS_OF).withColumn(
+            "table_name", F.upper("table_name")  # the catalog lists names in lower case
+        )
+        alerts = spark.table("ALERT_LOG").groupBy(
+            F.upper(F.substring_index("message", ":", 1)).alias("table_name")
+        ).agg(F.count(F.lit(1)).alias("alerts"))
+        both = health.join(alerts, "table_name", "left").fillna(0, ["alerts"])
+        return stage(both, "bronze-health")[0]
+
+
+SYNCED = ("customer", "nation", "orders", "part", "region", "supplier")
+
+
+def sync_tables(spark, folder):
+    """Rows of each Bronze table after two loads of its source, and what the run log says."""
+    with own_database(spark):
+        for _ in range(2):
+            ingest.sync_all(spark, relational.FolderSource(spark, folder, SYNCED))
+        logged = spark.table("PIPELINE_RUNS").filter("status = 'SUCCESS'").groupBy(
+            F.concat(F.lit("BRZ_"), "source_name").alias("table_name")
+        ).agg(F.count(F.lit(1)).alias("runs"), F.sum("records_loaded").alias("records_loaded"))
+        listed = warehouse.list_bronze(spark).select(
+            F.upper("table_name").alias("table_name"), "record_count"
+        )
+        return stage(listed.join(logged, "table_name", "left"), "bronze-tables")[0]
+
+
+def csv_to_bronze(spark, folder):
+    """The feed's files loaded: rows in Bronze, in quarantine and in the logs."""
+    with own_database(spark):
+        ingest.load_csv_to_bronze(spark, feed_files(spark, folder), "feed")
+
+        def rows_by(table: str, detail: str, rows: Column) -> DataFrame:
+            return spark.table(table).groupBy(F.col(detail).alias("detail")).agg(
+                rows.alias("rows")
+            ).select(F.lit(table).alias("table_name"), "detail", "rows")
+
+        written = rows_by("BRZ_FEED", "_SOURCE", F.count(F.lit(1)))
+        refused = rows_by("QUARANTINE_RECORDS", "rejection_reason", F.count("raw_data"))
+        runs = rows_by("PIPELINE_RUNS", "status", F.sum("records_loaded"))
+        volume = rows_by("VOLUME_HISTORY", "source_name", F.sum("record_count"))
+        return stage(written.union(refused).union(runs).union(volume), "feed-load")[0]
+
+
+def ask_result(spark, folder):
+    """Products by units, sorted by free SQL: the rows shown, in order, and the true total."""
+    view = f"products_{uuid.uuid4().hex[:12]}"
+    product_analysis(spark, folder).createOrReplaceTempView(view)
+    with own_database(spark):
+        answer = asking.run_query(
+            spark,
+            "SELECT product_sku, total_units_sold, stock_status "
+            f"FROM {view} ORDER BY total_units_sold DESC NULLS LAST, product_sku",
+        )
+        history = spark.table("QUERY_HISTORY").select("rows_returned").first()
+    spark.catalog.dropTempView(view)
+    shown = [
+        (n, r["product_sku"], r["total_units_sold"], r["stock_status"], answer["total_rows"],
+         history["rows_returned"], n <= len(answer["chart_data"]))
+        for n, r in enumerate(answer["results"], 1)
+    ]
+    return spark.createDataFrame(
+        shown, "position bigint, product_sku string, units string, stock_status string, "
+        "total_rows bigint, logged_rows bigint, charted boolean",
+    )
+
+
 # The SQL surface: joins, windows, reshaping, functions -------------------------------------
 
 def pivot(spark, folder):
@@ -539,6 +647,11 @@ QUERIES: dict[str, Query] = {
     "scd2_history": scd2_history,
     "schema_changes": schema_changes,
     "volume_history": volume_history,
+    "pipeline_run": pipeline_run,
+    "check_all": check_all,
+    "sync_tables": sync_tables,
+    "csv_to_bronze": csv_to_bronze,
+    "ask_result": ask_result,
     "pivot": pivot,
     "unpivot": unpivot,
     "lead_dense_rank": lead_dense_rank,
