@@ -186,6 +186,17 @@ def test_toxicity_of_odd_rows(spark, docs, nothing):
     assert toxicity.without_toxic(nothing, labels.limit(0)).count() == 0
 
 
+def test_toxicity_learns_from_one_text_per_id(spark, monkeypatch):
+    taken, train = [], toxicity.train
+    monkeypatch.setattr(toxicity, "train", lambda codes, y: taken.append(len(codes)) or train(codes, y))
+    a, b = [i for i in range(2, 100) if i % 5 != 1 and zlib.crc32(str(i).encode()) % 5][:2]
+    made = spark.createDataFrame(
+        [(a, f"text {i}", "en") for i in range(40)] + [(b, "other words", None)],
+        "doc_id long, text string, lang string")
+    toxicity.learn(made, spark.createDataFrame([(a, 1), (b, 0)], "doc_id long, toxic int"))
+    assert taken == [2]
+
+
 def test_licenses(corpus):
     want = []
     phrases = {("mit", "license"): "mit", ("apache", "license"): "apache",

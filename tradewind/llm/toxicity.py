@@ -201,7 +201,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network:
 
     At most ``sample`` of them and SAMPLE_CHARACTERS of text, first by hash of the id,
     come to the driver. One in five of these is kept back for the thresholds. Null
-    labels and texts are left out; a doc_id labelled twice counts once, as toxic if either is.
+    labels and texts are left out; a doc_id labelled twice counts once, as toxic if either is,
+    and of several texts under one doc_id the first in order is taken.
     """
     known = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").filter(~held_out("doc_id"))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -212,8 +213,10 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network:
     ).filter("text IS NOT NULL").join(F.broadcast(first), "doc_id")
     share = max(SAMPLE_CHARACTERS // max(sample, 1), 1)
     # a text over its share is left out, so that the sample has a bound; scoring takes all texts
-    picked = rows.filter(F.char_length("text") <= 4 * share).collect()
-    picked.sort(key=lambda r: (r["doc_id"], r["text"]))
+    picked = rows.filter(F.char_length("text") <= 4 * share).groupBy("doc_id").agg(
+        F.max("toxic").alias("toxic"), F.min(F.struct("text", "lang")).alias("one")
+    ).select("doc_id", "toxic", "one.text", "one.lang").collect()
+    picked.sort(key=lambda r: r["doc_id"])
     hasher = Hasher()
     codes = [hasher.codes(r["text"].encode()) for r in picked]
     y = np.array([r["toxic"] for r in picked], dtype=np.int64)
