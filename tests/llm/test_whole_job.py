@@ -47,3 +47,19 @@ def test_blocks_of_a_large_group_are_linked(spark, monkeypatch):
     made = [" ".join(base[:i] + ["x"] + base[i + 1:]) for i in range(10, 30)] + ["", None, "a b"]
     docs = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
     assert {r.doc_id for r in similar.one_of_each(docs).collect()} == {0, 20, 22}
+
+
+def test_stage_drops_by_the_threshold_of_the_language(spark, monkeypatch):
+    from tradewind.llm import toxicity
+
+    scores = {"low": 0.3, "mid": 0.6, "high": 0.8}
+    network = toxicity.train([], np.array([], np.int64))
+    network.thresholds = {"en": 0.7, "de": 0.2}
+    monkeypatch.setattr(toxicity, "learn", lambda *_: network)
+    score = F.element_at(F.create_map(*(F.lit(x) for pair in scores.items() for x in pair)), F.col("text"))
+    monkeypatch.setattr(toxicity, "with_scores", lambda docs, _, name: docs.withColumn(name, score))
+    rows = [(lang, text) for lang in ("en", "de", "fr", None) for text in scores]
+    docs = spark.createDataFrame(rows, "lang string, text string")
+    kept = {tuple(r) for r in toxicity.without_toxic(docs, None).collect()}
+    assert kept == {("en", "low"), ("en", "mid"), ("fr", "low"), (None, "low")}
+    assert toxicity.without_toxic(docs.drop("lang"), None).count() == 4  # 0.5 for all

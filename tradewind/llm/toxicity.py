@@ -257,16 +257,21 @@ def with_scores(docs: DataFrame, network: Network, name: str = "score") -> DataF
     return docs.withColumn(name, score_column(docs.sparkSession, network)("text"))
 
 
-def flagged(network: Network, score: str = "score", language: str = "lang") -> F.Column:
+def flagged(network: Network, score: str = "score", language: str | None = "lang") -> F.Column:
     """Whether the score reaches the threshold of the row's language, or else 0.5."""
     threshold = F.lit(0.5)
     for name, value in network.thresholds.items():
-        if name is not None:
+        if name is not None and language is not None:
             threshold = F.when(F.col(language) == name, value).otherwise(threshold)
     return F.col(score) >= threshold
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """The documents that score under 0.5; the columns stay."""
-    scored = with_scores(docs, learn(docs, labels, sample), "_toxicity")
-    return scored.filter("_toxicity < 0.5").drop("_toxicity")
+    """The documents that score under the threshold of their language; the columns stay.
+
+    0.5 holds for languages without a threshold, and for all documents without ``lang``.
+    """
+    network = learn(docs, labels, sample)
+    language = "lang" if "lang" in docs.columns else None
+    scored = with_scores(docs, network, "_toxicity")
+    return scored.filter(~flagged(network, "_toxicity", language)).drop("_toxicity")
