@@ -63,3 +63,17 @@ def test_stage_drops_by_the_threshold_of_the_language(spark, monkeypatch):
     kept = {tuple(r) for r in toxicity.without_toxic(docs, None).collect()}
     assert kept == {("en", "low"), ("en", "mid"), ("fr", "low"), (None, "low")}
     assert toxicity.without_toxic(docs.drop("lang"), None).count() == 4  # 0.5 for all
+
+
+def test_sources_smaller_than_a_slot_get_their_target(spark):
+    from tradewind.llm import mixing
+
+    rows = [(i, f"s{i}", " ".join(["w"] * (5 + i % 30))) for i in range(3000)]
+    rows += [(5000 + i, "large", "w " * 200) for i in range(300)] + [(9000, None, "null source"), (9001, "none", "")]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    documents, pieces = mixing.mix(docs, slots=500)
+    got = documents.groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target")).collect()
+    assert len(got) == 3003 and all(abs(r.taken - r.target) <= 0.5 for r in got)
+    assert documents.filter("taken > 2 * size").count() == 0
+    cut = pieces.agg(F.sum(F.col("end") - F.col("start")), F.min(F.col("end") - F.col("start")), F.max("slot")).first()
+    assert cut[0] == sum(r.taken for r in got) and cut[1] > 0 and cut[2] < 500

@@ -4,6 +4,8 @@ The mix is cut into slots of equally many words. Slot ``i`` takes the golden-rat
 ``i * PHI mod 2**32``; the source whose stretch of the cumulative target weights holds the
 point fills the slot. These points fall into every stretch almost in proportion to its length,
 so each source gets its target to within a few slots, and any part of the mix is mixed alike.
+Where a slot is more than a few words, each source is then settled: slots beyond its target go,
+blocks that it lacks go into slots chosen by hash, and its last block ends at the target.
 
 Each source's documents are put in a fixed random order and their words, laid end to end
 twice, are cut into blocks of a slot's length. The n-th slot of a source takes its n-th
@@ -27,6 +29,8 @@ PHI = 2654435769
 POINTS = 1 << 32
 #: Slots a mix has at most; a slot is the mix over this many, and a word at least.
 SLOTS = 1 << 20
+#: Words a slot may hold while "to within a few slots" is near enough to a target.
+NEAR = 8
 CELLS = 1 << 10
 CHUNK = 1 << 12
 
@@ -111,6 +115,24 @@ def schedule(sources: DataFrame, total: float, slots: int = SLOTS) -> tuple[Data
     return ranked.select("slot", "source_no", "block"), words
 
 
+def settled(slots_of: DataFrame, sources: DataFrame, words: int) -> DataFrame:
+    """The slots such that each source's blocks hold its target, to the word; with it as ``want``."""
+    count = slots_of.count()
+    have = slots_of.groupBy(F.col("source_no").alias("_no")).agg(F.count(F.lit(1)).alias("have"))
+    wanted = sources.join(have, F.col("source_no") == F.col("_no"), "left").select(
+        "source_no", F.round("target").cast("long").alias("want"),
+        F.coalesce("have", F.lit(0)).alias("have"),
+    ).withColumn("need", F.ceil(F.col("want") / words))
+    kept = slots_of.join(wanted, "source_no").filter("block < need").select(
+        "slot", "source_no", "block", "want"
+    )
+    lacking = wanted.filter("have < need").withColumn(
+        "block", F.explode(F.expr("sequence(have, need - 1)"))
+    )
+    at = F.pmod(F.xxhash64("source_no", "block"), F.lit(max(count, 1)))
+    return kept.union(lacking.select(at.alias("slot"), "source_no", "block", "want"))
+
+
 def mix(
     docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, expand: float = EXPAND,
     most: int = MOST, slots: int = SLOTS,
@@ -118,7 +140,8 @@ def mix(
     """(documents, pieces) of the mix.
 
     documents: every row's doc_id, source, size, source_size, target, ``row`` and the words
-    ``taken``. pieces: (slot, row, start, end), the words of a row that a slot takes.
+    ``taken``. pieces: (slot, row, start, end), the words of a row that a slot takes. In slots of
+    more than NEAR words, sources that are smaller than a slot share one.
     Rows that repeat are rows of their own; null ids come first in the random order; a null
     source is a source; null and empty texts have no words and are never taken. An
     empty table gives an empty mix.
@@ -128,6 +151,10 @@ def mix(
     # not the sum of the targets, whose last bits depend on the order of the sum
     total = (sources.agg(F.sum("source_size")).first()[0] or 0) * min(expand, most)
     slots_of, words = schedule(sources, total, slots)
+    if words > NEAR:
+        slots_of = settled(staged(slots_of, "slots"), sources, words)
+    else:
+        slots_of = slots_of.withColumn("want", F.lit(None).cast("long"))  # whole blocks
     known = sized.join(
         sources, sized["source"].eqNullSafe(sources["source"])
     ).select(
@@ -149,8 +176,9 @@ def mix(
         .select(
             "slot", "row", "source_no", "before",
             (F.greatest(F.col("from"), F.col("block") * words) - F.col("from")).alias("start"),
-            (F.least(F.col("to"), (F.col("block") + 1) * words) - F.col("from")).alias("end"),
+            (F.least("to", (F.col("block") + 1) * words, "want") - F.col("from")).alias("end"),
         )
+        .filter("end > start")
     )
     taken = pieces.groupBy(
         F.col("source_no").alias("_no"), F.col("before").alias("_before")
