@@ -77,3 +77,20 @@ def test_sources_smaller_than_a_slot_get_their_target(spark):
     assert documents.filter("taken > 2 * size").count() == 0
     cut = pieces.agg(F.sum(F.col("end") - F.col("start")), F.min(F.col("end") - F.col("start")), F.max("slot")).first()
     assert cut[0] == sum(r.taken for r in got) and cut[1] > 0 and cut[2] < 500
+
+
+def test_notices_name_their_own_license_also_when_wrapped(spark):
+    from tradewind.llm import licenses
+
+    texts = {
+        "gpl": "This work is licensed under the GNU General Public License, version 3.",
+        "apache": "x\n# Licensed under the\n#\n# Apache License, Version 2.0.\ny",
+        "mit": "it is released under\nthe MIT\nLicense. " + "more words " * 40,
+        "mpl": "This Source Code Form is subject to the terms of the\n * Mozilla Public License.",
+        "proprietary": "w " * 50 + "All rights reserved.\nDo not distribute\nwithout permission. " + "w " * 50,
+        "bsd": "Use of this source code is governed by a BSD-style license.",
+        "": "Licensed under the Other License, Version 2.0.\nmit " + "w " * 90 + "\nunder the License",
+    }
+    docs = spark.createDataFrame(list(enumerate(texts.values())), "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in licenses.scan(docs).collect()}
+    assert got == dict(enumerate(texts))

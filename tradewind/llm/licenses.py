@@ -7,6 +7,9 @@ hold one of the first ``n - needed + 1`` words of it (prefix), have at least ``n
 different words (length), and the words after the first shared one must suffice
 (position). Only pairs that pass all three are verified by counting the shared words.
 
+A notice that is wrapped over lines is met too: around a line with a word of a prefix,
+as many consecutive words as the template has must hold those it needs.
+
 Templates are a fixed list, so the index of their prefixes is small by construction.
 """
 
@@ -21,23 +24,18 @@ from tradewind.llm.text import row_key, whole
 
 CONTAINMENT = 0.8
 
-# Short notices as authors put them into files, by label.
+# What names a license in its notices, by label. At four words at most all are
+# needed, so no notice meets the template of another license by the words that notices share.
 TEMPLATES: dict[str, tuple[str, ...]] = {
-    "mit": ("Released under the MIT License.", "Licensed under the MIT License."),
-    "apache": ("Licensed under the Apache License, Version 2.0.",),
-    "gpl": (
-        "This work is licensed under the GNU General Public License, version 3.",
-        "Licensed under the GNU General Public License, version 2.",
-    ),
-    "cc-by": (
-        "Licensed under CC BY 4.0.",
-        "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    ),
-    "cc-by-nc": ("Licensed under CC BY-NC 4.0.",),
-    "cc-by-sa": ("Licensed under CC BY-SA 4.0.",),
-    "cc0": ("This work is dedicated to the public domain under CC0 1.0 Universal.",),
-    "mpl": ("This Source Code Form is subject to the terms of the Mozilla Public License.",),
-    "bsd": ("Use of this source code is governed by a BSD-style license.",),
+    "mit": ("under the MIT License",),
+    "apache": ("under the Apache License",),
+    "gpl": ("GNU General Public License",),
+    "cc-by": ("CC BY 4.0", "Creative Commons Attribution"),
+    "cc-by-nc": ("CC BY-NC",),
+    "cc-by-sa": ("CC BY-SA",),
+    "cc0": ("CC0 1.0 Universal",),
+    "mpl": ("the Mozilla Public License",),
+    "bsd": ("a BSD-style license",),
     "proprietary": ("All rights reserved. Do not distribute without written permission.",),
 }
 # Phrases of the base search and their labels.
@@ -101,13 +99,43 @@ def word_order(docs: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATE
     return sorted(vocabulary, key=lambda w: (count.get(w, 0), w))
 
 
+def _wrapped(docs: DataFrame, rare: list[str], longest: int) -> DataFrame:
+    """(doc_id, text_key, words): the words around each line with a rare word, in order.
+
+    As many lines on each side as a notice can reach; of a line's middle, which no notice
+    over lines can reach, only gaps stay.
+    """
+    other = _SEPARATORS.removesuffix("+")
+    has_rare = F.lit(rf"(?:\A|{other})(?:{'|'.join(rare)})(?:{other}|\z)")
+    rows = docs.select(
+        "doc_id", row_key().alias("text_key"), _lower(whole("text")).alias("text")
+    ).filter(F.contains("text", F.lit("\n")) & F.rlike("text", has_rare))
+    rows = rows.select("doc_id", "text_key", F.split("text", "\n", -1).alias("lines"))
+    around = F.transform("lines", lambda line, i: F.when(
+        F.rlike(line, has_rare),
+        F.slice("lines", F.greatest(i + 1 - longest, F.lit(1)), F.lit(2 * longest + 1)),
+    ))
+    blocks = rows.select("doc_id", "text_key", F.explode(F.array_compact(around)).alias("lines"))
+    in_lines = F.transform("lines", lambda line: F.filter(
+        F.split(F.regexp_replace(line, _SEPARATORS, " "), " "), lambda w: w != ""
+    ))
+    ends = F.transform("lines", lambda w: F.when(
+        F.size(w) > 2 * longest,
+        F.concat(F.slice(w, 1, longest), F.array_repeat(F.lit(""), longest), F.slice(w, -longest, longest)),
+    ).otherwise(w))
+    return blocks.withColumn("lines", in_lines).select(
+        "doc_id", "text_key", F.flatten(ends).alias("words")
+    )
+
+
 def matches(
     docs: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES,
     containment: float = CONTAINMENT,
 ) -> DataFrame:
     """(doc_id, text_key, label, containment) of each line and template that meet.
 
-    A line is returned once for each template it meets. Null and empty texts meet none.
+    A line is returned once for each template it meets, and so are the lines around a word that
+    hold a wrapped notice. Null and empty texts meet none.
     """
     order = word_order(docs, templates)
     rank = {w: i for i, w in enumerate(order)}
@@ -125,7 +153,8 @@ def matches(
         prefixes, "template int, label string, template_words array<string>, needed int, word string, at int"
     )
     least = min(needed for *_, needed in whole_templates)
-    rare = F.array(*(F.lit(w) for w in sorted({p[4] for p in prefixes})))
+    rare_words = sorted({p[4] for p in prefixes})
+    rare = F.array(*map(F.lit, rare_words))
     blocks = _blocks(docs, order, least).withColumn(
         "word", F.explode(F.array_intersect("shared", rare))
     )
@@ -133,6 +162,21 @@ def matches(
     overlap = F.size(F.array_intersect("shared", "template_words"))
     # the first shared word of the template: earlier ones are not in the block
     first = F.size(F.array_intersect(F.slice("template_words", 1, F.col("at")), "shared")) == 0
+    longest = max(len(words) for *_, words, _ in whole_templates)
+    wrapped = _wrapped(docs, rare_words, longest).withColumn(
+        "word", F.explode(F.array_intersect("words", rare))
+    )
+    windows = F.transform(
+        F.sequence(F.lit(0), F.greatest(F.size("words") - size, F.lit(0))),
+        lambda i: F.size(F.array_intersect(F.slice("words", i + 1, size), F.col("template_words"))),
+    )
+    over_lines = (
+        wrapped.join(F.broadcast(index), "word")
+        .filter(F.size(F.array_intersect("words", "template_words")) >= F.col("needed"))
+        .withColumn("best", F.array_max(windows))
+        .filter(F.col("best") >= F.col("needed"))
+        .select("doc_id", "text_key", "label", (F.col("best") / size).alias("containment"))
+    )
     return (
         blocks.join(F.broadcast(index), "word")
         .filter(F.col("n") >= F.col("needed"))
@@ -140,6 +184,7 @@ def matches(
         .filter(first)
         .filter(overlap >= F.col("needed"))
         .select("doc_id", "text_key", "label", (overlap / size).alias("containment"))
+        .union(over_lines)
     )
 
 
