@@ -112,10 +112,42 @@ DECONTAMINATION = f"""
            coalesce(n_hit, 0) > 0 AS contaminated
     FROM docs LEFT JOIN hit USING (row) LEFT JOIN named USING (row)"""
 
+SEARCH_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+LEXICAL = f"""
+    WITH items AS (
+        SELECT DISTINCT item_id, unnest(regexp_extract_all({lowered("text")}, '{SEARCH_TERM}')) AS term
+        FROM benchmark
+    ), words AS (
+        SELECT row, doc_id, unnest(cut) AS term, len(cut) AS n
+        FROM (SELECT row_number() OVER () AS row, doc_id,
+                     regexp_extract_all({lowered("text")}, '{SEARCH_TERM}') AS cut FROM documents)
+    ), corpus AS (
+        SELECT CAST(count(DISTINCT row) AS BIGINT) AS docs, CAST(count(*) AS BIGINT) AS total FROM words
+    ), counted AS (
+        SELECT row, any_value(doc_id) AS doc_id, term, any_value(n) AS n, count(*) AS tf
+        FROM words WHERE term IN (SELECT term FROM items) GROUP BY row, term
+    ), weighed AS (
+        SELECT term, CAST(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w
+        FROM counted, corpus GROUP BY term, docs
+    ), added AS (
+        SELECT row, doc_id, term,
+               w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // total))) AS score
+        FROM counted JOIN weighed USING (term), corpus
+    ), summed AS (
+        SELECT item_id, row, any_value(doc_id) AS doc_id, CAST(sum(score) AS BIGINT) AS score
+        FROM added JOIN items USING (term) GROUP BY item_id, row
+    )
+    SELECT item_id, CAST(row_number() OVER best AS INTEGER) AS rank, doc_id, score
+    FROM summed WHERE score > 0
+    WINDOW best AS (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST)
+    QUALIFY rank <= 10"""
+
 SQL = {
     "op3_line_dedup": LINE_DEDUP,
     "op9_mixing": MIXING,
     "op10_decontamination": DECONTAMINATION,
+    "op11_lexical": LEXICAL,
 }
 
 

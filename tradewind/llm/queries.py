@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from tradewind.llm import (
     decontaminate,
+    lexical,
     licenses,
     line_dedup,
+    minhash,
     mixing,
     pii,
     secrets,
@@ -15,6 +17,7 @@ from tradewind.llm import (
     topk,
     toxicity,
     url_filter,
+    whitening,
 )
 
 
@@ -89,6 +92,22 @@ def op10_decontamination(spark, folder):
     )
 
 
+def op11_lexical(spark, folder):
+    return lexical.ranked(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op12_whitening(spark, folder):
+    return whitening.whiten(table(spark, folder, "embeddings"))
+
+
+def op13_minhash(spark, folder):
+    found = minhash.near_duplicates(table(spark, folder, "documents"))
+    return found.select(
+        "doc_id", "n_shingles", "component_id",
+        F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"),
+    )
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_pii": op2_pii,
@@ -100,4 +119,7 @@ QUERIES = {
     "op8_topk": op8_topk,
     "op9_mixing": op9_mixing,
     "op10_decontamination": op10_decontamination,
+    "op11_lexical": op11_lexical,
+    "op12_whitening": op12_whitening,
+    "op13_minhash": op13_minhash,
 }
