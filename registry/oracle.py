@@ -18,6 +18,16 @@ def half_up(value: str, digits: int) -> str:
     return f"CAST(round({decimal}, {digits}) AS DOUBLE)"
 
 
+SNAPSHOTS = """
+    snapshots AS (
+        SELECT 'P-' || p_partkey AS product_sku, p_name AS product_name, p_type AS category,
+               p_retailprice AS price, p_partkey % 50 AS stock_quantity,
+               p_retailprice + CASE WHEN p_partkey % 5 = 0 THEN 10 ELSE 0 END AS later_price,
+               p_partkey % 50 + CASE WHEN p_partkey % 7 = 0 THEN 1 ELSE 0 END AS later_stock,
+               p_size > 5 AS in_first, p_size < 45 AS in_second,
+               p_partkey % 5 = 0 OR p_partkey % 7 = 0 AS differs
+        FROM part)"""
+
 # Named inputs. Each may refer to the ones above it.
 INPUTS: dict[str, str] = {
     "bronze_orders": """
@@ -61,17 +71,31 @@ INPUTS: dict[str, str] = {
                'seed42' AS _run_id
         FROM supplier JOIN nation ON s_nationkey = n_nationkey
         JOIN region ON n_regionkey = r_regionkey""",
+    "product_history": f"""
+        WITH {SNAPSHOTS}
+        SELECT product_sku, product_name, category, price, stock_quantity,
+               TIMESTAMP '2001-01-01' AS valid_from,
+               CASE WHEN NOT in_second OR differs THEN TIMESTAMP '2001-02-01' END AS valid_to,
+               in_second AND NOT differs AS is_current, 'SYNTH_PARTS' AS _source,
+               TIMESTAMP '2001-01-01' AS _loaded_at
+        FROM snapshots WHERE in_first
+        UNION ALL
+        SELECT product_sku, product_name, category, later_price, later_stock,
+               TIMESTAMP '2001-02-01', NULL, true, 'SYNTH_PARTS', TIMESTAMP '2001-02-01'
+        FROM snapshots WHERE in_second AND (differs OR NOT in_first)""",
+    "newest_orders": """
+        SELECT * FROM bronze_orders WHERE order_id IS NOT NULL
+        QUALIFY row_number() OVER (PARTITION BY order_id
+            ORDER BY _loaded_at DESC NULLS FIRST, total_amount DESC NULLS LAST,
+            store_id DESC NULLS LAST, customer_id DESC NULLS LAST,
+            order_date DESC NULLS LAST, product_sku DESC NULLS LAST,
+            quantity DESC NULLS LAST, unit_price DESC NULLS LAST,
+            order_status DESC NULLS LAST) = 1""",
     "silver_orders": f"""
         SELECT order_id, store_id, customer_id, order_date, product_sku, quantity, unit_price,
                total_amount, order_status, _source, _loaded_at, _run_id,
                {AS_OF} AS _silver_loaded_at
-        FROM (SELECT * FROM bronze_orders WHERE order_id IS NOT NULL
-              QUALIFY row_number() OVER (PARTITION BY order_id
-                  ORDER BY _loaded_at DESC NULLS FIRST, total_amount DESC NULLS LAST,
-                  store_id DESC NULLS LAST, customer_id DESC NULLS LAST,
-                  order_date DESC NULLS LAST, product_sku DESC NULLS LAST,
-                  quantity DESC NULLS LAST, unit_price DESC NULLS LAST,
-                  order_status DESC NULLS LAST) = 1)
+        FROM newest_orders
         WHERE store_id IS NOT NULL AND customer_id IS NOT NULL AND order_date <= {AS_OF}
           AND least(quantity, unit_price, total_amount) > 0
           AND regexp_full_match(product_sku, 'ELF-[0-9]{{5}}')""",
@@ -371,16 +395,6 @@ HEALTH = f"""
                        / max(total_records) * 100, 1) AS health_score
           FROM ({' UNION ALL '.join(_all_checks())}) GROUP BY table_name)"""
 
-SNAPSHOTS = """
-    snapshots AS (
-        SELECT 'P-' || p_partkey AS product_sku, p_name AS product_name, p_type AS category,
-               p_retailprice AS price, p_partkey % 50 AS stock_quantity,
-               p_retailprice + CASE WHEN p_partkey % 5 = 0 THEN 10 ELSE 0 END AS later_price,
-               p_partkey % 50 + CASE WHEN p_partkey % 7 = 0 THEN 1 ELSE 0 END AS later_stock,
-               p_size > 5 AS in_first, p_size < 45 AS in_second,
-               p_partkey % 5 = 0 OR p_partkey % 7 = 0 AS differs
-        FROM part)"""
-
 OTHERS: dict[str, str] = {
     "quality_nulls": _issues(_null_checks()),
     "quality_negatives": _issues(_negative_checks()),
@@ -461,18 +475,33 @@ OTHERS: dict[str, str] = {
     "upsert": """
         SELECT * FROM bronze_inventory
         QUALIFY row_number() OVER (PARTITION BY inventory_id ORDER BY _loaded_at DESC) = 1""",
-    "scd2_history": f"""
-        WITH {SNAPSHOTS}
-        SELECT product_sku, product_name, category, price, stock_quantity,
-               TIMESTAMP '2001-01-01' AS valid_from,
-               CASE WHEN NOT in_second OR differs THEN TIMESTAMP '2001-02-01' END AS valid_to,
-               in_second AND NOT differs AS is_current, 'SYNTH_PARTS' AS _source,
-               TIMESTAMP '2001-01-01' AS _loaded_at
-        FROM snapshots WHERE in_first
-        UNION ALL
-        SELECT product_sku, product_name, category, later_price, later_stock,
-               TIMESTAMP '2001-02-01', NULL, true, 'SYNTH_PARTS', TIMESTAMP '2001-02-01'
-        FROM snapshots WHERE in_second AND (differs OR NOT in_first)""",
+    "scd2_history": "SELECT * FROM product_history",
+    "scd2_partitions": "SELECT *, is_current AS in_open FROM product_history",
+    "stream_distinct": """
+        SELECT order_status, count(*) AS orders, CAST(sum(quantity) AS BIGINT) AS units,
+               (SELECT count(*) FROM (SELECT DISTINCT * FROM bronze_orders)) AS rows_stored,
+               (SELECT count(*) FROM bronze_orders WHERE order_id % 11 = 0 AND year(_loaded_at)
+                    = (SELECT min(year(_loaded_at)) FROM bronze_orders)) AS rows_late
+        FROM newest_orders GROUP BY 1""",
+    "distinct_sketches": " UNION ALL ".join(
+        f"SELECT '{span}' AS span, store_id, count(DISTINCT customer_id) AS customers, "
+        "count(DISTINCT product_sku) AS products, true AS customers_near, true AS products_near "
+        f"FROM silver_orders WHERE {inside} GROUP BY store_id"
+        for span, inside in (("1996", "year(order_date) = 1996"), ("all", "true"))
+    ),
+    "incremental_gold": " UNION ALL ".join(
+        f"SELECT '{model}' AS model, CAST({key} AS VARCHAR) AS key, total_orders AS orders, "
+        f"round({revenue}, 2) AS revenue, CAST({detail} AS DOUBLE) AS detail FROM {model}"
+        for model, key, revenue, detail in (
+            ("store_performance", "store_id", "total_revenue", "unique_customers"),
+            ("store_targets", "store_id", "actual_revenue", "revenue_rank"),
+            ("revenue_by_channel", "channel", "total_revenue", "unique_customers"),
+            ("product_analysis", "product_sku", "total_revenue", "total_units_sold"),
+            ("product_margins", "product_sku", "total_revenue", "revenue_rank"),
+            ("customer_360", "customer_id", "lifetime_value", "unique_products_bought"),
+            ("daily_revenue", "CAST(order_day AS DATE)", "daily_revenue", "unique_customers"),
+        )
+    ),
     "schema_changes": f"""
         SELECT 'CSV_CUSTOMER' AS source_name, change_type, column_name, old_value, new_value,
                {AS_OF} AS detected_at

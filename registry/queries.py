@@ -5,14 +5,17 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tradewind.functions.columns import add_days, bytes_to_long
-from tradewind.operators import audit, history, quality, ranking, reshape, validation
+from tradewind.operators import audit, history, quality, ranking, reshape, sketches, validation
 from tradewind.plans import ask as asking
 from tradewind.plans import gold, ingest, pipeline, questions, silver
+from tradewind.plans import incremental_gold as by_load
 from tradewind.rules import TableNames
 from tradewind.session import stage, staging_path
 from tradewind.sources import files, relational, warehouse
@@ -240,6 +243,39 @@ def stream_ingest(spark, folder):
     )
 
 
+def order_deliveries(spark, folder) -> tuple[str, StructType]:
+    """Folder of order files, one per year of loading, and their schema.
+
+    Each file also repeats rows of the year before; the last one repeats rows of the first year.
+    """
+    bronze, _ = stage(star.bronze_orders(spark, folder), "orders")
+    year = F.year("_loaded_at")
+    first, last = bronze.agg(F.min(year), F.max(year)).first()
+    path = staging_path(spark, "deliveries")
+    again, long_ago = F.col("order_id") % 7 == 0, F.col("order_id") % 11 == 0
+    for n in range(first, last + 1):
+        rows = (year == n) | ((year == n - 1) & again)
+        delivery = bronze.filter(rows)
+        if n == last:
+            delivery = delivery.unionByName(bronze.filter((year == first) & long_ago))
+        delivery.coalesce(1).write.mode("append").parquet(path)  # one after the other
+    return path, bronze.schema
+
+
+def stream_distinct(spark, folder):
+    """Orders from deliveries with repeats and late rows, newest per order, by status."""
+    path, schema = order_deliveries(spark, folder)
+    stream = incremental.arrivals(spark, path, schema, maxFilesPerTrigger="1")
+    orders, late = incremental.distinct_arrivals(
+        stream, staging_path(spark, "distinct"), schema.names, "_loaded_at", "800 days"
+    )
+    newest = silver.newest_orders(orders)
+    return newest.groupBy("order_status").agg(
+        F.count(F.lit(1)).alias("orders"), F.sum("quantity").alias("units"),
+        F.lit(orders.count()).cast("long").alias("rows_stored"), F.lit(late).cast("long").alias("rows_late"),
+    )
+
+
 # Run log and reports -----------------------------------------------------------------------
 
 def run_log(spark, folder):
@@ -355,6 +391,17 @@ def scd2_history(spark, folder):
     )
 
 
+def scd2_partitions(spark, folder):
+    """The history table after both snapshots: closed versions lie in partitions of their own."""
+    first, second = product_snapshots(spark, folder)
+    table = TableNames().product_history
+    with own_database(spark):
+        pipeline.record_products(spark, first, "2001-01-01")
+        pipeline.record_products(spark, second, "2001-02-01", close_missing=True)
+        kept = spark.table(table).withColumn("in_open", F.col("_period") == pipeline.OPEN)
+        return stage(kept.drop("surrogate_key", "_period"), "product-history")[0]
+
+
 def schema_changes(spark, folder):
     """Two customer deliveries as text; their schemas are inferred from every row."""
     customers = star.table(spark, folder, "customer")
@@ -381,6 +428,77 @@ def volume_history(spark, folder):
     )
 
 
+# Distinct counts from sketches, Gold load by load -----------------------------------------
+
+def distinct_sketches(spark, folder):
+    """Customers and products per store, of a year and of all time, from sketches kept by day:
+    the exact counts, and whether the estimates are within four standard errors."""
+    with own_database(spark):
+        valid, _ = stage(orders(spark, folder), "orders")
+        sketches.append(sketches.daily_sketches(valid), "DISTINCT_SKETCHES")
+
+        def counted(span: str, first: str, last: str) -> DataFrame:
+            estimated = sketches.distinct_between(spark, "DISTINCT_SKETCHES", first, last)
+            inside = valid.filter(
+                (F.col("order_date") >= first) & (F.col("order_date") < F.date_add(F.lit(last), 1))
+            )
+            exact = inside.groupBy("store_id").agg(
+                F.count_distinct("customer_id").alias("customers"),
+                F.count_distinct("product_sku").alias("products"),
+            )
+            error = 4 * sketches.relative_error()
+
+            def near(estimate: str, count: str) -> Column:
+                return F.abs(F.col(estimate) - F.col(count)) <= F.col(count) * error
+
+            return exact.join(estimated, "store_id").select(
+                F.lit(span).alias("span"), "store_id", "customers", "products",
+                near("customer_id", "customers").alias("customers_near"),
+                near("product_sku", "products").alias("products_near"),
+            )
+
+        both = counted("1996", "1996-01-01", "1996-12-31").union(
+            counted("all", "1900-01-01", "2100-01-01"))
+        return stage(both, "distinct-counts")[0]
+
+
+def incremental_gold(spark, folder):
+    """Gold after three loads of orders, taken in one by one; later loads replace earlier rows."""
+    bronze, _ = stage(star.bronze_orders(spark, folder), "orders")
+    state = by_load.State(spark, staging_path(spark, "gold-state"))
+    turn = F.year("_loaded_at") % 3
+    for n in range(3):
+        state.add(bronze.filter(turn == n), f"load-{n}", AS_OF)
+    stock, shops = inventory(spark, folder), stores(spark, folder)
+    sales, sold = stage(state.sales(), "sales")[0], stage(state.sold(), "sold")[0]
+
+    def rows(model: str, df: DataFrame, key: str, orders: str, revenue: str, detail: str) -> DataFrame:
+        return df.select(
+            F.lit(model).alias("model"), F.col(key).cast("string").alias("key"),
+            F.col(orders).alias("orders"), F.round(revenue, 2).alias("revenue"),
+            F.col(detail).cast("double").alias("detail"),
+        )
+
+    parts = [
+        rows("store_performance", gold.store_performance(sales, shops, AS_OF), "store_id",
+             "total_orders", "total_revenue", "unique_customers"),
+        rows("store_targets", gold.store_targets(sales, shops, AS_OF), "store_id",
+             "total_orders", "actual_revenue", "revenue_rank"),
+        rows("revenue_by_channel", gold.revenue_by_channel(sales, shops, AS_OF), "channel",
+             "total_orders", "total_revenue", "unique_customers"),
+        rows("product_analysis", gold.product_analysis_of(sold, stock, AS_OF), "product_sku",
+             "total_orders", "total_revenue", "total_units_sold"),
+        rows("product_margins", gold.product_margins_of(sold, stock, AS_OF), "product_sku",
+             "total_orders", "total_revenue", "revenue_rank"),
+        rows("customer_360", gold.customer_360_of(state.customers(), AS_OF), "customer_id",
+             "total_orders", "lifetime_value", "unique_products_bought"),
+        rows("daily_revenue", gold.daily_revenue_of(state.daily(), AS_OF).withColumn(
+            "order_day", F.date_format("order_day", "yyyy-MM-dd")), "order_day",
+             "total_orders", "daily_revenue", "unique_customers"),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 # Whole runs, each in a database of its own ------------------------------------------------
 
 @contextmanager
@@ -634,6 +752,7 @@ QUERIES: dict[str, Query] = {
     "load_verification": load_verification,
     "table_counts": table_counts,
     "stream_ingest": stream_ingest,
+    "stream_distinct": stream_distinct,
     "run_statistics": run_statistics,
     "success_rate": success_rate,
     "run_series": run_series,
@@ -645,8 +764,11 @@ QUERIES: dict[str, Query] = {
     "running_total": running_total,
     "upsert": upsert,
     "scd2_history": scd2_history,
+    "scd2_partitions": scd2_partitions,
     "schema_changes": schema_changes,
     "volume_history": volume_history,
+    "distinct_sketches": distinct_sketches,
+    "incremental_gold": incremental_gold,
     "pipeline_run": pipeline_run,
     "check_all": check_all,
     "sync_tables": sync_tables,

@@ -223,7 +223,12 @@ def channel_roi(sales: DataFrame, stores: DataFrame, as_of=None) -> DataFrame:
 # Product models ------------------------------------------------------------------
 
 def product_analysis(orders: DataFrame, inventory: DataFrame, as_of=None) -> DataFrame:
-    both = sku_sales(orders).join(sku_stock(inventory), "product_sku", "full_outer")
+    return product_analysis_of(sku_sales(orders), inventory, as_of)
+
+
+def product_analysis_of(sold: DataFrame, inventory: DataFrame, as_of=None) -> DataFrame:
+    """``sold`` as from ``sku_sales``."""
+    both = sold.join(sku_stock(inventory), "product_sku", "full_outer")
     measured = both.select(
         "product_sku", "product_name",
         _zero("orders").alias("total_orders"),
@@ -289,7 +294,14 @@ def product_margins(
     stock rows, so both sides are aggregated first and no row is multiplied.
     ``fanout=False`` counts every order once.
     """
-    both = sku_sales(orders).join(sku_stock(inventory), "product_sku", "left")
+    return product_margins_of(sku_sales(orders), inventory, as_of, fanout)
+
+
+def product_margins_of(
+    sold: DataFrame, inventory: DataFrame, as_of=None, fanout: bool = True
+) -> DataFrame:
+    """``sold`` as from ``sku_sales``."""
+    both = sold.join(sku_stock(inventory), "product_sku", "left")
     rows = F.coalesce("stock_rows", F.lit(1)) if fanout else F.lit(1)
     cost = F.coalesce("cost_sum" if fanout else "avg_cost", F.lit(0.0))
     measured = both.select(
@@ -318,9 +330,9 @@ def product_margins(
 
 # Time and customer models ----------------------------------------------------------
 
-def daily_revenue(orders: DataFrame, as_of=None) -> DataFrame:
-    """One row per day with orders; "previous" is the previous such day."""
-    daily = orders.groupBy(day_of(F.col("order_date")).alias("order_day")).agg(
+def daily_sales(orders: DataFrame) -> DataFrame:
+    """One row per day with orders."""
+    return orders.groupBy(day_of(F.col("order_date")).alias("order_day")).agg(
         F.count("order_id").alias("total_orders"),
         F.sum("total_amount").alias("revenue"),
         F.avg("total_amount").alias("avg_order_value"),
@@ -328,6 +340,15 @@ def daily_revenue(orders: DataFrame, as_of=None) -> DataFrame:
         F.count_distinct("customer_id").alias("unique_customers"),
         F.sum("quantity").alias("total_units"),
     )
+
+
+def daily_revenue(orders: DataFrame, as_of=None) -> DataFrame:
+    """One row per day with orders; "previous" is the previous such day."""
+    return daily_revenue_of(daily_sales(orders), as_of)
+
+
+def daily_revenue_of(daily: DataFrame, as_of=None) -> DataFrame:
+    """``daily`` as from ``daily_sales``."""
     # One task orders the days. The calendar bounds them: a century is 36,525 rows.
     by_day = Window.orderBy("order_day")
     so_far = by_day.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -353,8 +374,9 @@ def daily_revenue(orders: DataFrame, as_of=None) -> DataFrame:
     )
 
 
-def customer_360(orders: DataFrame, as_of=None) -> DataFrame:
-    per_customer = orders.groupBy("customer_id").agg(
+def customer_sales(orders: DataFrame) -> DataFrame:
+    """One row per customer."""
+    return orders.groupBy("customer_id").agg(
         F.count("order_id").alias("total_orders"),
         F.sum("total_amount").alias("lifetime_value"),
         F.avg("total_amount").alias("avg_order_value"),
@@ -364,6 +386,14 @@ def customer_360(orders: DataFrame, as_of=None) -> DataFrame:
         F.count_distinct("store_id").alias("stores_visited"),
         F.sum("quantity").alias("total_units_purchased"),
     )
+
+
+def customer_360(orders: DataFrame, as_of=None) -> DataFrame:
+    return customer_360_of(customer_sales(orders), as_of)
+
+
+def customer_360_of(per_customer: DataFrame, as_of=None) -> DataFrame:
+    """``per_customer`` as from ``customer_sales``."""
     idle_days = days_between(F.col("last_order_date"), as_of_timestamp(as_of))
     return _stamp(
         global_rank(per_customer, "lifetime_value", "value_rank").select(

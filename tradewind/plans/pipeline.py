@@ -12,8 +12,10 @@ from contextvars import copy_context
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tradewind import rules
+from tradewind.functions.columns import utc_now
 from tradewind.operators import history, quality
 from tradewind.plans import gold, silver
 from tradewind.rules import TableNames
@@ -28,7 +30,7 @@ class Model:
     build: Callable[[], DataFrame]
 
 
-class _Once:
+class Once:
     """A DataFrame staged the first time a model asks for it."""
 
     def __init__(self, build: Callable[[], DataFrame], label: str):
@@ -60,7 +62,7 @@ def models(spark: SparkSession, as_of=None, names: TableNames = TableNames()) ->
     def bronze(entity: str) -> DataFrame:
         return spark.table(names.bronze(entity))
 
-    sales = _Once(lambda: gold.store_customer_sales(orders()), "sales")
+    sales = Once(lambda: gold.store_customer_sales(orders()), "sales")
     return [
         Model("SILVER", names.silver("stores"),
               lambda: silver.silver_stores(bronze("stores"), as_of)),
@@ -106,15 +108,19 @@ def run_model(model: Model) -> dict:
 def run_all(
     spark: SparkSession, as_of=None, names: TableNames = TableNames(), parallel: int = 4
 ) -> dict:
-    """Build every model, Silver before Gold; ``partial`` when some failed.
+    """Build every model, Silver before Gold; ``partial`` when some failed."""
+    create_product_history(spark, names.product_history)
+    return run_models(spark, models(spark, as_of, names), parallel)
+
+
+def run_models(spark: SparkSession, planned: list[Model], parallel: int = 4) -> dict:
+    """Build ``planned`` layer by layer and report on each.
 
     Models of a layer do not depend on each other, so their Spark jobs are
     submitted ``parallel`` at a time and one model's last tasks leave no core idle.
     """
     start = time.monotonic()
-    ops.create_if_missing(spark, names.product_history, ops.PRODUCT_HISTORY)
     outcomes = []
-    planned = models(spark, as_of, names)
     with staging_scope(spark), ThreadPoolExecutor(parallel) as submit:
         for layer in ("SILVER", "GOLD"):
             running = [
@@ -137,15 +143,55 @@ def run_all(
     }
 
 
+#: Partition of the versions that are valid now; all others are closed for good.
+OPEN, PERIOD = "open", "_period"
+
+
+def create_product_history(spark: SparkSession, table: str) -> None:
+    """The history table, partitioned by the snapshot that closed a version."""
+    if not spark.catalog.tableExists(table):
+        empty = spark.createDataFrame([], f"{ops.PRODUCT_HISTORY}, {PERIOD} string")
+        empty.write.format("parquet").partitionBy(PERIOD).saveAsTable(table)
+
+
 def record_products(
-    spark: SparkSession, snapshot: DataFrame, at, names: TableNames = TableNames(),
+    spark: SparkSession, snapshot: DataFrame, at=None, names: TableNames = TableNames(),
     close_missing: bool = False,
 ) -> int:
-    """Bring the product history table up to ``snapshot``, one row per SKU."""
-    ops.create_if_missing(spark, names.product_history, ops.PRODUCT_HISTORY)
-    past = spark.table(names.product_history)
-    present = history.apply_snapshot(past, snapshot, at, close_missing)
-    return warehouse.swap(present, names.product_history)
+    """Bring the product history table up to ``snapshot``, one row per SKU; rows it has then.
+
+    Only open versions are read and written again. What the snapshot closes goes into a partition
+    of its own first, then the open partition is replaced; a call that failed in between is
+    simply made again. A table without partitions, as older versions made it, is rewritten whole.
+    """
+    table = names.product_history
+    create_product_history(spark, table)
+    past = spark.table(table)
+    if PERIOD not in past.columns:
+        return warehouse.swap(history.apply_snapshot(past, snapshot, at, close_missing), table)
+    moment = dt.datetime.fromisoformat(str(at)) if at is not None else utc_now()
+    period = moment.strftime("%Y%m%dT%H%M%S%f")
+    current = past.filter(F.col(PERIOD) == OPEN).drop(PERIOD)
+    with staging_scope(spark):
+        versions, _ = stage(
+            history.apply_snapshot(current, snapshot, moment, close_missing), "products"
+        )
+        ended, still_open = versions.agg(
+            F.count_if(~F.col("is_current")), F.count_if(F.col("is_current"))
+        ).first()
+        if ended:
+            closed = versions.filter("NOT is_current").withColumn(PERIOD, F.lit(period))
+            same_moment = past.filter(F.col(PERIOD) == period).join(
+                closed.select("surrogate_key"), "surrogate_key", "left_anti"
+            )
+            warehouse.overwrite_partitions(closed.unionByName(same_moment), table, PERIOD)
+        if still_open:
+            warehouse.overwrite_partitions(
+                versions.filter("is_current").withColumn(PERIOD, F.lit(OPEN)), table, PERIOD
+            )
+        else:
+            spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION ({PERIOD} = '{OPEN}')")
+    return spark.table(table).count()
 
 
 def status(spark: SparkSession, names: TableNames = TableNames()) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tradewind import rules
@@ -23,12 +23,15 @@ STORE_COLUMNS = (
 )
 
 
-def silver_orders(bronze: DataFrame, as_of=None, sku: str = rules.sku_pattern()) -> DataFrame:
-    """The newest row of an order counts even if invalid: the order then drops out."""
-    newest = latest_per_key(
+def newest_orders(bronze: DataFrame) -> DataFrame:
+    """The newest row of each order, valid or not."""
+    return latest_per_key(
         bronze.select(*ORDER_COLUMNS), ["order_id"], "_loaded_at", ["total_amount"]
     )
-    valid = (
+
+
+def valid_order(as_of=None, sku: str = rules.sku_pattern()) -> Column:
+    return (
         F.col("store_id").isNotNull()
         & F.col("customer_id").isNotNull()
         & F.col("order_date").isNotNull()
@@ -39,7 +42,12 @@ def silver_orders(bronze: DataFrame, as_of=None, sku: str = rules.sku_pattern())
         & (F.col("order_date") <= as_of_timestamp(as_of))
         & matches_whole(F.col("product_sku"), sku)
     )
-    return newest.filter(valid).withColumn("_silver_loaded_at", as_of_timestamp(as_of))
+
+
+def silver_orders(bronze: DataFrame, as_of=None, sku: str = rules.sku_pattern()) -> DataFrame:
+    """The newest row of an order counts even if invalid: the order then drops out."""
+    newest = newest_orders(bronze)
+    return newest.filter(valid_order(as_of, sku)).withColumn("_silver_loaded_at", as_of_timestamp(as_of))
 
 
 def silver_inventory(bronze: DataFrame, as_of=None) -> DataFrame:

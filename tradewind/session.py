@@ -89,7 +89,7 @@ def staging_scope(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         _scope.reset(token)
-        _delete(spark, paths)
+        delete_paths(spark, paths)
 
 
 def release_staged(spark: SparkSession) -> None:
@@ -97,10 +97,16 @@ def release_staged(spark: SparkSession) -> None:
 
     Call it once the results that read the staged tables are written.
     """
-    _delete(spark, _loose.pop(spark.sparkContext.applicationId, []))
+    delete_paths(spark, _loose.pop(spark.sparkContext.applicationId, []))
 
 
-def _delete(spark: SparkSession, paths: list[str]) -> None:
+def path_exists(spark: SparkSession, path: str) -> bool:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+
+
+def delete_paths(spark: SparkSession, paths: list[str]) -> None:
+    """Delete folders wherever they are; those that do not exist are passed over."""
     configuration = spark._jsc.hadoopConfiguration()
     for path in paths:
         folder = spark._jvm.org.apache.hadoop.fs.Path(path)

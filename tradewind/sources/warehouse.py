@@ -78,6 +78,24 @@ def replace(df: DataFrame, table: str) -> int:
 swap = replace
 
 
+def location(spark: SparkSession, table: str) -> str:
+    described = spark.sql(f"DESCRIBE TABLE EXTENDED {table}")
+    return described.filter("col_name = 'Location'").first()["data_type"]
+
+
+def overwrite_partitions(df: DataFrame, table: str, by: str) -> None:
+    """Replace the partitions that ``df`` has rows for; files of all others stay as they are.
+
+    The new files are written aside and moved once all are written, so ``df`` may read ``table``.
+    """
+    spark = df.sparkSession
+    df.write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic"
+    ).partitionBy(by).parquet(location(spark, table))
+    spark.catalog.recoverPartitions(table)
+    spark.catalog.refreshTable(table)
+
+
 def names(spark: SparkSession, prefix: str = "") -> list[str]:
     found = (t.name for t in spark.catalog.listTables() if not t.isTemporary)
     return sorted(n for n in found if n.upper().startswith(prefix.upper()))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tradewind.functions.columns import utc_now
@@ -53,6 +54,44 @@ def load_arrivals(
     return stream.sparkSession.read.parquet(accepted)
 
 
+def distinct_arrivals(
+    stream: DataFrame, path: str, keys: Sequence[str], moment: str, delay: str
+) -> tuple[DataFrame, int]:
+    """Store the rows of all files not seen yet, repeats once; (all rows stored, rows too late).
+
+    Rows with equal ``keys`` whose ``moment`` is at most ``delay`` apart are one. Spark remembers
+    the keys between calls and forgets them once the newest moment is ``delay`` ahead, so what is
+    kept in memory follows the delay and not the history. Rows older than that are counted and
+    left out, since their first copy may be forgotten; time moves on from batch to batch. With ``keys`` that identify a row,
+    newest rows per key of what is stored are those of all rows in time.
+    """
+    stored = f"{path}/distinct"
+    timed = stream.withColumn("_moment", F.col(moment).cast("timestamp"))
+    once = timed.withWatermark("_moment", delay).dropDuplicatesWithinWatermark(list(keys))
+
+    def store(batch: DataFrame, number: int) -> None:
+        batch.drop("_moment").write.mode("overwrite").parquet(f"{stored}/_batch={number}")
+
+    query = (
+        once.writeStream.option("checkpointLocation", f"{path}/distinct-progress")
+        .trigger(availableNow=True)
+        .foreachBatch(store)
+        .start()
+    )
+    late: dict[int, int] = {}  # by batch; progress is kept for the last hundred only
+
+    def note_late() -> None:
+        for progress in query.recentProgress:
+            late[progress["batchId"]] = sum(
+                s["numRowsDroppedByWatermark"] for s in progress["stateOperators"]
+            )
+
+    while not query.awaitTermination(1):
+        note_late()
+    note_late()
+    return stream.sparkSession.read.schema(stream.schema).parquet(stored), sum(late.values())
+
+
 def publish(spark: SparkSession, path: str, table: str) -> None:
     """Make what ``load_arrivals`` stored under ``path`` readable as a Bronze table."""
     if not spark.catalog.tableExists(table):
