@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tradewind.llm.text import small_batches, staged
+from tradewind.llm.text import small_batches, staged, unused
 
 WINDOW = 10
 #: Words of items in one automaton; an automaton is some 100 bytes a word.
@@ -266,26 +266,27 @@ def decontaminated(
     """The documents without benchmark passages; the columns stay, ``n_chars`` follows.
 
     A span of more than ``max_span`` words is removed from its text; a document of
-    whose words more than ``max_coverage`` are in such spans goes altogether.
+    whose words more than ``max_coverage`` are in such spans goes altogether. Texts are taken
+    whole; null texts stay; columns of any name stay as they are.
     """
-    found = "_contamination"
+    found, spans = unused("contamination", docs), unused("spans", docs)
     marked = contamination(docs, benchmark, window, found)
     long_spans = F.filter(
         F.col(found)["spans"], lambda s: s["end"] - s["start"] > max_span
     )
-    marked = marked.withColumn("_spans", long_spans)
-    hit = F.aggregate("_spans", F.lit(0), lambda n, s: n + s["end"] - s["start"])
+    marked = marked.withColumn(spans, long_spans)
+    hit = F.aggregate(spans, F.lit(0), lambda n, s: n + s["end"] - s["start"])
     marked = marked.filter(hit <= F.col(found)["n_words"] * max_coverage)
 
     @F.pandas_udf("string")
-    def clean(texts: pd.Series, spans: pd.Series) -> pd.Series:
+    def clean(texts: pd.Series, places: pd.Series) -> pd.Series:
         return pd.Series([
             None if t is None else cut(t, [(x["start"], x["end"]) for x in s])
-            for t, s in zip(texts, spans)
+            for t, s in zip(texts, places)
         ], dtype=object)
 
-    touched = F.size("_spans") > 0  # only those texts go to Python once more
-    cleaned = clean(F.when(touched, F.col("text")), F.when(touched, F.col("_spans")))
+    touched = F.size(spans) > 0  # only those texts go to Python once more
+    cleaned = clean(F.when(touched, F.col("text")), F.when(touched, F.col(spans)))
     marked = marked.withColumn("text", F.when(touched, cleaned).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         length = F.char_length("text").cast(docs.schema["n_chars"].dataType)

@@ -15,13 +15,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tradewind.llm.text import STRIPPED, lower_ascii, row_key, staged, whole
+from tradewind.llm.text import STRIPPED, lower_ascii, row_key, staged, unused, whole
 
 SALTS = 64
 #: A table of repeated lines up to this size is sent to all executors, beyond it joined.
 BROADCAST_ROWS = 100_000
 
 REPEATED, LATER = "repeated", "later"
+#: Names of the columns that tell what goes.
+N_LINES, DROPPED = "_n_lines", "_dropped"
 
 
 def lines_of(text: Column | str) -> Column:
@@ -87,14 +89,16 @@ def _runs(positions: Column) -> Column:
 
 
 def with_dropped_runs(
-    docs: DataFrame, min_documents: int = 10, min_length: int = 1, drop: str = REPEATED
+    docs: DataFrame, min_documents: int = 10, min_length: int = 1, drop: str = REPEATED,
+    n_lines: str = N_LINES, dropped: str = DROPPED,
 ) -> DataFrame:
-    """``docs`` with ``_n_lines`` and ``_dropped``, the runs of lines to drop (null: none).
+    """``docs`` with ``n_lines`` and ``dropped``, the runs of lines to drop (null: none).
 
     ``drop=REPEATED`` drops every line of a repeated key, ``LATER`` all but its first
     occurrence. Documents are told apart by doc_id; rows without id count as one
     document. A null or empty text is one empty line. Rows that repeat get the same
-    runs; other columns stay as they are; an empty table stays empty.
+    runs; other columns stay as they are, but for those named like the two new ones, which
+    are replaced; an empty table stays empty.
     """
     if drop not in (REPEATED, LATER):
         raise ValueError(f"drop is {REPEATED!r} or {LATER!r}")
@@ -108,16 +112,16 @@ def with_dropped_runs(
             F.col("doc_id").isNull(), F.col("doc_id"), F.col("text_key"), F.col("position")
         )
         hits = hits.filter(~here.eqNullSafe(F.col("first")))
-    dropped = (
-        hits.groupBy(F.col("doc_id").alias("_doc_id"), F.col("text_key").alias("_key"))
-        .agg(F.array_sort(F.collect_set("position")).alias("_positions"))
-        .select("_doc_id", "_key", _runs(F.col("_positions")).alias("_dropped"))
+    rows = docs.drop(n_lines, dropped)
+    key, its_id, its_key = (unused(c, docs) for c in ("text_key", "line_doc_id", "line_text_key"))
+    runs = (
+        hits.groupBy(F.col("doc_id").alias(its_id), F.col("text_key").alias(its_key))
+        .agg(F.array_sort(F.collect_set("position")).alias("positions"))
+        .select(its_id, its_key, _runs(F.col("positions")).alias(dropped))
     )
-    return docs.withColumn("_text_key", row_key()).join(
-        dropped,
-        F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("_text_key") == F.col("_key")),
-        "left",
-    ).withColumn("_n_lines", F.size(lines_of("text"))).drop("_doc_id", "_key", "_text_key")
+    return rows.withColumn(key, row_key()).join(
+        runs, F.col("doc_id").eqNullSafe(F.col(its_id)) & (F.col(key) == F.col(its_key)), "left",
+    ).withColumn(n_lines, F.size(lines_of("text"))).drop(its_id, its_key, key)
 
 
 def _kept_runs(n_lines: Column, dropped: Column) -> Column:
@@ -135,32 +139,29 @@ def _kept_runs(n_lines: Column, dropped: Column) -> Column:
     return F.filter(kept, lambda run: run["end"] > run["start"])
 
 
-def n_dropped() -> Column:
+def n_dropped(dropped: str = DROPPED) -> Column:
     total = F.aggregate(
-        F.col("_dropped"), F.lit(0), lambda n, run: n + run["last"] - run["first"] + 1
+        F.col(dropped), F.lit(0), lambda n, run: n + run["last"] - run["first"] + 1
     )
     return F.coalesce(total, F.lit(0)).cast("long")
 
 
-def kept_text() -> Column:
+def kept_text(n_lines: str = N_LINES, dropped: str = DROPPED) -> Column:
     """The kept lines joined by line breaks; the whole text if nothing is dropped."""
     lines = lines_of("text")
     kept = F.flatten(F.transform(
-        _kept_runs(F.col("_n_lines"), F.col("_dropped")),
+        _kept_runs(F.col(n_lines), F.col(dropped)),
         lambda run: F.slice(lines, run["start"] + 1, run["end"] - run["start"]),
     ))
-    return F.when(F.col("_dropped").isNull(), whole("text")).otherwise(F.array_join(kept, "\n"))
+    return F.when(F.col(dropped).isNull(), whole("text")).otherwise(F.array_join(kept, "\n"))
 
 
-def keep_bitmaps(
-    docs: DataFrame, min_documents: int = 10, min_length: int = 1, drop: str = REPEATED
-) -> DataFrame:
-    """(doc_id, n_lines, keep) per row: ``keep`` holds lengths of alternating runs of lines,
-    kept ones first, e.g. ``[2, 1, 4]``: two lines kept, one dropped, four kept."""
-    marked = with_dropped_runs(docs, min_documents, min_length, drop)
-    runs = F.coalesce(F.col("_dropped"), F.expr("cast(array() AS array<struct<first:int,last:int>>)"))
+def keep_bitmap(n_lines: str = N_LINES, dropped: str = DROPPED) -> Column:
+    """Lengths of alternating runs of lines, kept ones first, e.g. ``[2, 1, 4]``: two lines kept,
+    one dropped, four kept."""
+    runs = F.coalesce(F.col(dropped), F.expr("cast(array() AS array<struct<first:int,last:int>>)"))
     edges = F.concat(
-        runs, F.array(F.struct(F.col("_n_lines").alias("first"), F.col("_n_lines").alias("last")))
+        runs, F.array(F.struct(F.col(n_lines).alias("first"), F.col(n_lines).alias("last")))
     )
     keep = F.flatten(F.transform(
         edges,
@@ -169,22 +170,30 @@ def keep_bitmaps(
             run["last"] - run["first"] + 1,
         ),
     ))
+    return F.slice(keep, 1, F.size(keep) - 1)
+
+
+def keep_bitmaps(
+    docs: DataFrame, min_documents: int = 10, min_length: int = 1, drop: str = REPEATED
+) -> DataFrame:
+    """(doc_id, n_lines, keep) per row, ``keep`` as from ``keep_bitmap``."""
+    marked = with_dropped_runs(docs, min_documents, min_length, drop)
     return marked.select(
-        "doc_id", F.col("_n_lines").cast("long").alias("n_lines"),
-        F.slice(keep, 1, F.size(keep) - 1).alias("keep"),
+        "doc_id", F.col(N_LINES).cast("long").alias("n_lines"), keep_bitmap().alias("keep"),
     )
 
 
 def without_repeated_lines(docs: DataFrame, min_documents: int = 10, min_length: int = 1) -> DataFrame:
     """The documents with the repeated lines gone from ``text``; ``n_chars`` follows, if
     there is such a column. A null text stays null if it loses nothing."""
-    marked = with_dropped_runs(docs, min_documents, min_length)
-    new = F.when(F.col("_dropped").isNull(), F.col("text")).otherwise(kept_text())
+    n_lines, dropped = unused("n_lines", docs), unused("dropped", docs)
+    marked = with_dropped_runs(
+        docs, min_documents, min_length, n_lines=n_lines, dropped=dropped
+    )
+    untouched = F.col(dropped).isNull()
+    new = F.when(untouched, F.col("text")).otherwise(kept_text(n_lines, dropped))
     marked = marked.withColumn("text", new)
     if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        length = F.char_length("text").cast(kind)
-        marked = marked.withColumn(
-            "n_chars", F.when(F.col("_dropped").isNull(), F.col("n_chars")).otherwise(length)
-        )
+        length = F.char_length("text").cast(docs.schema["n_chars"].dataType)
+        marked = marked.withColumn("n_chars", F.when(untouched, F.col("n_chars")).otherwise(length))
     return marked.select(*docs.columns)

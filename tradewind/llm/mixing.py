@@ -4,8 +4,8 @@ The mix is cut into slots of equally many words. Slot ``i`` takes the golden-rat
 ``i * PHI mod 2**32``; the source whose stretch of the cumulative target weights holds the
 point fills the slot. These points fall into every stretch almost in proportion to its length,
 so each source gets its target to within a few slots, and any part of the mix is mixed alike.
-Where a slot is more than a few words, each source is then settled: slots beyond its target go,
-blocks that it lacks go into slots chosen by hash, and its last block ends at the target.
+Then each source is settled: slots beyond its target go, blocks that it lacks go into slots
+chosen by hash, and its last block ends at the target, so sources get their targets to the word.
 
 Each source's documents are put in a fixed random order and their words, laid end to end
 twice, are cut into blocks of a slot's length. The n-th slot of a source takes its n-th
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tradewind.llm.prefix import sum_before
-from tradewind.llm.text import row_key, staged, whole
+from tradewind.llm.text import row_key, staged, unused, whole
 
 WEIGHTS = (3, 1, 2)
 EXPAND, MOST = 1.5, 2
@@ -29,18 +29,18 @@ PHI = 2654435769
 POINTS = 1 << 32
 #: Slots a mix has at most; a slot is the mix over this many, and a word at least.
 SLOTS = 1 << 20
-#: Words a slot may hold while "to within a few slots" is near enough to a target.
-NEAR = 8
 CELLS = 1 << 10
 CHUNK = 1 << 12
 
 
-def sizes(docs: DataFrame) -> DataFrame:
+def sizes(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, source, size, place): words of each row, and its place in the random order."""
     return docs.select(
-        "doc_id", "source",
+        *keep, "doc_id", "source",
         F.regexp_count(whole("text"), F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("size"),
-        F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("place"),
+        F.md5(F.concat_ws(
+            ":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(whole("text"))
+        )).alias("place"),
         row_key().alias("text_key"),
     )
 
@@ -135,30 +135,26 @@ def settled(slots_of: DataFrame, sources: DataFrame, words: int) -> DataFrame:
 
 def mix(
     docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, expand: float = EXPAND,
-    most: int = MOST, slots: int = SLOTS,
+    most: int = MOST, slots: int = SLOTS, keep: tuple[str, ...] = (),
 ) -> tuple[DataFrame, DataFrame]:
     """(documents, pieces) of the mix.
 
-    documents: every row's doc_id, source, size, source_size, target, ``row`` and the words
-    ``taken``. pieces: (slot, row, start, end), the words of a row that a slot takes. In slots of
-    more than NEAR words, sources that are smaller than a slot share one.
-    Rows that repeat are rows of their own; null ids come first in the random order; a null
+    documents: every row's ``keep``, doc_id, source, size, source_size, target, ``row`` and the words
+    ``taken``. pieces: (slot, row, start, end), the words of a row that a slot takes. Sources that
+    are smaller than a slot share one. Rows that repeat are rows of their own; null ids come first in the random order; a null
     source is a source; null and empty texts have no words and are never taken. An
     empty table gives an empty mix.
     """
-    sized = staged(sizes(docs), "sizes")
+    sized = staged(sizes(docs, keep), "sizes")
     sources = staged(source_targets(sized, weights, expand, most), "targets")
     # not the sum of the targets, whose last bits depend on the order of the sum
     total = (sources.agg(F.sum("source_size")).first()[0] or 0) * min(expand, most)
     slots_of, words = schedule(sources, total, slots)
-    if words > NEAR:
-        slots_of = settled(staged(slots_of, "slots"), sources, words)
-    else:
-        slots_of = slots_of.withColumn("want", F.lit(None).cast("long"))  # whole blocks
+    slots_of = settled(staged(slots_of, "slots"), sources, words)
     known = sized.join(
         sources, sized["source"].eqNullSafe(sources["source"])
     ).select(
-        "doc_id", sized["source"], "size", "place", "text_key", "source_no", "source_size",
+        *keep, "doc_id", sized["source"], "size", "place", "text_key", "source_no", "source_size",
         "target", F.conv(F.substring("place", 1, 3), 16, 10).cast("int").alias("bucket"),
     )
     placed = sum_before(
@@ -189,7 +185,37 @@ def mix(
         & (F.col("size") > 0),
         "left",
     ).select(
-        "doc_id", "source", "size", "source_size", "target", "row",
+        *keep, "doc_id", "source", "size", "source_size", "target", "row",
         F.coalesce("taken", F.lit(0)).cast("long").alias("taken"),
     )
     return documents, pieces.select("slot", "row", "start", "end")
+
+
+def mixed_corpus(
+    docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, expand: float = EXPAND,
+    most: int = MOST, slots: int = SLOTS,
+) -> DataFrame:
+    """The mix as a corpus: every row of ``docs`` with its counts and its ``pieces``.
+
+    Adds size, source_size, target, taken and pieces, an array of (slot, start, end): words ``start``
+    to ``end`` of the text are what the slot takes. Slots in their order are the mix. Columns of
+    these names in ``docs`` are replaced.
+    """
+    added = ("size", "source_size", "target", "taken", "pieces")
+    columns = [c for c in docs.columns if c not in added]
+    number = unused("mix_row", docs)
+    numbered = staged(
+        docs.select(*columns, F.monotonically_increasing_id().alias(number)), "numbered"
+    )
+    counted, pieces = mix(numbered, weights, expand, most, slots, keep=(number,))
+    of_row = pieces.groupBy(
+        F.col("row.source_no").alias("_no"), F.col("row.before").alias("_before")
+    ).agg(F.sort_array(F.collect_list(F.struct("slot", "start", "end"))).alias("pieces"))
+    none = F.array().cast("array<struct<slot:bigint,start:bigint,end:bigint>>")
+    described = counted.join(
+        of_row,
+        (F.col("row.source_no") == F.col("_no")) & (F.col("row.before") == F.col("_before"))
+        & (F.col("size") > 0),
+        "left",
+    ).select(number, "size", "source_size", "target", "taken", F.coalesce("pieces", none).alias("pieces"))
+    return numbered.join(described, number).drop(number)

@@ -24,18 +24,28 @@ LINE_DEDUP = f"""
         GROUP BY key HAVING count(DISTINCT doc_id) >= 10
     ), marked AS (
         SELECT *, key IN (SELECT key FROM repeated) AS gone FROM keyed
+    ), runs AS (
+        SELECT row, count(*) AS length, min(position) AS first, any_value(gone) AS gone
+        FROM (SELECT *, position - row_number() OVER (PARTITION BY row, gone ORDER BY position)
+                     AS island FROM marked) GROUP BY row, gone, island
+    ), bitmaps AS (
+        SELECT row, CASE WHEN arg_min(gone, first) THEN '0,' ELSE '' END
+                    || string_agg(length, ',' ORDER BY first)
+                    || CASE WHEN arg_max(gone, first) THEN ',0' ELSE '' END AS keep
+        FROM runs GROUP BY row
     )
     SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines,
            count(*) FILTER (gone) AS n_dropped,
            sha256(coalesce(string_agg(line, chr(10) ORDER BY position) FILTER (NOT gone), ''))
-               AS kept_sha256
-    FROM marked GROUP BY row"""
+               AS kept_sha256, any_value(keep) AS keep
+    FROM marked JOIN bitmaps USING (row) GROUP BY row"""
 
 #: Targets in closed form: sources in order of cap over weight, the first level that caps none.
+#: A source takes its target to the word, from the front of its documents laid end to end twice.
 MIXING = f"""
     WITH sized AS (
         SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS size,
-               md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS place
+               md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS place
         FROM documents
     ), sources AS (
         SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
@@ -55,26 +65,11 @@ MIXING = f"""
                         weight * (SELECT level FROM levels WHERE level * weight <= cap
                                   ORDER BY cap / weight, no LIMIT 1))
                   AS target FROM levels
-    ), ends AS (
-        SELECT *, sum(width) OVER (ORDER BY no) AS high,
-               sum(width) OVER (ORDER BY no) - width AS low
-        FROM (SELECT *, CAST(round(target / greatest(total, 1) * 4294967296) AS BIGINT) AS width
-              FROM targets)
-    ), slot AS (
-        SELECT greatest(1, CAST(ceil(any_value(total) / 1048576) AS BIGINT)) AS words,
-               CAST(ceil(any_value(total)) AS BIGINT) AS total FROM targets
-    ), points AS (
-        SELECT i * 2654435769 % 4294967296 AS point
-        FROM (SELECT unnest(range((total + words - 1) // words)) AS i FROM slot)
-    ), filled AS (
-        SELECT no, count(*) * any_value(words) AS words
-        FROM points JOIN ends ON point >= low AND point < high, slot GROUP BY no
     ), placed AS (
-        SELECT doc_id, size, source_size, target, coalesce(words, 0) AS words,
+        SELECT doc_id, size, source_size, target, CAST(round(target) AS BIGINT) AS words,
                sum(size) OVER (PARTITION BY no ORDER BY place, doc_id
                                ROWS UNBOUNDED PRECEDING) - size AS start
-        FROM sized JOIN ends ON sized.source IS NOT DISTINCT FROM ends.source
-             LEFT JOIN filled USING (no)
+        FROM sized JOIN targets ON sized.source IS NOT DISTINCT FROM targets.source
     )
     SELECT doc_id, size, source_size, target,
            CAST(greatest(0, least(size, words - start))

@@ -43,6 +43,7 @@ def op3_line_dedup(spark, folder):
         "doc_id", F.col("_n_lines").cast("long").alias("n_lines"),
         line_dedup.n_dropped().alias("n_dropped"),
         F.sha2(line_dedup.kept_text(), 256).alias("kept_sha256"),
+        F.array_join(line_dedup.keep_bitmap().cast("array<string>"), ",").alias("keep"),
     )
 
 

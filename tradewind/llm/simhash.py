@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tradewind.llm.components import components
-from tradewind.llm.text import row_key, small_batches, staged
+from tradewind.llm.text import row_key, small_batches, staged, unused
 
 BYTES = 8
 SEED = 42
@@ -210,13 +210,11 @@ def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4) -> DataF
 
 def one_of_each(docs: DataFrame, words: int = 4, distance: int = 4) -> DataFrame:
     """The documents, one of each group of near-duplicates; the columns stay."""
-    key, id_ = "_simhash_text_key", "_simhash_doc_id"
+    key, its_id, its_key = (unused(c, docs) for c in ("text_key", "kept_id", "kept_key"))
     kept = near_duplicates(docs, words, distance).filter("keep").select(
-        F.col("doc_id").alias(id_), F.col("text_key").alias(key)
+        F.col("doc_id").alias(its_id), F.col("text_key").alias(its_key)
     ).distinct()
     keyed = docs.withColumn(key, row_key())
     return keyed.join(
-        kept.withColumnRenamed(key, "_kept_key"),
-        F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(key) == F.col("_kept_key")),
-        "left_semi",
+        kept, F.col("doc_id").eqNullSafe(F.col(its_id)) & (F.col(key) == F.col(its_key)), "left_semi",
     ).dropDuplicates(["doc_id", key]).select(*docs.columns)

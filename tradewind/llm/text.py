@@ -33,6 +33,14 @@ def row_key(text: str = "text") -> Column:
     return F.xxhash64(F.col(text).isNull(), F.col(text))
 
 
+def unused(name: str, df: DataFrame) -> str:
+    """A name for a helper column that ``df`` does not have, like ``name``."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """The rows written once to the shared folder and read back."""
     return stage(df, label)[0]

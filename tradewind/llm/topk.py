@@ -29,8 +29,10 @@ K = 20
 PIVOTS, SAMPLE = 32, 2_000
 BLOCK, QUERY_BLOCK = 4096, 1024
 LEAF = 64
-#: Numbers up to here are exact as doubles.
+#: Whole numbers up to here are exact as doubles.
 EXACT = 1 << 53
+#: Score of what is no candidate; its negative still fits 64 bits.
+NONE = -(1 << 63) + 1
 
 
 @dataclass
@@ -74,12 +76,12 @@ class Best:
 
     def __init__(self, queries: int, k: int, floor: np.ndarray | None = None):
         self.k = k
-        self.scores = np.full((queries, k), -np.inf)
+        self.scores = np.full((queries, k), NONE)
         self.ids = np.full((queries, k), np.iinfo(np.int64).max)
-        self.floor = np.full(queries, -np.inf) if floor is None else floor
+        self.floor = np.full(queries, NONE) if floor is None else floor
 
-    def worst(self, rows: np.ndarray) -> float:
-        return float(np.maximum(self.scores[rows, -1], self.floor[rows]).min())
+    def worst(self, rows: np.ndarray) -> int:
+        return int(np.maximum(self.scores[rows, -1], self.floor[rows]).min())
 
     def add(self, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
         """``scores`` of all ``ids`` for each of the query ``rows``."""
@@ -94,10 +96,18 @@ class Best:
 
 
 def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Inner products; in whole numbers of any size where doubles could round."""
-    if np.abs(a).max(initial=0) * np.abs(b).max(initial=0) * a.shape[1] < EXACT:
-        return a @ b.T
-    return (a.astype(object) @ b.astype(object).T).astype(np.float64)
+    """Inner products of whole numbers, exact in 64 bits; larger ones raise."""
+    most = int(np.abs(a).max(initial=0)) * int(np.abs(b).max(initial=0)) * a.shape[1]
+    if most < EXACT:
+        return (a @ b.T).astype(np.int64)
+
+    def whole(matrix: np.ndarray) -> np.ndarray:
+        return np.array([[int(x) for x in row] for row in matrix], object).reshape(matrix.shape)
+
+    scores = whole(a) @ whole(b).T
+    if max(abs(scores.max(initial=0)), abs(scores.min(initial=0))) >= -NONE:
+        raise OverflowError("an inner product does not fit 64 bits")
+    return scores.astype(np.int64)
 
 
 def bound(q: Node, p: Node) -> float:
@@ -121,9 +131,8 @@ def search(
             continue
         if not q.children and not p.children:
             scores = _product(queries[q.rows], points[p.rows])
-            scores[query_ids[q.rows][:, None] == ids[p.rows][None, :]] = -np.inf
-            finite = np.where(np.isneginf(scores), -np.inf, scores)
-            best.add(q.rows, finite, ids[p.rows])
+            scores[query_ids[q.rows][:, None] == ids[p.rows][None, :]] = NONE
+            best.add(q.rows, scores, ids[p.rows])
             continue
         split_q = bool(q.children) and (not p.children or q.radius >= p.radius)
         for a in q.children if split_q else [q]:
@@ -211,14 +220,14 @@ def _searching(width: int, k: int, floors: bool):
 
     def run(key, queries: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
         q, p = _matrix(queries["vector"], width), _matrix(points["vector"], width)
-        floor = queries["floor"].to_numpy(np.float64) if floors else None
+        floor = queries["floor"].to_numpy(np.int64) if floors else None
         best = Best(len(q), k, floor)
         search(q, queries["vec_id"].to_numpy(), p, points["vec_id"].to_numpy(), best)
-        at, rank = np.nonzero(~np.isneginf(best.scores))
+        at, rank = np.nonzero(best.scores != NONE)
         return pd.DataFrame({
             "query_id": queries["vec_id"].to_numpy()[at],
             "vec_id": best.ids[at, rank],
-            "score": best.scores[at, rank].astype(np.int64),
+            "score": best.scores[at, rank],
         })
 
     return run
@@ -244,8 +253,8 @@ def top_k(embeddings: DataFrame, is_query: Column, k: int = K) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's ``k`` highest scores among all other rows.
 
     Ties go to the smaller vec_id; a query has fewer rows if there are fewer vectors.
-    Vectors of unequal length are taken as if filled up with zeros. Other columns are not
-    looked at; an empty table, or one without queries, gives an empty result.
+    Vectors of unequal length are taken as if filled up with zeros. Scores are exact; one that does
+    not fit 64 bits raises. Other columns are not looked at; an empty table, or one without queries, gives an empty result.
     """
     vectors = staged(whole_vectors(embeddings), "vectors")
     width = vectors.agg(F.max(F.size("vector"))).first()[0] or 1
@@ -267,7 +276,7 @@ def top_k(embeddings: DataFrame, is_query: Column, k: int = K) -> DataFrame:
     )
     floored = staged(
         queries.join(floors, queries["vec_id"] == floors["query_id"], "left").withColumn(
-            "floor", F.coalesce(F.col("floor").cast("double"), F.lit(float("-inf")))
+            "floor", F.coalesce("floor", F.lit(NONE))
         ).drop("query_id"),
         "floors",
     )

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tradewind.llm.text import small_batches
+from tradewind.llm.text import small_batches, unused
 
 #: Labelled texts that training takes at most, and their size in characters altogether.
 SAMPLE = 6_000
@@ -273,5 +273,6 @@ def without_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
     """
     network = learn(docs, labels, sample)
     language = "lang" if "lang" in docs.columns else None
-    scored = with_scores(docs, network, "_toxicity")
-    return scored.filter(~flagged(network, "_toxicity", language)).drop("_toxicity")
+    score = unused("toxicity", docs)
+    scored = with_scores(docs, network, score)
+    return scored.filter(~flagged(network, score, language)).drop(score)
