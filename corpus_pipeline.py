@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tradewind.llm import decontaminate, line_dedup, mixing, similar, toxicity
+from tradewind.llm import decontaminate, line_dedup, mixing, simhash, toxicity
 from tradewind.llm.text import staged
 
 
@@ -27,8 +27,8 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays that five-word similarities of 0.8 or more link."""
-    return similar.one_of_each(docs)
+    """One document of each group stays whose SimHash fingerprints link within four bits."""
+    return simhash.one_of_each(docs)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,9 +37,8 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How many words of each document the mix of sources takes."""
-    documents, _ = mixing.mix(docs)
-    return documents.drop("row")
+    """The documents with what the mix of sources takes of each: counts, and pieces by slot."""
+    return mixing.mixed_corpus(docs)
 
 
 STAGES = [
