@@ -270,6 +270,10 @@ INPUTS: dict[str, str] = {
                    AS records_loaded,
                CASE event_type WHEN 'error' THEN 0 ELSE fetched // 10 END AS records_quarantined
         FROM (SELECT *, CAST(floor(value * 10) AS BIGINT) AS fetched FROM events)""",
+    "text_feed": """
+        SELECT o_orderkey AS order_key, o_orderdate AS order_date,
+               CASE WHEN o_orderkey % 41 = 0 THEN -o_totalprice ELSE o_totalprice END AS total_price
+        FROM orders""",
     "feed": r"""
         SELECT CASE WHEN k % 29 = 0 THEN NULL ELSE CAST(k AS VARCHAR) END AS order_key,
                CASE WHEN k % 29 = 0 OR k % 31 = 0 THEN NULL ELSE CAST(c AS VARCHAR) END
@@ -401,6 +405,13 @@ OTHERS: dict[str, str] = {
     "quality_future_dates": _issues(_future_checks("TIMESTAMP '2000-06-01'")),
     "quality_duplicates": _issues(_duplicate_checks()),
     "quality_patterns": _issues(_sku_checks()),
+    "quality_text": _issues([
+        _check("text_feed", "NEGATIVE_VALUE", "total_price", "total_price < 0"),
+        _check("text_feed", "FUTURE_DATE", "order_date", "order_date > TIMESTAMP '1997-01-01'"),
+        "SELECT 'text_feed' AS table_name, 'DUPLICATE_RECORDS' AS issue_type, 'order_key' AS column_name, "
+        "(SELECT count(*) FROM (SELECT 1 FROM text_feed GROUP BY order_key HAVING count(*) > 1)) "
+        "AS issue_count, count(*) AS total_records FROM text_feed",
+    ]),
     "health_score": HEALTH,
     "alert_log": f"""
         SELECT issue_type AS alert_type, table_name || ': ' || description AS message, severity,
@@ -420,7 +431,12 @@ OTHERS: dict[str, str] = {
     "relational_load": """
         SELECT c_custkey AS C_CUSTKEY, c_name AS C_NAME, CAST(c_nationkey AS BIGINT) AS C_NATIONKEY,
                c_acctbal AS C_ACCTBAL, c_mktsegment AS C_MKTSEGMENT FROM customer""",
-    "bytes_to_number": "SELECT o_orderkey, o_orderkey AS from_bytes FROM orders",
+    "bytes_to_number": """
+        SELECT o_orderkey, o_orderkey AS from_bytes,
+               CAST(o_orderkey + (1::HUGEINT << 63) AS VARCHAR) AS from_2_63,
+               CAST(o_orderkey + (1::HUGEINT << 64) - (1::HUGEINT << 48) AS VARCHAR) AS up_to_2_64,
+               CAST(o_orderkey + 254 * (1::HUGEINT << 64) AS VARCHAR) AS nine_bytes,
+               CAST(o_orderkey + (1::HUGEINT << 120) AS VARCHAR) AS sixteen_bytes FROM orders""",
     "null_profile": """
         SELECT 'store_id' AS column_name, count(*) FILTER (store_id IS NULL) AS null_count
         FROM bronze_orders
@@ -455,6 +471,15 @@ OTHERS: dict[str, str] = {
                records_loaded AS loaded, records_quarantined AS quarantined
         FROM (SELECT * FROM run_log ORDER BY start_time DESC, run_id LIMIT 10)""",
     "newest_n": "SELECT * FROM run_log ORDER BY start_time DESC, run_id LIMIT 20",
+    **{
+        query: f"SELECT ts AS {moment}, event_id AS {key}, {detail} FROM events "
+               f"ORDER BY ts DESC, event_id LIMIT {n}"
+        for query, moment, key, n, detail in (
+            ("newest_quarantine", "quarantined_at", "quarantine_id", 50, "props AS raw_data"),
+            ("newest_alerts", "created_at", "alert_id", 50, "event_type AS alert_type"),
+            ("newest_queries", "asked_at", "query_id", 20, "user_id AS rows_returned"),
+        )
+    },
     "chart_series": """
         SELECT left(store_name, 15) AS name, total_revenue AS value FROM store_performance
         ORDER BY revenue_rank, store_id LIMIT 10""",
@@ -476,7 +501,10 @@ OTHERS: dict[str, str] = {
         SELECT * FROM bronze_inventory
         QUALIFY row_number() OVER (PARTITION BY inventory_id ORDER BY _loaded_at DESC) = 1""",
     "scd2_history": "SELECT * FROM product_history",
-    "scd2_partitions": "SELECT *, is_current AS in_open FROM product_history",
+    "scd2_partitions": """
+        SELECT *, is_current AS in_open, left(sha256(
+            '["' || product_sku || '","' || strftime(valid_from, '%Y-%m-%d %H:%M:%S') || '"]'), 32)
+            AS surrogate_key FROM product_history""",
     "stream_distinct": """
         SELECT order_status, count(*) AS orders, CAST(sum(quantity) AS BIGINT) AS units,
                (SELECT count(*) FROM (SELECT DISTINCT * FROM bronze_orders)) AS rows_stored,
@@ -601,6 +629,13 @@ OTHERS: dict[str, str] = {
         FROM product_analysis WHERE unit_margin < 0""",
     "ask_store_ranking": """
         SELECT revenue_rank, store_id, store_name, total_revenue FROM store_performance""",
+    "ask_targets_by_revenue": """
+        SELECT *, row_number() OVER (ORDER BY actual_revenue DESC NULLS LAST, store_id) AS position
+        FROM store_targets""",
+    "ask_stock_by_alert": """
+        SELECT *, row_number() OVER (ORDER BY
+                  CASE stock_alert WHEN 'OUT_OF_STOCK' THEN 1 WHEN 'REORDER_NOW' THEN 2 ELSE 3 END,
+                  quantity_on_hand, inventory_id, store_id) AS position FROM inventory_status""",
     "ask_reorder_need": """
         SELECT store_id, store_name, count(*) AS items_to_reorder,
                count(*) FILTER (quantity_on_hand = 0) AS items_out_of_stock
@@ -637,6 +672,30 @@ RUNS = {
         f'AS layer, true AS "exists", count(*) AS record_count FROM {model}'
         for model, table in RUN_TABLES.items()
     ),
+    "pipeline_rerun": " UNION ALL ".join(
+        f"SELECT CAST({run} AS BIGINT) AS run, '{table}' AS table_name, '{status}' AS status"
+        for run, built in (
+            (1, tuple(RUN_TABLES)), (2, ()),
+            (3, ("silver_inventory", "product_analysis", "inventory_status", "product_margins")),
+        )
+        for model, table in RUN_TABLES.items()
+        for status in ("SUCCESS" if model in built else "UNCHANGED",)
+    ),
+    "catalog": " UNION ALL ".join(
+        f"SELECT 'BRZ_MYSQL_ELF_{t.removeprefix('bronze_').upper()}' AS table_name, any_value("
+        + " || ', ' || ".join(
+            f"'{c}(' || CASE typeof({c}) WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' "
+            f"ELSE lower(typeof({c})) END || ')'" for c in columns[:4])
+        + f") AS columns FROM {t}"
+        for t, columns in BUSINESS_COLUMNS.items()
+    ),
+    "bucketed_upsert": OTHERS["upsert"],
+    "hot_key_join": """
+        SELECT c_mktsegment, count(*) AS lines, sum(l_quantity) AS units,
+               count(DISTINCT key) AS customers
+        FROM (SELECT CASE WHEN l_orderkey % 3 = 0 THEN 0 ELSE o_custkey END AS key, l_quantity
+              FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
+        LEFT JOIN customer ON key = c_custkey GROUP BY 1""",
     "check_all": f"""
         SELECT 'BRZ_MYSQL_ELF_' || upper(replace(table_name, 'bronze_', '')) AS table_name,
                total_records, issues_found, bad_records, health_score, quality_status,

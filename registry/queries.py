@@ -11,10 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tradewind.functions.columns import add_days, bytes_to_long
-from tradewind.operators import audit, history, quality, ranking, reshape, sketches, validation
+from tradewind.functions.columns import add_days, bytes_to_digits, bytes_to_long
+from tradewind.operators import audit, history, quality, ranking, reshape, skew, sketches, validation
 from tradewind.plans import ask as asking
-from tradewind.plans import gold, ingest, pipeline, questions, silver
+from tradewind.plans import dependency, gold, ingest, pipeline, questions, silver
 from tradewind.plans import incremental_gold as by_load
 from tradewind.rules import TableNames
 from tradewind.session import stage, staging_path
@@ -210,7 +210,12 @@ def relational_load(spark, folder):
 def bytes_to_number(spark, folder):
     key = F.col("o_orderkey")
     return star.table(spark, folder, "orders").select(
-        "o_orderkey", bytes_to_long(F.unhex(F.lpad(F.hex(key), 16, "0"))).alias("from_bytes")
+        "o_orderkey", bytes_to_long(F.unhex(F.lpad(F.hex(key), 16, "0"))).alias("from_bytes"),
+        *(
+            bytes_to_digits(F.unhex(F.concat(F.lit(lead), F.lpad(F.hex(key), 12, "0")))).alias(name)
+            for name, lead in (("from_2_63", "8000"), ("up_to_2_64", "FFFF"), ("nine_bytes", "FE0000"),
+                               ("sixteen_bytes", "01000000000000000000"))
+        ),
     )
 
 
@@ -310,6 +315,19 @@ def newest_n(spark, folder):
     return audit.newest(run_log(spark, folder), "start_time", 20, "run_id")
 
 
+def newest_of(table: str, *columns: str) -> Query:
+    """The newest entries of an operations table, with the events as its rows."""
+    moment, key, _ = audit.REPORTS[table]
+
+    def query(spark, folder):
+        log = star.table(spark, folder, "events").select(
+            F.col("ts").alias(moment), F.col("event_id").alias(key), *map(F.expr, columns)
+        )
+        return audit.recent(log, table)
+
+    return query
+
+
 def chart_series(spark, folder):
     ranking_of_stores = questions.store_ranking(store_performance(spark, folder))
     return audit.chart_series(ranking_of_stores.select("store_name", "total_revenue"))
@@ -339,7 +357,7 @@ def global_rank_ties(spark, folder):
     lines = star.table(spark, folder, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_quantity"
     )
-    return ranking.global_rank(lines, "l_quantity", "quantity_rank", RANGES, frequent_rows=1_000)
+    return ranking.global_rank(lines, "l_quantity", "quantity_rank", RANGES)
 
 
 def running_total(spark, folder):
@@ -399,7 +417,7 @@ def scd2_partitions(spark, folder):
         pipeline.record_products(spark, first, "2001-01-01")
         pipeline.record_products(spark, second, "2001-02-01", close_missing=True)
         kept = spark.table(table).withColumn("in_open", F.col("_period") == pipeline.OPEN)
-        return stage(kept.drop("surrogate_key", "_period"), "product-history")[0]
+        return stage(kept.drop("_period"), "product-history")[0]
 
 
 def schema_changes(spark, folder):
@@ -499,6 +517,35 @@ def incremental_gold(spark, folder):
     return reduce(DataFrame.unionByName, parts)
 
 
+# Stored layouts, hot keys ---------------------------------------------------------------------
+
+def bucketed_upsert(spark, folder):
+    """The upsert of ``upsert`` between two tables in buckets by key; neither is shuffled."""
+    loads = star.bronze_inventory(spark, folder)
+    last = F.lit("2001-01-05 00:00:00").cast("timestamp_ntz")
+    with own_database(spark):
+        for table, rows in (("STOCK", F.col("_loaded_at") < last), ("DELIVERY", F.col("_loaded_at") >= last)):
+            warehouse.write_bucketed(loads.filter(rows), table, ["inventory_id"], 8)
+        merged = history.upsert(spark.table("STOCK"), spark.table("DELIVERY"), ["inventory_id"])
+        return stage(merged, "bucketed")[0]
+
+
+def hot_key_join(spark, folder):
+    """Line items with the customer of their order, a third of them moved to one customer."""
+    heads = star.table(spark, folder, "orders")
+    lines = star.table(spark, folder, "lineitem")
+    named = lines.join(heads, lines.l_orderkey == heads.o_orderkey).select(
+        F.when(F.col("l_orderkey") % 3 == 0, 0).otherwise(F.col("o_custkey")).alias("c_custkey"),
+        "l_quantity", "l_linenumber",
+    )
+    customers = star.table(spark, folder, "customer").select("c_custkey", "c_mktsegment")
+    joined = skew.skewed_join(named, customers, "c_custkey", "left")
+    return joined.groupBy("c_mktsegment").agg(
+        F.count(F.lit(1)).alias("lines"), F.sum("l_quantity").alias("units"),
+        F.count_distinct("c_custkey").alias("customers"),
+    )
+
+
 # Whole runs, each in a database of its own ------------------------------------------------
 
 @contextmanager
@@ -527,6 +574,27 @@ def pipeline_run(spark, folder):
         return stage(pipeline.status(spark), "layer-status")[0]
 
 
+def pipeline_rerun(spark, folder):
+    """What three runs build: the first all, the second nothing, the third what new stock touches."""
+    with own_database(spark):
+        write_bronze(spark, folder)
+        runs = []
+        for n in (1, 2, 3):
+            if n == 3:
+                warehouse.append(star.bronze_inventory(spark, folder), TableNames().bronze("inventory"))
+            runs += [(n, o["table"], o["status"]) for o in dependency.run_all(spark, AS_OF)]
+        return spark.createDataFrame(runs, "run bigint, table_name string, status string")
+
+
+def catalog(spark, folder):
+    """Bronze tables and their columns, as the catalog describes them."""
+    with own_database(spark):
+        write_bronze(spark, folder)
+        listed = warehouse.catalog_summary(spark, 4).select(
+            F.upper("table_name").alias("table_name"), "columns")
+        return stage(listed, "catalog")[0]
+
+
 def check_all(spark, folder):
     """Health of all Bronze tables and the alerts that the check logged for each."""
     with own_database(spark):
@@ -712,6 +780,21 @@ FREE_SQL = """
 """
 
 
+def quality_text(spark, folder):
+    """Checks of a table whose columns are text: what does not convert is not checked at all."""
+    key, date = F.col("o_orderkey"), F.col("o_orderdate").cast("string")
+    price = F.col("o_totalprice").cast("string")
+    feed = star.table(spark, folder, "orders").select(
+        key.cast("string").alias("order_key"),
+        F.when(key % 41 == 0, F.concat(F.lit("-"), price)).otherwise(price).alias("total_price"),
+        F.when(key % 31 == 0, "none").otherwise("-5").alias("stock_left"),
+        date.alias("order_date"),
+        F.when(key % 31 == 0, "soon").otherwise(date).alias("due_date"),
+    )
+    counts = quality.check_tables({"text_feed": feed}, "1997-01-01 00:00:00")
+    return quality.issues(counts)
+
+
 def free_sql(spark, folder):
     return spark.sql(FREE_SQL, orders=orders(spark, folder), stores=stores(spark, folder))
 
@@ -740,6 +823,7 @@ QUERIES: dict[str, Query] = {
     "quality_negatives": quality_issues(quality.NEGATIVES),
     "quality_future_dates": quality_issues(quality.FUTURE_DATES, "2000-06-01 00:00:00"),
     "quality_duplicates": quality_issues(quality.DUPLICATES),
+    "quality_text": quality_text,
     "quality_patterns": quality_issues(quality.BAD_SKUS),
     "health_score": health_score,
     "alert_log": alert_log,
@@ -757,6 +841,9 @@ QUERIES: dict[str, Query] = {
     "success_rate": success_rate,
     "run_series": run_series,
     "newest_n": newest_n,
+    "newest_quarantine": newest_of("QUARANTINE_RECORDS", "props AS raw_data"),
+    "newest_alerts": newest_of("ALERT_LOG", "event_type AS alert_type"),
+    "newest_queries": newest_of("QUERY_HISTORY", "user_id AS rows_returned"),
     "chart_series": chart_series,
     "result_text": result_text,
     "global_rank": global_rank,
@@ -769,7 +856,11 @@ QUERIES: dict[str, Query] = {
     "volume_history": volume_history,
     "distinct_sketches": distinct_sketches,
     "incremental_gold": incremental_gold,
+    "bucketed_upsert": bucketed_upsert,
+    "hot_key_join": hot_key_join,
     "pipeline_run": pipeline_run,
+    "pipeline_rerun": pipeline_rerun,
+    "catalog": catalog,
     "check_all": check_all,
     "sync_tables": sync_tables,
     "csv_to_bronze": csv_to_bronze,
@@ -789,6 +880,8 @@ QUERIES: dict[str, Query] = {
     "ask_daily_trend": ask(questions.daily_trend, daily_revenue),
     "ask_negative_margin": ask(questions.negative_margin, product_analysis),
     "ask_store_ranking": ask(questions.store_ranking, store_performance),
+    "ask_targets_by_revenue": ask(questions.targets_by_revenue, store_targets),
+    "ask_stock_by_alert": ask(questions.stock_by_alert, inventory_status),
     "ask_reorder_need": ask(questions.reorder_need, inventory_status),
     "ask_total_revenue": ask(questions.total_revenue, store_performance),
     "ask_top_products": ask(questions.top_products, product_analysis),

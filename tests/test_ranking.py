@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tradewind.operators.dedup import latest_per_key
-from tradewind.operators.ranking import global_rank, running_total
+from tradewind.operators.ranking import global_rank, numbered, running_total
 
 
 def frame(spark, values):
@@ -35,10 +35,10 @@ CASES = {
 
 
 @pytest.mark.parametrize("name", CASES)
-@pytest.mark.parametrize("ranges, frequent_rows", [(None, 500_000), (9, 20)])
-def test_rank_equals_plain_window(spark, name, ranges, frequent_rows):
+@pytest.mark.parametrize("ranges", [None, 1, 9])
+def test_rank_equals_plain_window(spark, name, ranges):
     df = frame(spark, [None if v is None else float(v) for v in CASES[name]])
-    ranked = global_rank(df, "x", "k", ranges, frequent_rows)
+    ranked = global_rank(df, "x", "k", ranges)
     assert ranked.columns == ["id", "x", "k"]
     got = {r.id: r.k for r in ranked.collect()}
     assert got == plain_rank(df)
@@ -47,7 +47,7 @@ def test_rank_equals_plain_window(spark, name, ranges, frequent_rows):
 def test_identical_rows_stay_spread(spark):
     """Rows that are all alike are neither sorted nor brought together."""
     df = spark.range(0, 400_000, 1, 8).select(F.lit(1.0).alias("x"))
-    ranked = global_rank(df, "x", "k", frequent_rows=1_000)
+    ranked = global_rank(df, "x", "k")
     tasks = ranked.groupBy(F.spark_partition_id()).agg(F.count("*"), F.max("k")).collect()
     assert len(tasks) > 1 and sum(t[1] for t in tasks) == 400_000 and {t[2] for t in tasks} == {1}
 
@@ -84,3 +84,13 @@ def test_latest_per_key_ties_and_nulls(spark):
     df = spark.createDataFrame(rows, "k string, t int, v int, w string")
     got = {tuple(r) for r in latest_per_key(df, ["k"], "t", ["v"]).collect()}
     assert got == {("a", 2, 1, "y"), ("b", None, 0, "y"), ("c", 1, None, "q")}
+
+
+def test_positions(spark):
+    df = spark.createDataFrame(
+        [(i, None if i % 7 == 0 else i % 5) for i in range(200)], "id long, x long").repartition(6)
+    got = numbered(df, "n", F.col("x").desc_nulls_last(), F.col("id"), ranges=4)
+    rows = sorted(got.collect(), key=lambda r: r.n)
+    assert [r.n for r in rows] == list(range(1, 201)) and got.columns == ["id", "x", "n"]
+    want = sorted(df.collect(), key=lambda r: (r.x is None, -(r.x or 0), r.id))
+    assert [r.id for r in rows] == [r.id for r in want]

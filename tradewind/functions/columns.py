@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 # Every character that counts as whitespace, from all scripts.
 WHITESPACE = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isspace())
 
+#: Nine decimal digits.
+GROUP = 1_000_000_000
+
 
 def as_of_timestamp(as_of: dt.datetime | str | None = None) -> Column:
     """The moment the run refers to; the time now in UTC when none is given."""
@@ -85,5 +88,39 @@ def display_text(column: Column) -> Column:
 
 
 def bytes_to_long(column: Column) -> Column:
-    """Big-endian unsigned value of up to eight bytes."""
-    return F.conv(F.hex(column), 16, 10).cast("long")
+    """Big-endian unsigned value of up to eight bytes, below 2**63."""
+    return bytes_to_digits(column).cast("long")
+
+
+def bytes_to_digits(column: Column) -> Column:
+    """Big-endian unsigned value of any number of bytes, as decimal digits.
+
+    Up to eight bytes Spark converts by itself. Longer ones are worked out in groups of nine
+    digits: each byte multiplies the groups by 256 and carries over.
+    """
+    def next_group(state: Column, group: Column) -> Column:
+        value = group * 256 + state["carry"]
+        return F.struct(
+            F.concat(state["groups"], F.array(value % GROUP)).alias("groups"),
+            F.floor(value / GROUP).alias("carry"),
+        )
+
+    def next_byte(groups: Column, byte: Column) -> Column:
+        start = F.struct(
+            F.array().cast("array<bigint>").alias("groups"), byte.cast("bigint").alias("carry")
+        )
+        done = F.aggregate(groups, start, next_group)
+        return F.when(
+            done["carry"] > 0, F.concat(done["groups"], F.array(done["carry"]))
+        ).otherwise(done["groups"])
+
+    places = F.sequence(F.lit(0), F.octet_length(column) - 1)
+    byte = F.transform(
+        places, lambda i: F.conv(F.hex(F.substring(column, i + 1, F.lit(1))), 16, 10).cast("bigint")
+    )
+    groups = F.aggregate(byte, F.array(F.lit(0).cast("bigint")), next_byte)
+    text = F.array_join(F.reverse(F.transform(groups, lambda g: F.lpad(g.cast("string"), 9, "0"))), "")
+    wide = F.coalesce(F.nullif(F.ltrim(text, F.lit("0")), F.lit("")), F.lit("0"))
+    return F.when(F.octet_length(column) <= 8, F.conv(F.hex(column), 16, 10)).when(
+        column.isNotNull(), wide
+    )

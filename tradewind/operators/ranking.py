@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from tradewind.session import stage
 
-#: A value of more rows than this is looked up where its rows are instead of in a shuffle.
-FREQUENT_ROWS = 500_000
+#: Ranges of values a rank is cut into at most; more than tasks at once is of no use.
+MOST_RANGES = 1_000
 
 
 def _in_ranges(df: DataFrame, order: Column, ranges: int | None, label: str) -> DataFrame:
@@ -38,31 +38,53 @@ def _sums(ranged: DataFrame, order: Column, measure: str, name: str, last: int)
     )
 
 
-def global_rank(
-    df: DataFrame, by: str, name: str, ranges: int | None = None,
-    frequent_rows: int = FREQUENT_ROWS,
-) -> DataFrame:
-    """Add ``RANK() OVER (ORDER BY by DESC NULLS FIRST)`` as a long.
+def _bounds(rows: DataFrame, by: str, ranges: int | None) -> list:
+    """Values that cut the rows into about equal ranges, from one pass over them."""
+    count = ranges or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shares = [i / count for i in range(1, min(count, MOST_RANGES))]
+    if not shares:
+        return []
+    found = rows.agg(F.percentile_approx(by, F.array(*map(F.lit, shares)))).first()[0]
+    return sorted(set(found or []))
+
+
+def global_rank(df: DataFrame, by: str, name: str, ranges: int | None = None) -> DataFrame:
+    """Add ``RANK() OVER (ORDER BY by DESC NULLS FIRST)`` as a long; ``by`` is a number or a date.
 
     A rank is one more than the rows with a larger value. So rows are counted per value,
-    before any shuffle, and only values are put in order. Ranks of frequent
-    values are sent to their rows, which stay where they are: there is at most one such value
-    for each ``frequent_rows`` rows. The others meet in a shuffle where no key has more rows.
-    Rows are staged first, because counts and rows must see the same stored doubles.
+    before any shuffle, and only values are put in order, range by range. A range is told by the
+    value alone, so no row is written or moved for it. The ranks then meet the rows in one
+    join, where Spark sends them to the rows if they are few and otherwise splits a value that
+    many rows share. Rows are staged first, because counts and rows must see the same doubles.
     """
     rows, _ = stage(df, "rank")
     counts = rows.groupBy(F.col(by).alias("_value")).agg(F.count(F.lit(1)).alias("_rows"))
-    order = F.col("_value").desc_nulls_first()
-    ranged = _in_ranges(counts, order, ranges, "rank-values")
-    ranks = _sums(ranged, order, "_rows", "_larger", -1).select(
-        "_value", "_rows", (F.col("_larger") + 1).alias(name)
+    above = [(F.lit(bound) > F.col("_value")).cast("int") for bound in _bounds(rows, by, ranges)]
+    place = F.aggregate(F.array(*above), F.lit(0), lambda n, one: n + one) if above else F.lit(0)
+    ranged = counts.withColumn("_range", F.when(F.col("_value").isNull(), -1).otherwise(place))
+    ranks = _sums(ranged, F.col("_value").desc_nulls_first(), "_rows", "_larger", -1).select(
+        "_value", (F.col("_larger") + 1).alias(name)
     )
-    same = F.col(by).eqNullSafe(F.col("_value"))
-    frequent = F.broadcast(ranks.filter(F.col("_rows") > frequent_rows))
-    others = ranks.filter(F.col("_rows") <= frequent_rows)
     columns = [*(F.col(f"`{c}`") for c in df.columns), F.col(name)]
-    return rows.join(frequent, same).select(*columns).unionByName(
-        rows.join(frequent, same, "left_anti").join(others, same).select(*columns)
+    return rows.join(ranks, F.col(by).eqNullSafe(F.col("_value"))).select(*columns)
+
+
+def numbered(df: DataFrame, name: str, *order: Column, ranges: int | None = None) -> DataFrame:
+    """``df`` with the position of each row in the sorted whole, from one.
+
+    ``order`` should leave no ties; tied rows get their positions in any order.
+    """
+    ranged = df.repartitionByRange(*order) if ranges is None else df.repartitionByRange(ranges, *order)
+    ranged, _ = stage(ranged.withColumn("_range", F.spark_partition_id()), "numbered")
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_rows")).select(
+        "_range", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before")
+    )
+    within = Window.partitionBy("_range").orderBy(*order)
+    return (
+        ranged.join(F.broadcast(offsets), "_range")  # a row per range
+        .withColumn(name, F.row_number().over(within) + F.col("_before"))
+        .drop("_range", "_before")
     )
 
 

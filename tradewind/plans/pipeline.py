@@ -28,6 +28,8 @@ class Model:
     layer: str
     table: str
     build: Callable[[], DataFrame]
+    #: Tables that ``build`` reads.
+    inputs: tuple[str, ...] = ()
 
 
 class Once:
@@ -63,34 +65,38 @@ def models(spark: SparkSession, as_of=None, names: TableNames = TableNames()) ->
         return spark.table(names.bronze(entity))
 
     sales = Once(lambda: gold.store_customer_sales(orders()), "sales")
+    def silver_model(entity: str, build: Callable[[], DataFrame]) -> Model:
+        return Model("SILVER", names.silver(entity), build, (names.bronze(entity),))
+
+    def gold_model(table: str, build: Callable[[], DataFrame], *entities: str) -> Model:
+        return Model("GOLD", table, build, tuple(map(names.silver, entities)))
+
+    by_store, by_stock = ("orders", "stores"), ("orders", "inventory")
     return [
-        Model("SILVER", names.silver("stores"),
-              lambda: silver.silver_stores(bronze("stores"), as_of)),
-        Model("SILVER", names.silver("orders"),
-              lambda: silver.silver_orders(
-                  bronze("orders"), as_of, rules.sku_pattern(names.code))),
-        Model("SILVER", names.silver("inventory"),
-              lambda: silver.silver_inventory(bronze("inventory"), as_of)),
-        Model("GOLD", names.gold("store_performance"),
-              lambda: gold.store_performance(sales(), stores(), as_of)),
-        Model("GOLD", names.gold("product_analysis"),
-              lambda: gold.product_analysis(orders(), inventory(), as_of)),
-        Model("GOLD", names.gold("daily_revenue"),
-              lambda: gold.daily_revenue(orders(), as_of)),
-        Model("GOLD", names.gold("inventory_status"),
-              lambda: gold.inventory_status(inventory(), stores(), as_of)),
-        Model("GOLD", names.brand_gold("revenue_by_channel"),
-              lambda: gold.revenue_by_channel(sales(), stores(), as_of)),
-        Model("GOLD", names.brand_gold("tariff_impact"),
-              lambda: gold.tariff_impact(sales(), stores(), as_of)),
-        Model("GOLD", names.brand_gold("store_performance"),
-              lambda: gold.store_targets(sales(), stores(), as_of)),
-        Model("GOLD", names.brand_gold("marketing_roi"),
-              lambda: gold.channel_roi(sales(), stores(), as_of)),
-        Model("GOLD", names.brand_gold("product_margins"),
-              lambda: gold.product_margins(orders(), inventory(), as_of)),
-        Model("GOLD", names.brand_gold("customer_360"),
-              lambda: gold.customer_360(orders(), as_of)),
+        silver_model("stores", lambda: silver.silver_stores(bronze("stores"), as_of)),
+        silver_model("orders", lambda: silver.silver_orders(
+            bronze("orders"), as_of, rules.sku_pattern(names.code))),
+        silver_model("inventory", lambda: silver.silver_inventory(bronze("inventory"), as_of)),
+        gold_model(names.gold("store_performance"),
+                   lambda: gold.store_performance(sales(), stores(), as_of), *by_store),
+        gold_model(names.gold("product_analysis"),
+                   lambda: gold.product_analysis(orders(), inventory(), as_of), *by_stock),
+        gold_model(names.gold("daily_revenue"),
+                   lambda: gold.daily_revenue(orders(), as_of), "orders"),
+        gold_model(names.gold("inventory_status"),
+                   lambda: gold.inventory_status(inventory(), stores(), as_of), "inventory", "stores"),
+        gold_model(names.brand_gold("revenue_by_channel"),
+                   lambda: gold.revenue_by_channel(sales(), stores(), as_of), *by_store),
+        gold_model(names.brand_gold("tariff_impact"),
+                   lambda: gold.tariff_impact(sales(), stores(), as_of), *by_store),
+        gold_model(names.brand_gold("store_performance"),
+                   lambda: gold.store_targets(sales(), stores(), as_of), *by_store),
+        gold_model(names.brand_gold("marketing_roi"),
+                   lambda: gold.channel_roi(sales(), stores(), as_of), *by_store),
+        gold_model(names.brand_gold("product_margins"),
+                   lambda: gold.product_margins(orders(), inventory(), as_of), *by_stock),
+        gold_model(names.brand_gold("customer_360"),
+                   lambda: gold.customer_360(orders(), as_of), "orders"),
     ]
 
 

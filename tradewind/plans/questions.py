@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tradewind.operators.ranking import numbered
+
 
 def top_store(performance: DataFrame) -> DataFrame:
     """Which store has the highest revenue?"""
@@ -64,3 +66,18 @@ def top_products(products: DataFrame, n: int = 3) -> DataFrame:
     return products.select("product_sku", "product_name", "total_units_sold").orderBy(
         F.col("total_units_sold").desc(), "product_sku"
     ).limit(n)
+
+
+def targets_by_revenue(store_targets: DataFrame) -> DataFrame:
+    """Stores against target, highest revenue first, those without sales last; with ``position``."""
+    order = F.col("actual_revenue").desc_nulls_last(), F.col("store_id")
+    return numbered(store_targets, "position", *order)
+
+
+def stock_by_alert(inventory_status: DataFrame) -> DataFrame:
+    """Stock rows, the most urgent first: what is out, what is to be reordered, the rest, each by
+    quantity; with ``position``."""
+    urgency = F.when(F.col("quantity_on_hand") == 0, 1).when(
+        F.col("quantity_on_hand") <= F.col("reorder_point"), 2).otherwise(3)
+    order = urgency.asc(), F.col("quantity_on_hand"), F.col("inventory_id"), F.col("store_id")
+    return numbered(inventory_status, "position", *order)

@@ -35,6 +35,7 @@ PRODUCT_HISTORY = (
     "price double, stock_quantity bigint, valid_from timestamp_ntz, valid_to timestamp_ntz, "
     "is_current boolean, _source string, _loaded_at timestamp_ntz"
 )
+MODEL_STATE = "table_name string, built_from string, built_at timestamp_ntz"
 TABLES = {
     "PIPELINE_RUNS": PIPELINE_RUNS,
     "QUARANTINE_RECORDS": QUARANTINE_RECORDS,
@@ -42,6 +43,7 @@ TABLES = {
     "VOLUME_HISTORY": VOLUME_HISTORY,
     "QUERY_HISTORY": QUERY_HISTORY,
     "ALERT_LOG": ALERT_LOG,
+    "MODEL_STATE": MODEL_STATE,
 }
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tradewind.functions.columns import bytes_to_long
+from tradewind.functions.columns import bytes_to_digits
 
 # Source column types and the types they load as. Others load as text.
 LOAD_TYPES = {
@@ -31,7 +31,7 @@ def map_types(df: DataFrame, source_types: dict[str, str]) -> DataFrame:
     for name in df.columns:
         column = F.col(f"`{name}`")
         if isinstance(df.schema[name].dataType, T.BinaryType):
-            column = bytes_to_long(column)
+            column = bytes_to_digits(column)
         columns.append(column.cast(load_type(source_types[name])).alias(name.upper()))
     return df.select(*columns)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -77,6 +78,47 @@ def replace(df: DataFrame, table: str) -> int:
 
 swap = replace
 
+#: Between the name of a view and the number of the table it shows.
+VERSION = "__v"
+
+
+def versions(spark: SparkSession, name: str) -> list[int]:
+    """Numbers of the tables written for the view ``name``, shown or not, oldest first."""
+    mark = f"{name}{VERSION}".lower()
+    found = (t.name.lower() for t in spark.catalog.listTables() if not t.isTemporary)
+    return sorted(int(n.removeprefix(mark)) for n in found if n.startswith(mark) and n.removeprefix(mark).isdigit())
+
+
+def switch(df: DataFrame, name: str, keep: int = 2) -> int:
+    """Show ``df`` under ``name`` from one moment to the next; the number of rows written.
+
+    Each call writes a table of its own, then turns the view ``name`` to it by one statement of
+    the catalog, so there is no moment without a table and readers go on with the version
+    they started on. The newest ``keep`` versions stay for them. What a call that failed left
+    behind is never shown, and dropped by a later call. ``name`` must not be a table.
+    """
+    spark = df.sparkSession
+    there = versions(spark, name)
+    number = there[-1] + 1 if there else 1
+    written = Observation(name)
+    counted = df.observe(written, F.count(F.lit(1)).alias("rows"))
+    counted.write.format("parquet").saveAsTable(f"{name}{VERSION}{number}")
+    rows = written.get["rows"]
+    spark.sql(f"CREATE OR REPLACE VIEW {name} AS SELECT * FROM {name}{VERSION}{number}")
+    for old in there[: max(0, len(there) + 1 - keep)]:
+        spark.sql(f"DROP TABLE IF EXISTS {name}{VERSION}{old}")
+    return rows
+
+
+def write_bucketed(df: DataFrame, table: str, keys: Sequence[str], buckets: int) -> None:
+    """Write ``df`` as the whole of ``table`` in sorted buckets by ``keys``, a file each.
+
+    Joins, dedup and upserts on the keys then need no shuffle, as long as the other side of a
+    join has as many buckets. A bucket should fill a task: the table's size over 256 MB or so.
+    """
+    dealt = df.repartition(buckets, *keys)
+    dealt.write.format("parquet").mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(table)
+
 
 def location(spark: SparkSession, table: str) -> str:
     described = spark.sql(f"DESCRIBE TABLE EXTENDED {table}")
@@ -121,14 +163,14 @@ def _created(spark: SparkSession, table: str) -> dt.datetime:
     return dt.datetime.strptime(f"{month} {day} {clock} {year}", "%b %d %H:%M:%S %Y")
 
 
-def catalog_summary(spark: SparkSession) -> DataFrame:
-    """Tables by layer and name, with their first columns and types."""
+def catalog_summary(spark: SparkSession, columns_shown: int | None = CATALOG_COLUMNS_SHOWN) -> DataFrame:
+    """Tables by layer and name, with their first columns and types; all columns if not limited."""
     rows = [
         (
             name,
             ", ".join(
                 f"{f.name}({f.dataType.simpleString()})"
-                for f in spark.table(name).schema[:CATALOG_COLUMNS_SHOWN]
+                for f in spark.table(name).schema[:columns_shown]
             ),
         )
         for name in names(spark)
