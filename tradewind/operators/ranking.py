@@ -14,6 +14,8 @@ from tradewind.session import stage
 
 #: Ranges of values a rank is cut into at most; more than tasks at once is of no use.
 MOST_RANGES = 1_000
+#: So many values and their ranks, some megabytes, are sent to where the rows are.
+FEW_VALUES = 100_000
 
 
 def _in_ranges(df: DataFrame, order: Column, ranges: int | None, label: str) -> DataFrame:
@@ -38,14 +40,14 @@ def _sums(ranged: DataFrame, order: Column, measure: str, name: str, last: int)
     )
 
 
-def _bounds(rows: DataFrame, by: str, ranges: int | None) -> list:
-    """Values that cut the rows into about equal ranges, from one pass over them."""
+def _bounds(rows: DataFrame, by: str, ranges: int | None) -> tuple[list, int]:
+    """Values that cut the rows into about equal ranges, and about how many values there are."""
     count = ranges or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    shares = [i / count for i in range(1, min(count, MOST_RANGES))]
-    if not shares:
-        return []
-    found = rows.agg(F.percentile_approx(by, F.array(*map(F.lit, shares)))).first()[0]
-    return sorted(set(found or []))
+    shares = [i / count for i in range(1, min(count, MOST_RANGES))] or [0.5]
+    found, distinct = rows.agg(
+        F.percentile_approx(by, F.array(*map(F.lit, shares))), F.approx_count_distinct(by)
+    ).first()
+    return sorted(set(found or [])), distinct
 
 
 def global_rank(df: DataFrame, by: str, name: str, ranges: int | None = None) -> DataFrame:
@@ -54,17 +56,20 @@ def global_rank(df: DataFrame, by: str, name: str, ranges: int | None = None) ->
     A rank is one more than the rows with a larger value. So rows are counted per value,
     before any shuffle, and only values are put in order, range by range. A range is told by the
     value alone, so no row is written or moved for it. The ranks then meet the rows in one
-    join, where Spark sends them to the rows if they are few and otherwise splits a value that
-    many rows share. Rows are staged first, because counts and rows must see the same doubles.
+    join: up to FEW_VALUES of them are sent to the rows, beyond that Spark splits a value that many
+    rows share. Rows are staged first, because counts and rows must see the same doubles.
     """
     rows, _ = stage(df, "rank")
     counts = rows.groupBy(F.col(by).alias("_value")).agg(F.count(F.lit(1)).alias("_rows"))
-    above = [(F.lit(bound) > F.col("_value")).cast("int") for bound in _bounds(rows, by, ranges)]
+    bounds, distinct = _bounds(rows, by, ranges)
+    above = [(F.lit(bound) > F.col("_value")).cast("int") for bound in bounds]
     place = F.aggregate(F.array(*above), F.lit(0), lambda n, one: n + one) if above else F.lit(0)
     ranged = counts.withColumn("_range", F.when(F.col("_value").isNull(), -1).otherwise(place))
     ranks = _sums(ranged, F.col("_value").desc_nulls_first(), "_rows", "_larger", -1).select(
         "_value", (F.col("_larger") + 1).alias(name)
     )
+    if distinct <= FEW_VALUES:
+        ranks = F.broadcast(ranks)
     columns = [*(F.col(f"`{c}`") for c in df.columns), F.col(name)]
     return rows.join(ranks, F.col(by).eqNullSafe(F.col("_value"))).select(*columns)
 
