@@ -1,17 +1,23 @@
 """Personal data: fixed patterns, then contextual patterns learnt from what those find.
 
-Spans found by the fixed patterns are the seeds. Words beside an identifier-like
-token are its lexical patterns: the word to the left with the signs between, and the word to the
-right, each with the token's shape (runs of letters and of digits). Tokens and patterns form a graph. Rounds of scoring go back and forth: a pattern is
-trusted by the share of its tokens that are seeds or trusted of a kind, a token by the best
-patterns it occurs with. Patterns that end up trusted mark tokens the fixed patterns missed.
+Whole spans found by the fixed patterns are the seed entities. The words beside them are lexical
+patterns: the word to the left, the two words to the left, the words on both sides. A pattern says
+nothing of what stands between, so it also meets identifiers of a form that no fixed pattern
+knows: runs of one to four words with digits or an at sign. Entities and patterns form a
+graph. Rounds of scoring go back and forth: a pattern is trusted by the share of its
+entities that are seeds or trusted themselves, an entity by the best pattern it occurs with.
+What patterns trusted in the end stand beside is personal data of the kind that the seeds of
+its patterns have; the form of the entity (signs and numbers of digits, compared with the
+forms of seeds) only weighs in where a pattern has seeds of several kinds.
 
 Everything is built from DataFrame functions. The fixed patterns work inside a row; only
-identifier-like tokens and their patterns are shuffled, and counted before they are.
+entities and their patterns are shuffled, and counted before they are.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,16 +40,23 @@ IP_IN_RANGE = rf"\A{_PART}(?:\.{_PART}){{3}}\z"
 #: Cheap signs without which a pattern cannot match.
 HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
 
-#: Identifier-like: a run without white space that has a digit, five characters at least.
-TOKEN = r"(?<![^\x20\x09-\x0D])(?=[^\x20\x09-\x0D]*?[0-9])[^\x20\x09-\x0D]{5,}"
-#: Signs around a token that are not part of it.
-EDGE = "\"'()[]{}<>,;:.!?=#*&%$|"
-#: What a learnt span must look like: letters, digits and joints, three digits at least.
-SHAPE = r"\A[A-Za-z0-9+(][A-Za-z0-9._%+@()/-]*[A-Za-z0-9]\z"
+_SPACE = r"\x20\x09-\x0D"
+#: One to four words in a row, each with a digit or an at sign, which may be spelt out.
+AT = r"@|[\[(]at[\])]"
+_WORD = rf"(?=[^{_SPACE}]*?(?:[0-9]|{AT}))[^{_SPACE}]++"
+RUN = rf"(?<![^{_SPACE}]){_WORD}(?:\x20{_WORD}){{0,3}}+"
+#: Signs around a run that are not part of it; brackets are if their other half is.
+EDGE = "\"'{}<>,;:.!?=#*&%$|"
+#: What a learnt entity has at least: so many characters, and an at sign or so many digits.
+LENGTH, DIGITS = 5, 3
 
 ROUNDS = 3
-#: A pattern is trusted at this share of known tokens, out of at least so many different seeds.
-TRUST, SUPPORT = 0.8, 5
+#: A pattern is trusted at this share of known entities, with at least so many different seeds.
+TRUST, SUPPORT = 0.6, 5
+#: How much a kind counts whose seeds never have the form of the entity, against one whose all do.
+FORM_FLOOR = 0.25
+#: Characters beside a span that are looked at.
+CONTEXT = 80
 
 SPANS = "array<struct<start:int,end:int,value:string>>"
 CHUNK = 512
@@ -111,6 +124,32 @@ def _accept(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
+def _patterns(gaps: Column, i: Column) -> Column:
+    """Lexical patterns of the span between the gaps ``i`` and ``i + 1``; numbers count as zero."""
+    def words(text: Column) -> Column:
+        return F.regexp_replace(F.lower(text), "[0-9]+", "0")
+
+    left = words(F.right(F.get(gaps, i), F.lit(CONTEXT)))
+    right = words(F.left(F.get(gaps, i + 1), F.lit(CONTEXT)))
+    one = F.regexp_extract(left, rf"([^{_SPACE}]+)[{_SPACE}]*\z", 1)
+    two = F.regexp_extract(left, rf"([^{_SPACE}]+[{_SPACE}]+[^{_SPACE}]+)[{_SPACE}]*\z", 1)
+    after = F.regexp_extract(right, rf"\A[{_SPACE}]*([^{_SPACE}]+)", 1)
+    return F.array_compact(F.array(
+        F.when(one != "", F.concat(F.lit("1 "), one)),
+        F.when(two != "", F.concat(F.lit("2 "), F.regexp_replace(two, rf"[{_SPACE}]+", " "))),
+        F.when(one != "", F.concat(F.lit("b "), one, F.lit(" _ "), after)),
+    ))
+
+
+def _spans(pair: str) -> Column:
+    """The spans of ``pair``, each with its patterns."""
+    gaps = F.col(pair)["g"]
+    return F.transform(_placed(pair), lambda s, i: F.struct(
+        s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"),
+        _patterns(gaps, i).alias("patterns"),
+    ))
+
+
 def base_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, text_key, text, email, ip, card, phone): accepted spans of each kind."""
     rows = docs.select("doc_id", row_key().alias("text_key"), whole("text").alias("text"))
@@ -127,7 +166,7 @@ def base_spans(docs: DataFrame) -> DataFrame:
 
 
 def _accepted(kind: str) -> Column:
-    return F.filter(_placed(f"_{kind}"), lambda s: _accept(kind, s["value"]))
+    return F.filter(_spans(f"_{kind}"), lambda s: _accept(kind, s["value"]))
 
 
 def _overlaps(spans: str, start: Column, end: Column) -> Column:
@@ -135,94 +174,118 @@ def _overlaps(spans: str, start: Column, end: Column) -> Column:
 
 
 def _candidates(rows: DataFrame) -> DataFrame:
-    """``rows`` with ``tokens``: identifier-like tokens with kind (of the base span they touch,
-    else null), place, value and the patterns beside them."""
-    rows = _pair("text", TOKEN, F.rlike("text", F.lit("[0-9]")), "_token", rows)
-    rows = rows.withColumn("_places", _placed("_token"))
-
-    def token(s: Column, i: Column) -> Column:
-        inner = F.ltrim(s["value"], F.lit(EDGE))
+    """``rows`` with ``runs``: what looks like an identifier and touches no fixed span."""
+    rows = _pair("text", RUN, F.rlike("text", F.lit(rf"[0-9]|{AT}")), "_run", rows)
+
+    def trimmed(s: Column) -> Column:
+        def edge(opening: str, closing: str) -> Column:
+            other = F.concat(*(
+                F.when(F.contains(s["value"], F.lit(there)), "").otherwise(sign)
+                for sign, there in ((opening[0], closing[0]), (opening[1], closing[1]))
+            ))
+            return F.concat(F.lit(EDGE), other)
+
+        inner = F.ltrim(s["value"], edge("([", ")]"))
         start = s["start"] + F.char_length(s["value"]) - F.char_length(inner)
-        value = F.rtrim(inner, F.lit(EDGE))
-        end = start + F.char_length(value)
-        gaps = F.col("_token")["g"]
-        before = F.regexp_extract(F.right(F.get(gaps, i), F.lit(64)), r"([^\x20\x09-\x0D]*)[\x20\x09-\x0D]*\z", 1)
-        after = F.regexp_extract(F.left(F.get(gaps, i + 1), F.lit(64)), r"\A[\x20\x09-\x0D]*([^\x20\x09-\x0D]*)", 1)
-        lead = F.left(s["value"], start - s["start"])
-        kind = F.coalesce(*(
-            F.when(_overlaps(k, start, end), k) for k in KINDS
-        ))
-        shape = F.regexp_replace(F.regexp_replace(value, "[A-Za-z]+", "a"), "[0-9]+", "9")
+        value = F.rtrim(inner, edge(")]", "(["))
+        wrapped = F.rlike(value, F.lit(r"\A[(\[][^()\[\]]*[)\]]\z")).cast("int")
+        value = F.substring(value, wrapped + 1, F.char_length(value) - 2 * wrapped)
+        start = start + wrapped
         return F.struct(
-            kind.alias("kind"), start.alias("start"), end.alias("end"), value.alias("value"),
-            F.array(
-                F.concat(F.lit("<"), F.lower(before), F.lit(" "), lead, F.lit(" "), shape),
-                F.concat(F.lit(">"), F.lower(after), F.lit(" "), shape),
-            ).alias("patterns"),
+            start.alias("start"), (start + F.char_length(value)).alias("end"), value.alias("value"),
+            s["patterns"].alias("patterns"),
         )
 
-    found = F.transform("_places", token)
-    return rows.withColumn("tokens", F.filter(found, lambda t: F.char_length(t["value"]) > 0))
+    def wanted(s: Column) -> Column:
+        marked = F.rlike(s["value"], F.lit(AT)) | (F.char_length(digits(s["value"])) >= DIGITS)
+        known = (_overlaps(k, s["start"], s["end"]) for k in KINDS)
+        return (F.char_length(s["value"]) >= LENGTH) & marked & ~reduce(Column.__or__, known)
+
+    return rows.withColumn("runs", F.filter(F.transform(_spans("_run"), trimmed), wanted))
+
+
+def form(value: Column) -> Column:
+    """The form of an entity: an at sign, or groups of digits up to five and about how many digits."""
+    count = F.char_length(digits(value))
+    groups = F.least(F.regexp_count(value, F.lit("[0-9]+")), F.lit(5))
+    size = F.when(count < 7, "few").when(count < 13, "some").otherwise("many")
+    return F.when(F.rlike(value, F.lit(AT)), "@").otherwise(F.concat(groups.cast("string"), size))
+
+
+def _shares(rows: DataFrame, key: str, prefix: str) -> DataFrame:
+    """Per ``key``: the share of each kind among its seeds."""
+    seeds = F.count("seed")
+    return rows.groupBy(key).agg(*(
+        F.coalesce(F.round(F.count_if(F.col("seed") == k) / F.nullif(seeds, F.lit(0)), 6), F.lit(0.0))
+        .alias(f"{prefix}_{k}") for k in KINDS
+    ))
 
 
 def trusted_patterns(
-    tokens: DataFrame, rounds: int = ROUNDS, trust: float = TRUST, support: int = SUPPORT
+    edges: DataFrame, rounds: int = ROUNDS, trust: float = TRUST, support: int = SUPPORT
 ) -> DataFrame:
-    """(pattern, kind, trust) of the patterns that are trusted after ``rounds`` rounds.
+    """(pattern, trust, kind_email, ...) of the patterns that are trusted after ``rounds`` rounds.
 
-    ``tokens`` has a row per occurrence: kind (null if not a seed), value, pattern. Each
-    pair of pattern and value counts once, however often it occurs.
+    ``edges`` has a row per pattern and value, with its kind as ``seed`` or null.
     """
-    edges = staged(
-        tokens.groupBy("pattern", "value").agg(F.max("kind").alias("seed")), "pii-edges"
-    )
-    # a token's scores by kind; seeds are certain and stay so
-    seeds = edges.filter("seed IS NOT NULL").groupBy("value").agg(F.max("seed").alias("kind"))
-    scores = seeds.select("value", "kind", F.lit(1.0).alias("score"))
+    seeded = edges.groupBy("pattern").agg(
+        F.count(F.lit(1)).alias("entities"), F.count("seed").alias("seeds")
+    ).filter(F.col("seeds") >= support)
+    seeded = staged(seeded, "pii-seeded")
+    open_edges = edges.filter("seed IS NULL").join(seeded.select("pattern"), "pattern")
+    open_edges = staged(open_edges.select("pattern", "value"), "pii-open")
+    known = seeded.withColumn("known", F.col("seeds").cast("double"))
     patterns = None
     for _ in range(rounds):
-        of_pattern = edges.groupBy("pattern").agg(
-            F.count(F.lit(1)).alias("tokens"), F.count("seed").alias("seeds")
-        ).filter(F.col("seeds") >= support)
-        known = edges.join(scores, "value").groupBy("pattern", "kind").agg(
-            F.round(F.sum("score"), 6).alias("score"), F.count("seed").alias("support")
-        ).filter(F.col("support") >= support)
-        patterns = known.join(of_pattern, "pattern").select(
-            "pattern", "kind", F.round(F.col("score") / F.col("tokens"), 6).alias("trust")
-        )
-        patterns = staged(patterns, "pii-patterns")
-        learnt = (
-            edges.filter("seed IS NULL").join(patterns, "pattern")
-            .groupBy("value", "kind").agg(F.max("trust").alias("score"))
-            .join(seeds.select("value"), "value", "left_anti")
+        patterns = staged(known.select(
+            "pattern", "entities", "seeds", F.round(F.col("known") / F.col("entities"), 6).alias("trust")
+        ), "pii-patterns")
+        scores = open_edges.join(patterns, "pattern").groupBy("value").agg(
+            F.max("trust").alias("score")
+        ).filter(F.col("score") >= trust)
+        gained = open_edges.join(scores, "value").groupBy("pattern").agg(
+            F.round(F.sum("score"), 6).alias("gained")
         )
-        scores = staged(
-            seeds.select("value", "kind", F.lit(1.0).alias("score")).unionByName(
-                learnt.filter(F.col("score") >= trust / 2)
-            ),
-            "pii-scores",
+        known = patterns.join(gained, "pattern", "left").withColumn(
+            "known", F.col("seeds") + F.coalesce("gained", F.lit(0.0))
         )
-    return patterns.filter(F.col("trust") >= trust)
+    good = patterns.filter(F.col("trust") >= trust).select("pattern", "trust")
+    kinds = _shares(edges.filter("seed IS NOT NULL").join(good, "pattern", "left_semi"), "pattern", "kind")
+    return good.join(kinds, "pattern")
 
 
 def discovered(rows: DataFrame, rounds: int = ROUNDS, trust: float = TRUST, support: int = SUPPORT) -> DataFrame:
-    """(doc_id, text_key, learnt): spans of tokens beside a trusted pattern, by row."""
-    tokens = rows.select("doc_id", "text_key", F.explode("tokens").alias("t")).select(
-        "doc_id", "text_key", "t.*"
-    )
-    occurrences = tokens.select(
-        "doc_id", "text_key", "kind", "start", "end", "value",
-        F.explode("patterns").alias("pattern"),
+    """(doc_id, text_key, learnt): spans beside a trusted pattern, by row."""
+    def entities(column: str, seed: Column) -> DataFrame:
+        found = rows.select("doc_id", "text_key", F.explode(column).alias("s"))
+        return found.select("doc_id", "text_key", seed.alias("seed"), "s.*")
+
+    seeds = reduce(DataFrame.unionByName, (entities(k, F.lit(k)) for k in KINDS))
+    runs = entities("runs", F.lit(None).cast("string"))
+    of_pattern = seeds.unionByName(runs).select(
+        F.explode("patterns").alias("pattern"), "value", "seed"
     )
-    patterns = trusted_patterns(
-        occurrences.select("kind", "value", "pattern"), rounds, trust, support
+    edges = staged(
+        of_pattern.groupBy("pattern", "value").agg(F.max("seed").alias("seed")), "pii-edges"
     )
-    shaped = F.rlike("value", F.lit(SHAPE)) & (F.regexp_count("value", F.lit("[0-9]")) >= 3)
-    new = occurrences.filter(F.col("kind").isNull() & shaped).drop("kind").join(patterns, "pattern")
-    return new.groupBy("doc_id", "text_key", "start", "end").agg(
-        F.max(F.struct("trust", "kind")).alias("best")
-    ).groupBy(F.col("doc_id").alias("_doc_id"), F.col("text_key").alias("_key")).agg(
-        F.collect_list(F.struct(F.col("best.kind").alias("kind"), "start", "end")).alias("learnt")
+    patterns = staged(trusted_patterns(edges, rounds, trust, support), "pii-trusted")
+    forms = _shares(seeds.select(form(F.col("value")).alias("form"), "seed"), "form", "form")
+    place = ("doc_id", "text_key", "start", "end", "value")
+    beside = runs.select(*place, F.explode("patterns").alias("pattern")).join(patterns, "pattern")
+    weighed = beside.groupBy(*place).agg(*(
+        F.round(F.sum(F.col("trust") * F.col(f"kind_{k}")), 6).alias(f"kind_{k}") for k in KINDS
+    )).withColumn("form", form(F.col("value"))).join(forms, "form", "left")
+    best = F.greatest(*(
+        F.struct(
+            (F.col(f"kind_{k}") * (F.lit(FORM_FLOOR) + F.coalesce(f"form_{k}", F.lit(0.0)))).alias("score"),
+            F.lit(k).alias("kind"),
+        ) for k in KINDS
+    ))
+    return weighed.select(
+        F.col("doc_id").alias("_doc_id"), F.col("text_key").alias("_key"), best["kind"].alias("kind"),
+        "start", "end",
+    ).groupBy("_doc_id", "_key").agg(
+        F.collect_set(F.struct("kind", "start", "end")).alias("learnt")
     )
 
 
@@ -233,7 +296,7 @@ def scan(docs: DataFrame, rounds: int = ROUNDS, trust: float = TRUST, support: i
     repeat get equal spans; documents are told apart by id and text; other columns are not
     looked at; an empty table stays empty.
     """
-    rows = _candidates(base_spans(docs)).select("doc_id", "text_key", *KINDS, "tokens")
+    rows = _candidates(base_spans(docs)).select("doc_id", "text_key", *KINDS, "runs")
     rows = staged(rows, "pii-rows")
     learnt = discovered(rows, rounds, trust, support)
     joined = rows.join(
