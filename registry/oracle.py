@@ -412,6 +412,9 @@ OTHERS: dict[str, str] = {
         "(SELECT count(*) FROM (SELECT 1 FROM text_feed GROUP BY order_key HAVING count(*) > 1)) "
         "AS issue_count, count(*) AS total_records FROM text_feed",
     ]),
+    "load_profiles": _issues([
+        *_null_checks(), *_negative_checks(), *_future_checks(AS_OF), *_sku_checks(),
+    ]),
     "health_score": HEALTH,
     "alert_log": f"""
         SELECT issue_type AS alert_type, table_name || ': ' || description AS message, severity,

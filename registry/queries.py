@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tradewind.functions.columns import add_days, bytes_to_digits, bytes_to_long
-from tradewind.operators import audit, history, quality, ranking, reshape, skew, sketches, validation
+from tradewind.operators import audit, history, profiles, quality, ranking, reshape, skew, sketches, validation
 from tradewind.plans import ask as asking
 from tradewind.plans import dependency, gold, ingest, pipeline, questions, silver
 from tradewind.plans import incremental_gold as by_load
@@ -134,6 +134,19 @@ def alert_log(spark, folder):
     return quality.alerts(quality.issues(counts), AS_OF).drop("alert_id", "resolved_at")
 
 
+def load_profiles(spark, folder):
+    """Issues of all Bronze tables from the profiles that three loads of each have left; the
+    duplicates, which come from sketches, as in ``quality_duplicates`` up to their error."""
+    written = []
+    for name, rows in bronze_tables(spark, folder).items():
+        rows, _ = stage(rows, name)
+        turn = F.pmod(F.xxhash64("_loaded_at"), F.lit(3))
+        written += [profiles.profile(rows.filter(turn == n), name, f"load-{n}", AS_OF) for n in range(3)]
+    kept, _ = stage(reduce(DataFrame.unionByName, written), "profiles")
+    return quality.issues(profiles.merged(kept).filter(
+        F.col("issue_type").isNull() | (F.col("issue_type") != quality.DUPLICATES)))
+
+
 # Ingest ----------------------------------------------------------------------------------
 
 FEED = ("order_key", "customer", "status", "price", "ordered", "priority")
@@ -825,6 +838,7 @@ QUERIES: dict[str, Query] = {
     "quality_duplicates": quality_issues(quality.DUPLICATES),
     "quality_text": quality_text,
     "quality_patterns": quality_issues(quality.BAD_SKUS),
+    "load_profiles": load_profiles,
     "health_score": health_score,
     "alert_log": alert_log,
     "validate_rows": validate_rows,

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from tradewind.functions.columns import utc_now
 from tradewind.functions.columns import as_of_timestamp
-from tradewind.operators import history, validation
+from tradewind.operators import history, profiles, validation
 from tradewind.sources import files, ops, relational, warehouse
 
 
@@ -100,6 +100,19 @@ def load_batch(
             "records_quarantined": fetched - loaded}
 
 
+def rows_of_run(spark: SparkSession, table: str, run_id: str) -> DataFrame:
+    """What one run added. A file holds one run, so Spark reads the files of this run only."""
+    return spark.table(table).filter(F.col("_RUN_ID") == run_id)
+
+
+def profile_run(
+    spark: SparkSession, table: str, run_id: str, as_of=None, profiles_table: str = "QUALITY_PROFILES"
+) -> None:
+    """Keep the profile of one run, from which ``profiles.merged`` tells the table's health."""
+    rows = rows_of_run(spark, table, run_id)
+    warehouse.append(profiles.profile(rows, table, run_id, as_of), profiles_table)
+
+
 def load_csv_to_bronze(
     spark: SparkSession, path: str, table_name: str, multi_line: bool | None = None
 ) -> dict:
@@ -112,7 +125,9 @@ def load_csv_to_bronze(
     def run(run_id: str, at: dt.datetime) -> dict:
         batch = files.read_csv(spark, path, multi_line)
         report = load_batch(batch, table, source, run_id, at, file_name)
-        found = validation.load_verification(spark.table(table), report["records_loaded"])
+        found = validation.load_verification(
+            rows_of_run(spark, table, run_id), report["records_loaded"]
+        )
         return {**report, "file_name": file_name, "verification": found.first().asDict()}
 
     return _logged(spark, source, run)

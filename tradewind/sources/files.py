@@ -39,19 +39,26 @@ def clean_columns(df: DataFrame) -> DataFrame:
     return df.toDF(*clean_names(df.columns))
 
 
-def has_quoted_breaks(spark: SparkSession, path: str) -> bool:
-    """True when a line break stands inside quotes: some line then has an odd number of them.
+#: A field in quotes that ends on its line; what opens a field otherwise goes on in the next line.
+QUOTED_FIELD, OPEN_QUOTE = r'(^|,) *"(?:[^"]|"")*+" *(?=,|$)', r'(^|,) *"'
 
-    The same pass compares the files' first lines. Cells are read by position, so files
-    whose headers differ in more than quotes, spaces and case raise.
+
+def has_quoted_breaks(spark: SparkSession, path: str, only_headers: bool = False) -> bool:
+    """True when a line break stands inside quotes: some line opens a field and does not close it.
+
+    A quote inside a field without quotes, as in ``5" pipe``, opens nothing. The same pass compares
+    the files' first lines: cells are read by position, so files whose headers differ in more
+    than quotes, spaces and case raise. ``only_headers`` looks at nothing else.
     """
-    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
+    opened = F.rlike(F.regexp_replace("value", QUOTED_FIELD, "$1"), F.lit(OPEN_QUOTE))
     lines = spark.read.text(path).filter("value != ''").select(
-        "value", (quotes % 2 == 1).alias("odd"),
+        "value", (F.lit(False) if only_headers else opened).alias("odd"),
         F.col("_metadata.file_path").alias("file"),
         F.when(F.col("_metadata.file_block_start") == 0, F.monotonically_increasing_id())
         .alias("place"),
     )
+    if only_headers:
+        lines = lines.filter("place IS NOT NULL")
     by_file = lines.groupBy("file").agg(
         F.min_by("value", "place").alias("header"), F.bool_or("odd").alias("odd")
     )
@@ -70,11 +77,11 @@ def read_text_cells(
     """Every cell as text, null tokens as null, columns under their cleaned names.
 
     Files split at line ends and load in parallel, unless a line break stands
-    inside quotes: then a file is one task. A known ``multi_line`` saves the
-    pass that looks for such breaks and compares the headers.
+    inside quotes: then a file is one task. With a known ``multi_line`` the pass that looks
+    for such breaks compares the headers only.
     """
-    if multi_line is None:
-        multi_line = has_quoted_breaks(spark, path)
+    found = has_quoted_breaks(spark, path, only_headers=multi_line is not None)
+    multi_line = found if multi_line is None else multi_line
     reader = spark.read.options(quote='"', escape='"', multiLine=multi_line)
     header = reader.option("header", False).csv(path).first()
     if header is None:
