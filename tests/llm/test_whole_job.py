@@ -156,3 +156,32 @@ def test_columns_of_any_name_stay(spark, docs, monkeypatch):
     )
     for operator in others:
         assert sorted(map(str, operator(named).collect())) == sorted(map(str, operator(docs).collect()))
+
+
+def test_automata_of_any_size_find_the_same(spark):
+    """Repeated items count once, long ones are cut so that no window is lost, parts are bounded."""
+    random = np.random.default_rng(3)
+    words = [f"w{x}" for x in random.integers(0, 400, 900)]
+    items = [(1, " ".join(words[:300])), (2, " ".join(words[200:240])), (3, "Tiny item"), (4, " "), (5, None)]
+    items += [(1, " ".join(words[:300]))] * 50 + [(3, "tiny, ITEM")]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    texts = [" ".join(words[a:a + n]) for a, n in ((0, 900), (5, 10), (5, 9), (195, 60), (290, 30), (295, 14))]
+    docs = spark.createDataFrame(list(enumerate([*texts, "a tiny item.", None, ""])), "doc_id long, text string")
+
+    def marked(most):
+        return sorted(map(str, decontaminate.contamination(docs, benchmark, max_words=most).collect()))
+
+    want = marked(200_000)
+    for most in (10, 17, 64):
+        parts = decontaminate.item_parts(benchmark, max_words=most).collect()
+        size = {}
+        for r in parts:
+            size[r.part] = size.get(r.part, 0) + len(r.text.split())
+        assert len(size) > 3 and max(size.values()) <= 2 * most
+        assert len(parts) == len({(r.item_id, r.text) for r in parts})
+    assert marked(17) == want
+    found = {r.doc_id: r.contamination for r in decontaminate.contamination(docs, benchmark, max_words=64).collect()}
+    assert [(s.start, s.end) for s in found[0].spans] == [(0, 300)] and found[0]["items"] == ["1", "2"]
+    assert found[1]["items"] == ["1"] and found[2]["items"] == [] and found[6]["items"] == ["3"]
+    with pytest.raises(ValueError):
+        decontaminate.item_parts(benchmark, max_words=9)

@@ -5,8 +5,9 @@ never runs from one item into the next. A document's words stream through it whi
 length of the longest match that ends at each word is kept. Where that length reaches the
 window, the last ``window`` words are a passage of some item.
 
-Items are cut into automata of at most ``MAX_WORDS`` words, so what is sent to the
-executors has a fixed bound; the documents pass the automata one after the other, row by row.
+Different items are dealt to automata of about ``MAX_WORDS`` words, longer ones in pieces that
+overlap by all but one word of a window, so what is collected, built and sent has a fixed bound. One
+automaton lives at a time: the documents pass the first, are written, pass the next.
 """
 
 from __future__ import annotations
@@ -18,10 +19,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tradewind.llm.text import small_batches, staged, unused
+from tradewind.llm.prefix import sum_before
+from tradewind.llm.text import lower_ascii, small_batches, staged, unused
 
 WINDOW = 10
 #: Words of items in one automaton; an automaton is some 100 bytes a word.
@@ -162,33 +164,31 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def automata(benchmark: DataFrame, window: int = WINDOW, max_words: int = MAX_WORDS) -> list:
-    """One broadcast automaton per ``max_words`` words of items, built one at a time.
+def item_parts(benchmark: DataFrame, window: int = WINDOW, max_words: int = MAX_WORDS) -> DataFrame:
+    """(part, item_id, text): different items, or pieces of them, at most ``2 * max_words`` words a part.
 
     Items without words, and null texts, take no part. Items that share an id count as
     one in the list of items; each of their texts is matched by itself.
     """
-    spark = benchmark.sparkSession
-    items = staged(
-        benchmark.select(
-            F.col("item_id").cast("string").alias("item_id"), "text",
-            F.octet_length("text").cast("long").alias("size"),
-        ).filter("text IS NOT NULL"),
-        "benchmark",
-    )
-    total = items.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    bucket = F.pmod(F.xxhash64("item_id", "text"), F.lit(1024 + 64 * (total // max_words)))
-    sizes = items.groupBy(bucket.alias("bucket")).agg(F.sum("size").alias("size"))
-    # a word has at least two bytes with its space
-    before = F.sum("size").over(Window.orderBy("bucket")) / 2
-    parts = sizes.select("bucket", F.floor(before / max_words).alias("part")).collect()
-    built = []
-    for part in sorted({p["part"] for p in parts}):
-        chosen = [p["bucket"] for p in parts if p["part"] == part]
-        rows = items.filter(bucket.isin(chosen)).select("item_id", "text").collect()
-        coded = [(r["item_id"] or "", words_of(r["text"].encode())) for r in rows]
-        built.append(spark.sparkContext.broadcast(Automaton(coded, window)))
-    return built
+    if max_words < window:
+        raise ValueError("an automaton holds a window at least")
+    words = F.regexp_extract_all(lower_ascii(F.col("text")), F.lit(_WORD.pattern), F.lit(0))
+    items = benchmark.filter("text IS NOT NULL").select(
+        F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), words.alias("words")
+    ).filter(F.size("words") > 0).distinct()
+    last = F.greatest(F.size("words") - window, F.lit(0))
+    pieces = items.select(
+        "item_id", "words", F.explode(F.sequence(F.lit(0), last, F.lit(max_words - window + 1))).alias("at")
+    ).select("item_id", F.slice("words", F.col("at") + 1, max_words).alias("words"))
+    place = F.xxhash64("item_id", "words")
+    placed = staged(pieces.select(
+        "item_id", F.array_join("words", " ").alias("text"), F.size("words").cast("long").alias("size"),
+        place.alias("place"), F.shiftright(place, 54).alias("bucket"), F.lit(0).alias("all"),
+    ), "benchmark")
+    ordered = sum_before(placed, "all", "bucket", ["place", "item_id", "text"], "size", "before")
+    return staged(ordered.select(
+        F.floor(F.col("before") / max_words).alias("part"), "item_id", "text"
+    ), "benchmark-parts")
 
 
 FOUND = "n_words long, spans array<struct<start:int,end:int>>, items array<string>"
@@ -237,11 +237,16 @@ def contamination(
     )
     small_batches(docs.sparkSession)
     marked = docs.withColumn(found, empty)
-    built = automata(benchmark, window, max_words) or [
-        docs.sparkSession.sparkContext.broadcast(Automaton([], window))
-    ]
-    for automaton in built:
-        marked = _pass(marked, automaton, found)
+    parts = item_parts(benchmark, window, max_words)
+    numbers = sorted(r[0] for r in parts.select("part").distinct().collect())
+    for turn, number in enumerate(numbers or [None]):
+        rows = parts.filter(F.col("part") == number).collect() if numbers else []
+        items = [(r["item_id"], words_of(r["text"].encode())) for r in rows]
+        sent = docs.sparkSession.sparkContext.broadcast(Automaton(items, window))
+        marked = _pass(marked, sent, found)
+        if turn < len(numbers) - 1:
+            marked = staged(marked, "decontamination")
+            sent.destroy()
     return marked
 
 
