@@ -28,7 +28,9 @@ K = 20
 #: Pivots, drawn from a sample of so many vectors; every vector is indexed by them.
 PIVOTS, SAMPLE = 32, 2_000
 BLOCK, QUERY_BLOCK = 4096, 1024
-LEAF = 64
+LEAF = 256
+#: So many centres in a row that cover only themselves end a node's search for centres.
+LONE = 32
 #: Whole numbers up to here are exact as doubles.
 EXACT = 1 << 53
 #: Score of what is no candidate; its negative still fits 64 bits.
@@ -45,7 +47,12 @@ class Node:
 
 def cover_tree(points: np.ndarray, rows: np.ndarray | None = None, leaf: int = LEAF) -> Node:
     """A cover tree: the children of a node are centred at members of it that are further apart
-    than half its radius, and every member goes to the first centre within that distance."""
+    than half its radius, and every member goes to the first centre within that distance.
+
+    Members that cover nobody but themselves get no node of their own: they share leaves, by their
+    distance from the centre. Once ``LONE`` centres in a row were such, all that is left is
+    taken for such too, so data without clusters do not cost the square of their number.
+    """
     rows = np.arange(len(points)) if rows is None else rows
     own = points[rows]
     center = own[0]
@@ -54,20 +61,22 @@ def cover_tree(points: np.ndarray, rows: np.ndarray | None = None, leaf: int = L
     node = Node(rows, center, radius, [])
     if len(rows) <= leaf or radius == 0:
         return node
-    left = np.arange(len(rows))
-    while len(left):
+    left, lone, in_a_row = np.arange(len(rows)), [], 0
+    while len(left) and in_a_row < LONE:
         near = ((own[left] - own[left[0]]) ** 2).sum(axis=1) <= (radius / 2) ** 2
-        node.children.append(cover_tree(points, rows[left[near]], leaf))
+        if near.sum() == 1:
+            lone.append(left[0])
+            in_a_row += 1
+        else:
+            node.children.append(cover_tree(points, rows[left[near]], leaf))
+            in_a_row = 0
         left = left[~near]
-    # single points far from all others need no node of their own
-    lone = [c.rows for c in node.children if len(c.rows) == 1]
-    if len(lone) > 1:
-        merged_rows = np.concatenate(lone)
-        node.children = [c for c in node.children if len(c.rows) > 1]
-        for start in range(0, len(merged_rows), leaf):
-            part = merged_rows[start:start + leaf]
-            distance = np.sqrt(((points[part] - points[part[0]]) ** 2).sum(axis=1))
-            node.children.append(Node(part, points[part[0]], float(distance.max()), []))
+    apart = np.concatenate((np.array(lone, np.int64), left))
+    apart = rows[apart[np.argsort(away[apart], kind="stable")]]
+    for start in range(0, len(apart), leaf):
+        part = apart[start:start + leaf]
+        distance = np.sqrt(((points[part] - points[part[0]]) ** 2).sum(axis=1))
+        node.children.append(Node(part, points[part[0]], float(distance.max()), []))
     return node
 
 
