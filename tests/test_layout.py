@@ -1,5 +1,6 @@
 """Stored layouts, hot keys, switched views, and runs that rebuild what has changed."""
 
+import datetime as dt
 import threading
 
 import pytest
@@ -174,3 +175,19 @@ def test_bytes_of_any_width(spark):
     got = {r.i: r.d for r in df.select("i", bytes_to_digits(F.col("b")).alias("d")).collect()}
     assert [got[i] for i in range(len(values))] == [str(v) for v in values]
     assert got[len(values)] == "0" and got[len(values) + 2] is None
+
+
+def test_logs_stay_few_files(spark, empty_catalog):
+    from tradewind.sources import ops
+
+    def log(n):
+        ops.append_rows(spark, "QUERY_HISTORY", [(f"q{n}", "?", "SELECT 1", 1, 1, dt.datetime(2026, 1, 1))])
+
+    for n in range(12):
+        log(n)
+        ops.compact(spark, most_files=4)
+    assert len(spark.table("QUERY_HISTORY").inputFiles()) <= 5
+    assert {r.query_id for r in spark.table("QUERY_HISTORY").collect()} == {f"q{n}" for n in range(12)}
+    assert ops.compact(spark, most_files=4) in ([], ["QUERY_HISTORY"]) and ops.compact(spark, most_files=4) == []
+    log(12)  # the log takes entries as before
+    assert spark.table("QUERY_HISTORY").count() == 13

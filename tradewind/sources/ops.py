@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tradewind.sources import warehouse
+
+#: Files that a log may have before they are brought together, and rows of a file then.
+MOST_FILES, ROWS_PER_FILE = 32, 5_000_000
+
 PIPELINE_RUNS = (
     "run_id string, source_name string, start_time timestamp_ntz, end_time timestamp_ntz, "
     "status string, records_fetched bigint, records_loaded bigint, records_quarantined bigint, "
@@ -66,3 +72,20 @@ def append(df: DataFrame, name: str) -> None:
 def append_rows(spark: SparkSession, name: str, rows: Iterable[tuple]) -> None:
     """For rows the driver itself makes, such as a run's log line."""
     append(spark.createDataFrame(list(rows), TABLES[name]).coalesce(1), name)
+
+
+def compact(
+    spark: SparkSession, names: Iterable[str] = tuple(TABLES), most_files: int = MOST_FILES
+) -> list[str]:
+    """Bring the files of logs together that have more than ``most_files``; the logs it touched.
+
+    Every run and query appends a small file. Called once per cycle, a log never has
+    many more than ``most_files``. The old log stays if this fails.
+    """
+    done = []
+    for name in names:
+        if spark.catalog.tableExists(name) and len(spark.table(name).inputFiles()) > most_files:
+            log = spark.table(name)
+            warehouse.replace(log.coalesce(max(1, math.ceil(log.count() / ROWS_PER_FILE))), name)
+            done.append(name)
+    return done

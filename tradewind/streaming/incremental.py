@@ -13,6 +13,7 @@ from tradewind.functions.columns import as_of_timestamp
 from tradewind.operators import validation
 from tradewind.plans import ingest, pipeline
 from tradewind.rules import TableNames
+from tradewind.sources import ops
 
 
 def arrivals(
@@ -109,6 +110,7 @@ def stream_cycle(
         load_arrivals(stream, f"{path}/{entity}", f"FILES_{entity.upper()}")
         publish(spark, f"{path}/{entity}", table)
     health = pipeline.check_quality(spark, [names.bronze(e) for e in streams], as_of, code=names.code)
+    ops.compact(spark)
     return {"health": health, "transform": pipeline.run_all(spark, as_of, names)}
 
 
@@ -118,6 +120,7 @@ def run_cycle(
     """One round: sync every source table, check Bronze, rebuild Silver and Gold."""
     synced = ingest.sync_all(spark, origin)
     health = pipeline.check_all_bronze(spark, as_of, names.code)
+    ops.compact(spark)
     return {
         "tables_synced": len(synced),
         "health": health,
