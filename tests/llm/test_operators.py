@@ -260,26 +260,81 @@ def test_licenses(corpus):
                ("general", "public", "license"): "gpl"}
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     words_of = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.translate(lower))
+    names = {tuple(p.split()): label for label, each in licenses.NAMES.items() for p in each}
+    notices = [(label, licenses.notice_words(t)) for label, each in licenses.NOTICES.items() for t in each]
     for doc, text in texts(corpus):
         words = words_of(text)
         spots = [(i, label) for p, label in phrases.items() for i in range(len(words))
                  if tuple(words[i:i + len(p)]) == p]
         labels = {label for _, label in spots}
-        for line in text.split("\n"):
-            have = set(words_of(line))
-            for label, notices in licenses.TEMPLATES.items():
-                for notice in notices:
-                    need = set(licenses.template_words(notice))
-                    if len(have & need) >= licenses.CONTAINMENT * len(need) - 1e-9:
-                        labels.add(label)
+        at = [(i, i + len(p), label) for p, label in names.items() for i in range(len(words))
+              if tuple(words[i:i + len(p)]) == p]
+        labels |= {label for i, j, label in at
+                   if not any(a <= i and j <= b and b - a > j - i for a, b, _ in at)}
+        best = 1.0 if labels else 0.0
+        for label, notice in notices:
+            need, score = set(notice), 0.0
+            if len(need & set(words)) >= licenses.CONTAINMENT * len(need) - 1e-9:
+                score = max(len(need & set(words[i:i + len(notice)])) for i in range(len(words))) / len(need)
+            if score >= licenses.CONTAINMENT - 1e-9:
+                labels, best = labels | {label}, max(best, score)
         at = [i for i, _ in spots]
         want.append((str(doc), len(words), len(at), str(min(at, default=None)),
-                     str(max(at, default=None)), ",".join(sorted(labels))))
+                     str(max(at, default=None)), ",".join(sorted(labels)), best))
     got = licenses.scan(corpus).collect()
-    assert sorted((str(r.doc_id), r.n_words, r.n_base, str(r.first_word), str(r.last_word), r.labels)
+    assert sorted((str(r.doc_id), r.n_words, r.n_base, str(r.first_word), str(r.last_word), r.labels, r.score)
                   for r in got) == sorted(want)
 
 
+def test_notices_by_containment(spark):
+    """Wrapped, changed, cut and scattered notices; every notice is met by itself alone."""
+    plain = {label: each[0] for label, each in licenses.NOTICES.items()}
+    rows = [(i, text) for i, text in enumerate(plain.values())]
+    want = {i: label for i, label in enumerate(plain)}
+    words = licenses.notice_words(plain["bsd"])
+    rare = sorted(set(words), key=lambda w: (words.count(w), w))
+    for i, lost in enumerate((6, 7, 8, 20)):
+        gone = set(rare[:lost])
+        kept = " ".join("other" if w in gone else w for w in words)
+        rows.append((100 + i, "before\n" * 300 + kept + " after" * 300))
+        held = (len(set(words)) - lost) / len(set(words)) >= licenses.CONTAINMENT
+        want[100 + i] = "bsd" if held else ""
+    assert {want[i] for i in range(100, 104)} == {"bsd", ""}
+    rows.append((200, "\n * ".join(plain["apache"].split())))
+    rows.append((201, "\n".join(w + " filler" * 9 for w in plain["mit"].split())))
+    rows.append((202, "x " * 5000 + plain["mit"] + " y" * 5000 + plain["isc"]))
+    want |= {200: "apache", 201: "", 202: "isc,mit"}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.labels for r in licenses.scan(docs).collect()} == want
+    found = {r.label: r for r in licenses.matches(docs.filter("doc_id = 202")).collect()}
+    assert found["mit"].first_word == 5000 and found["mit"].containment == 1.0
+    assert found["isc"].first_word == 10_000 + len(licenses.notice_words(plain["mit"]))
+
+
+def test_a_longer_name_wins(spark):
+    texts = {
+        "cc-by-nc": "Licensed under CC BY-NC 4.0.",
+        "cc-by": "Creative Commons\nAttribution, CC BY 4.0",
+        "cc-by-sa": "creative commons attribution-sharealike creative commons attribution-sharealike",
+        "cc-by,cc-by-nc-sa": "cc by-nc-sa, or CC BY 4.0",
+        "gpl,lgpl": "the GNU Lesser General Public License",
+    }
+    docs = spark.createDataFrame(list(enumerate(texts.values())), "doc_id long, text string")
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.scan(docs).collect()}
+    assert got == {i: (labels, 1.0) for i, labels in enumerate(texts)}
+
+
+def test_other_notices_and_none(spark):
+    docs = spark.createDataFrame(
+        [(1, "a b c d e f g h i j"), (1, "a b c d e f g h i j"), (None, "j i h x a"), (3, None)],
+        "doc_id long, text string")
+    got = licenses.matches(docs, {"abc": ("a b c d e f g h i j",)}, 0.5).collect()
+    assert sorted((r.doc_id, r.label, r.containment, r.first_word) for r in got) == [
+        (1, "abc", 1.0, 0), (1, "abc", 1.0, 0)]
+    got = licenses.scan(docs, {}, names={}).collect()
+    assert len(got) == 4 and {(r.labels, r.score) for r in got} == {("", 0.0)}
+
+
 def test_license_phrases_side_by_side(spark):
     text = "MIT License MIT license, the GNU General Public License. apache-license"
     (row,) = licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()

@@ -147,15 +147,27 @@ SQL = {
 
 
 def licenses() -> str:
-    """Every line against every template, by counting the words they share."""
-    from tradewind.llm.licenses import CONTAINMENT, TEMPLATES, template_words
+    """Every run of words against every notice, by counting the words they share."""
+    from tradewind.llm.licenses import (
+        CONTAINMENT, NAMES, NOTICES, longer_names, needed_words, notice_words,
+    )
 
+    notices = [(label, notice_words(t)) for label, texts in NOTICES.items() for t in texts]
     values = ", ".join(
-        f"('{label}', {template_words(text)})" for label, texts in TEMPLATES.items() for text in texts
+        f"('{label}', {sorted(set(words))}, {len(words)}, {needed_words(len(set(words)), CONTAINMENT)})"
+        for label, words in notices
     )
+    has_name = []
+    for label, phrases in NAMES.items():
+        for phrase in phrases:
+            rest = "text"
+            for longer in longer_names(phrase):
+                for _ in range(2):
+                    rest = f"replace({rest}, ' {longer} ', ' | ')"
+            has_name.append(f"CASE WHEN contains({rest}, ' {phrase} ') THEN '{label}' END")
     return f"""
     WITH docs AS (
-        SELECT row_number() OVER () AS row, doc_id, text,
+        SELECT row_number() OVER () AS row, doc_id,
                regexp_extract_all({lowered("coalesce(text, '')")}, '{TOKEN}') AS words FROM documents
     ), places AS (
         SELECT row, i - 1 AS i,
@@ -169,25 +181,31 @@ def licenses() -> str:
         SELECT row, count(*) AS n, min(i) AS first, max(i) AS last,
                string_agg(DISTINCT label, ',' ORDER BY label) AS labels
         FROM places WHERE label IS NOT NULL GROUP BY row
-    ), templates(label, words) AS (VALUES {values}
-    ), lines AS (
-        SELECT row, list_distinct(regexp_extract_all({lowered("line")}, '{TOKEN}')) AS words
-        FROM (SELECT row, unnest(string_split(text, chr(10))) AS line FROM docs)
-    ), shared AS (
-        SELECT row, label, len(list_intersect(lines.words, templates.words)) AS n,
-               len(templates.words) AS size
-        FROM lines, templates
-    ), meet AS (SELECT row, label, n / size AS part FROM shared WHERE n >= {CONTAINMENT} * size - 1e-9
+    ), named AS (
+        SELECT row, unnest(list_filter([{", ".join(has_name)}], x -> x IS NOT NULL)) AS label
+        FROM (SELECT row, ' ' || array_to_string(words, ' ') || ' ' AS text FROM docs)
+    ), notices(label, words, length, needed) AS (VALUES {values}
+    ), near AS (
+        SELECT row, label, docs.words, notices.words AS notice, length, needed
+        FROM docs, notices
+        WHERE len(list_intersect(list_distinct(docs.words), notices.words)) >= needed
+    ), meet AS (
+        SELECT row, label, max(n) / any_value(len(notice)) AS part
+        FROM (SELECT row, label, notice, needed,
+                     len(list_intersect(list_distinct(words[i:i + length - 1]), notice)) AS n
+              FROM (SELECT *, unnest(range(1, len(words) + 1)) AS i FROM near))
+        WHERE n >= needed GROUP BY row, label
     ), best AS (SELECT row, max(part) AS part FROM meet GROUP BY row
     ), every AS (
         SELECT row, string_agg(DISTINCT label, ',' ORDER BY label) AS labels
-        FROM (SELECT row, label FROM meet
+        FROM (SELECT row, label FROM meet UNION ALL SELECT row, label FROM named
               UNION ALL SELECT row, label FROM places WHERE label IS NOT NULL) GROUP BY row
     )
     SELECT doc_id, len(docs.words) AS n_words, coalesce(base.n, 0) AS n_base, first AS first_word,
            last AS last_word, coalesce(base.labels, '') AS base_labels,
            coalesce(every.labels, '') AS labels,
-           CASE WHEN base.n > 0 THEN 1.0::DOUBLE ELSE coalesce(part, 0)::DOUBLE END AS score
+           CASE WHEN base.n > 0 OR row IN (SELECT row FROM named) THEN 1.0::DOUBLE
+                ELSE coalesce(part, 0)::DOUBLE END AS score
     FROM docs LEFT JOIN base USING (row) LEFT JOIN best USING (row) LEFT JOIN every USING (row)"""
 
 
