@@ -182,7 +182,7 @@ def licenses() -> str:
                string_agg(DISTINCT label, ',' ORDER BY label) AS labels
         FROM places WHERE label IS NOT NULL GROUP BY row
     ), named AS (
-        SELECT row, unnest(list_filter([{", ".join(has_name)}], x -> x IS NOT NULL)) AS label
+        SELECT row, unnest(list_filter([{", ".join(has_name)}], lambda x: x IS NOT NULL)) AS label
         FROM (SELECT row, ' ' || array_to_string(words, ' ') || ' ' AS text FROM docs)
     ), notices(label, words, length, needed) AS (VALUES {values}
     ), near AS (
