@@ -200,6 +200,61 @@ def test_sync_all(spark, empty_catalog):
     assert types(spark.table("BRZ_MYSQL_FULL"))["K"] == "bigint"
 
 
+def test_sync_logs_how_columns_changed(spark, empty_catalog):
+    def sync(df):
+        return ingest.sync_table_to_bronze(spark, Source({"t": df}), "t")["status"]
+
+    first = spark.createDataFrame([(1, "a")], "k int, v string")
+    assert [sync(first), sync(first)] == ["success", "success"]
+    assert spark.table("SCHEMA_CHANGES").count() == 0
+    sync(spark.createDataFrame([(1, 2.5, "x")], "k int, v double, w string"))
+    found = spark.table("SCHEMA_CHANGES").filter("source_name = 'MYSQL_T'").collect()
+    assert {(r.change_type, r.column_name) for r in found} == {("TYPE_CHANGED", "V"), ("ADDED", "W")}
+
+
+@pytest.mark.parametrize("keys, column", [
+    (["id"], "id"), (["day", "id"], "day"), (["code", "id"], None), (["price"], None), ([], None),
+    (["gone"], None), (["big"], "big"),
+])
+def test_key_to_read_by(keys, column):
+    kinds = {"id": "int(11) unsigned", "big": "BIGINT", "day": "date", "code": "varchar(8)",
+             "price": "decimal(10,2)"}
+    assert relational.partition_column(keys, kinds) == column
+
+
+def test_read_options():
+    assert relational.read_options("t") == relational.read_options("t", "id") == {"dbtable": "t"}
+    got = relational.read_options("t", "id", 5, 1_000_000)
+    assert got == {"dbtable": "t", "partitionColumn": "id", "lowerBound": "5",
+                   "upperBound": "1000000", "numPartitions": "64"}
+    assert relational.read_options("t", "id", 7, 9)["numPartitions"] == "3"
+    day = relational.read_options("t", "day", dt.date(2026, 1, 1), dt.date(2026, 2, 1), 8)
+    assert (day["lowerBound"], day["numPartitions"]) == ("2026-01-01", "8")
+
+
+def test_tables_are_read_by_their_key(spark):
+    class Answers(relational.JdbcSource):
+        """Answers the catalog's questions from tables in place of a database."""
+
+        def _query(self, text):
+            if "key_column_usage" in text:
+                return self.spark.createDataFrame(
+                    [("line", 2), ("id", 1)] if "'orders'" in text else [], "name string, place int")
+            if "information_schema.columns" in text:
+                return self.spark.createDataFrame([("id", "bigint"), ("line", "int")], "name string, kind string")
+            assert text.endswith(("FROM orders", "FROM empty", "FROM other"))
+            none = "FROM empty" in text
+            return self.spark.createDataFrame(
+                [(None, None) if none else (1, 500)], "low long, high long")
+
+    source = Answers(spark, "jdbc:x", "shop", partition_columns={"empty": "id", "whole": None, "other": "line"})
+    assert source.keys("orders") == ["id", "line"]
+    assert source.options("orders")["partitionColumn"] == "id"
+    assert source.options("other")["partitionColumn"] == "line"
+    for one_task in ("empty", "whole", "keyless"):
+        assert source.options(one_task) == {"dbtable": one_task}
+
+
 def test_load_verification(spark):
     df = spark.createDataFrame([(1, None, "x"), (2, 3, "y")], "a int, b int, _SOURCE string")
     row = validation.load_verification(df, 3).first()

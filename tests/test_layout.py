@@ -11,7 +11,7 @@ from tradewind.functions.columns import bytes_to_digits
 from tradewind.operators import history, skew
 from tradewind.operators.dedup import latest_per_key
 from tradewind.plans import dependency
-from tradewind.plans.pipeline import Model
+from tradewind.plans.pipeline import Model, Options
 from tradewind.rules import TableNames
 from tradewind.sources import warehouse
 
@@ -139,6 +139,10 @@ def test_only_what_changed_is_built(spark, empty_catalog):
     fourth = outcomes(dependency.run_all(spark, AS_OF))
     assert {t for t, s in fourth.items() if s == "SUCCESS"} == {NAMES.gold("daily_revenue")}
     assert set(outcomes(dependency.run_all(spark, "2026-05-01 00:00:00")).values()) == {"SUCCESS"}
+    other = Options(dedup_stores=True)
+    for status in ("SUCCESS", "UNCHANGED"):
+        found = dependency.run_all(spark, "2026-05-01 00:00:00", options=other)
+        assert set(outcomes(found).values()) == {status}
 
 
 def test_failed_inputs_skip_what_needs_them(spark, empty_catalog):

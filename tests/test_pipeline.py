@@ -56,6 +56,27 @@ def test_run_all_and_status(spark, empty_catalog):
     assert spark.table("GOLD_DAILY_REVENUE").count() == 2
 
 
+def test_options_reach_the_models(spark, empty_catalog):
+    tables = bronze_tables(spark)
+    for name, df in tables.items():
+        warehouse.append(df, NAMES.bronze(name))
+    warehouse.append(tables["stores"], NAMES.bronze("stores"))  # a second load
+    rates = {"estimated_tariff_cost": 0.5}
+    chosen = pipeline.Options(dedup_stores=True, stock_fanout=False, tariff_rates=rates)
+    assert pipeline.run_all(spark, AS_OF, options=chosen)["status"] == "success"
+    stores = spark.table(NAMES.silver("stores"))
+    assert stores.count() == stores.select("store_id").distinct().count()
+    tariffs = spark.table(NAMES.brand_gold("tariff_impact"))
+    assert "high_tariff_scenario" not in tariffs.columns
+    assert all(abs(r.estimated_tariff_cost - r.total_revenue / 2) < 0.01 for r in tariffs.collect())
+    margins = spark.table(NAMES.brand_gold("product_margins"))
+    from tradewind.plans import gold
+
+    want = gold.product_margins(
+        spark.table(NAMES.silver("orders")), spark.table(NAMES.silver("inventory")), AS_OF, fanout=False)
+    assert sorted(map(str, margins.collect())) == sorted(map(str, want.collect()))
+
+
 def test_product_history_table(spark, empty_catalog):
     def snapshot(price):
         return spark.sql(

@@ -18,7 +18,7 @@ from pyspark.sql import SparkSession
 
 from tradewind.functions.columns import utc_now
 from tradewind.operators.dedup import latest_per_key
-from tradewind.plans.pipeline import Model, models, run_model
+from tradewind.plans.pipeline import Model, Options, models, run_model
 from tradewind.rules import TableNames
 from tradewind.session import staging_scope
 from tradewind.sources import ops
@@ -89,8 +89,12 @@ def run(
 
 
 def run_all(
-    spark: SparkSession, as_of=None, names: TableNames = TableNames(), parallel: int = 4
+    spark: SparkSession, as_of=None, names: TableNames = TableNames(), parallel: int = 4,
+    options: Options = Options(),
 ) -> list[dict]:
-    """All models, as far as their inputs have changed. Without ``as_of`` every run is a new one."""
+    """All models, as far as their inputs or ``options`` have changed. Without ``as_of`` every
+    run is a new one."""
     parameters = str(as_of if as_of is not None else utc_now())
-    return run(spark, models(spark, as_of, names), parameters, parallel)
+    if options != Options():
+        parameters += f"\n{options}"
+    return run(spark, models(spark, as_of, names, options), parameters, parallel)

@@ -136,8 +136,8 @@ def load_csv_to_bronze(
 def sync_table_to_bronze(spark: SparkSession, origin, table_name: str) -> dict:
     """All rows of a relational table, appended to ``BRZ_MYSQL_<table_name>``.
 
-    Rows of nothing but nulls are counted and dropped. An empty source ends
-    the run without a log line.
+    Rows of nothing but nulls are counted and dropped. How the source's columns differ from the
+    table's goes to SCHEMA_CHANGES. An empty source ends the run without a log line.
     """
     table, source = f"BRZ_MYSQL_{table_name.upper()}", f"MYSQL_{table_name.upper()}"
 
@@ -146,6 +146,7 @@ def sync_table_to_bronze(spark: SparkSession, origin, table_name: str) -> dict:
         if rows.isEmpty():
             return None
         typed = relational.map_types(rows, origin.column_types(table_name))
+        _note_schema(typed, table, source, at)
 
         def good(df: DataFrame) -> DataFrame:
             return add_lineage(validation.drop_all_null(df), source, run_id, at)

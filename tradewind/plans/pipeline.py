@@ -9,7 +9,7 @@ import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from contextvars import copy_context
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +32,17 @@ class Model:
     inputs: tuple[str, ...] = ()
 
 
+@dataclass(frozen=True)
+class Options:
+    """Choices of the models; by default they compute what the reports were made for."""
+
+    #: Keep the newest load of a store only.
+    dedup_stores: bool = False
+    #: Multiply the orders of a SKU by its stock rows in the margins.
+    stock_fanout: bool = True
+    tariff_rates: dict[str, float] = field(default_factory=lambda: dict(rules.TARIFF_RATES))
+
+
 class Once:
     """A DataFrame staged the first time a model asks for it."""
 
@@ -46,7 +57,9 @@ class Once:
         return self._staged
 
 
-def models(spark: SparkSession, as_of=None, names: TableNames = TableNames()) -> list[Model]:
+def models(
+    spark: SparkSession, as_of=None, names: TableNames = TableNames(), options: Options = Options()
+) -> list[Model]:
     """All models in dependency order. Gold reads the written Silver tables.
 
     Five Gold models share one staged aggregate of the orders per store and
@@ -73,7 +86,8 @@ def models(spark: SparkSession, as_of=None, names: TableNames = TableNames()) ->
 
     by_store, by_stock = ("orders", "stores"), ("orders", "inventory")
     return [
-        silver_model("stores", lambda: silver.silver_stores(bronze("stores"), as_of)),
+        silver_model("stores", lambda: silver.silver_stores(
+            bronze("stores"), as_of, options.dedup_stores)),
         silver_model("orders", lambda: silver.silver_orders(
             bronze("orders"), as_of, rules.sku_pattern(names.code))),
         silver_model("inventory", lambda: silver.silver_inventory(bronze("inventory"), as_of)),
@@ -88,13 +102,15 @@ def models(spark: SparkSession, as_of=None, names: TableNames = TableNames()) ->
         gold_model(names.brand_gold("revenue_by_channel"),
                    lambda: gold.revenue_by_channel(sales(), stores(), as_of), *by_store),
         gold_model(names.brand_gold("tariff_impact"),
-                   lambda: gold.tariff_impact(sales(), stores(), as_of), *by_store),
+                   lambda: gold.tariff_impact(sales(), stores(), as_of, options.tariff_rates),
+                   *by_store),
         gold_model(names.brand_gold("store_performance"),
                    lambda: gold.store_targets(sales(), stores(), as_of), *by_store),
         gold_model(names.brand_gold("marketing_roi"),
                    lambda: gold.channel_roi(sales(), stores(), as_of), *by_store),
         gold_model(names.brand_gold("product_margins"),
-                   lambda: gold.product_margins(orders(), inventory(), as_of), *by_stock),
+                   lambda: gold.product_margins(orders(), inventory(), as_of, options.stock_fanout),
+                   *by_stock),
         gold_model(names.brand_gold("customer_360"),
                    lambda: gold.customer_360(orders(), as_of), "orders"),
     ]
@@ -112,11 +128,12 @@ def run_model(model: Model) -> dict:
 
 
 def run_all(
-    spark: SparkSession, as_of=None, names: TableNames = TableNames(), parallel: int = 4
+    spark: SparkSession, as_of=None, names: TableNames = TableNames(), parallel: int = 4,
+    options: Options = Options(),
 ) -> dict:
     """Build every model, Silver before Gold; ``partial`` when some failed."""
     create_product_history(spark, names.product_history)
-    return run_models(spark, models(spark, as_of, names), parallel)
+    return run_models(spark, models(spark, as_of, names, options), parallel)
 
 
 def run_models(spark: SparkSession, planned: list[Model], parallel: int = 4) -> dict:

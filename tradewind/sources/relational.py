@@ -25,6 +25,37 @@ def load_type(source_type: str) -> str:
     return LOAD_TYPES.get(source_type.lower().split("(")[0], "string")
 
 
+def partition_column(keys: list[str], kinds: dict[str, str]) -> str | None:
+    """The first column of the primary key where ranges of it can be read apart, else none.
+
+    ``kinds`` are source types: whole numbers, dates and times have ranges that say how many
+    rows to expect. Only the first column has them in the order of the key's index.
+    """
+    if not keys:
+        return None
+    base = kinds.get(keys[0], "").lower().split("(")[0].split(" ")[0]
+    whole = LOAD_TYPES.get(base) in ("bigint", "timestamp_ntz", "date")
+    return keys[0] if whole else None
+
+
+def read_options(
+    table: str, column: str | None = None, low=None, high=None, partitions: int = 64
+) -> dict[str, str]:
+    """What the JDBC reader is told: one task, or ranges of ``column`` between its bounds.
+
+    Rows outside of the bounds and nulls are read by the outermost tasks, so rows that come in
+    after the bounds were asked are not lost.
+    """
+    options = {"dbtable": table}
+    if column is None or low is None or high is None:
+        return options
+    span = int(high) - int(low) + 1 if not hasattr(low, "year") else partitions
+    return options | {
+        "partitionColumn": column, "lowerBound": str(low), "upperBound": str(high),
+        "numPartitions": str(max(1, min(partitions, span))),
+    }
+
+
 def map_types(df: DataFrame, source_types: dict[str, str]) -> DataFrame:
     """Upper-case names, bytes as numbers, every column in its load type."""
     columns = []
@@ -38,14 +69,17 @@ def map_types(df: DataFrame, source_types: dict[str, str]) -> DataFrame:
 
 @dataclass
 class JdbcSource:
-    """Tables of one database schema, read in parallel over a numeric column."""
+    """Tables of one database schema, each read in parallel over ranges of its primary key.
+
+    ``partition_columns`` names another column for a table, or none to read it in one task.
+    """
 
     spark: SparkSession
     url: str
     schema: str
     properties: dict[str, str] = field(default_factory=dict)
     partitions: int = 64
-    partition_columns: dict[str, str] = field(default_factory=dict)
+    partition_columns: dict[str, str | None] = field(default_factory=dict)
 
     def _query(self, text: str) -> DataFrame:
         return self.spark.read.jdbc(self.url, f"({text}) q", properties=self.properties)
@@ -64,19 +98,32 @@ class JdbcSource:
         )
         return {r["name"]: r["kind"] for r in found.collect()}
 
-    def read(self, table: str) -> DataFrame:
-        column = self.partition_columns.get(table)
-        bounds = (
-            self._query(f"SELECT min({column}) AS low, max({column}) AS high FROM {table}").first()
-            if column
-            else None
-        )
-        if bounds is None or bounds["low"] is None:
-            return self.spark.read.jdbc(self.url, table, properties=self.properties)
-        return self.spark.read.jdbc(
-            self.url, table, column=column, lowerBound=bounds["low"],
-            upperBound=bounds["high"], numPartitions=self.partitions, properties=self.properties,
+    def keys(self, table: str) -> list[str]:
+        """Columns of the primary key, in its order."""
+        found = self._query(
+            "SELECT k.column_name AS name, k.ordinal_position AS place "
+            "FROM information_schema.table_constraints c "
+            "JOIN information_schema.key_column_usage k "
+            "ON k.constraint_name = c.constraint_name AND k.table_schema = c.table_schema "
+            "AND k.table_name = c.table_name "
+            "WHERE c.constraint_type = 'PRIMARY KEY' "
+            f"AND c.table_schema = '{self.schema}' AND c.table_name = '{table}'"
         )
+        return [r["name"] for r in sorted(found.collect(), key=lambda r: r["place"])]
+
+    def options(self, table: str) -> dict[str, str]:
+        if table in self.partition_columns:
+            column = self.partition_columns[table]
+        else:
+            column = partition_column(self.keys(table), self.column_types(table))
+        if column is None:
+            return read_options(table)
+        bounds = self._query(f"SELECT min({column}) AS low, max({column}) AS high FROM {table}")
+        return read_options(table, column, *bounds.select("low", "high").first(), self.partitions)
+
+    def read(self, table: str) -> DataFrame:
+        options = {"url": self.url, **self.properties, **self.options(table)}
+        return self.spark.read.format("jdbc").options(**options).load()
 
 
 @dataclass

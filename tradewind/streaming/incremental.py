@@ -102,7 +102,7 @@ def publish(spark: SparkSession, path: str, table: str) -> None:
 
 def stream_cycle(
     spark: SparkSession, streams: dict[str, DataFrame], path: str, as_of=None,
-    names: TableNames = TableNames(),
+    names: TableNames = TableNames(), options: pipeline.Options = pipeline.Options(),
 ) -> dict:
     """One round over new files of each entity: store, check Bronze, rebuild Silver and Gold."""
     for entity, stream in streams.items():
@@ -111,11 +111,13 @@ def stream_cycle(
         publish(spark, f"{path}/{entity}", table)
     health = pipeline.check_quality(spark, [names.bronze(e) for e in streams], as_of, code=names.code)
     ops.compact(spark)
-    return {"health": health, "transform": pipeline.run_all(spark, as_of, names)}
+    transform = pipeline.run_all(spark, as_of, names, options=options)
+    return {"health": health, "transform": transform}
 
 
 def run_cycle(
-    spark: SparkSession, origin, as_of=None, names: TableNames = TableNames()
+    spark: SparkSession, origin, as_of=None, names: TableNames = TableNames(),
+    options: pipeline.Options = pipeline.Options(),
 ) -> dict:
     """One round: sync every source table, check Bronze, rebuild Silver and Gold."""
     synced = ingest.sync_all(spark, origin)
@@ -124,5 +126,5 @@ def run_cycle(
     return {
         "tables_synced": len(synced),
         "health": health,
-        "transform": pipeline.run_all(spark, as_of, names),
+        "transform": pipeline.run_all(spark, as_of, names, options=options),
     }
