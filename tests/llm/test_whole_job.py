@@ -1,5 +1,6 @@
 """Operators on what their first versions left out."""
 
+import re
 from itertools import combinations
 
 import numpy as np
@@ -185,3 +186,22 @@ def test_automata_of_any_size_find_the_same(spark):
     assert found[1]["items"] == ["1"] and found[2]["items"] == [] and found[6]["items"] == ["3"]
     with pytest.raises(ValueError):
         decontaminate.item_parts(benchmark, max_words=9)
+
+
+def test_slots_are_never_broadcast(spark):
+    """A small corpus has as many slots as words; the driver must not hold a table of them."""
+    words = " ".join(["w"] * 2_000)
+    docs = spark.range(10).select(
+        F.col("id").alias("doc_id"), F.lit("s").alias("source"), F.lit(words).alias("text")
+    )
+    sources = mixing.source_targets(mixing.sizes(docs))
+    filled, length = mixing.schedule(sources, 30_000)
+    _, pieces = mixing.mix(docs)
+    assert length == 1 and pieces.select("slot").distinct().count() > 20_000
+
+    def plan(df):
+        df.collect()
+        return df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+
+    assert re.search(r"SortMergeJoin\(?[^\n]* \[cell#\d+L\]", plan(filled))
+    assert re.search(r"SortMergeJoin\(?[^\n]* \[source_no#\d+L, block#\d+L\]", plan(pieces))

@@ -107,7 +107,8 @@ def schedule(sources: DataFrame, total: float, slots: int = SLOTS) -> tuple[Data
     )
     at = spark.range(count).withColumn("point", F.col("id") * PHI % POINTS)
     at = at.withColumn("cell", F.expr(f"point div {POINTS // CELLS}"))
-    filled = at.join(stretches, "cell").filter("point >= low AND point < high").select(
+    # slots are many even where the corpus is small, and their files are small: never broadcast
+    filled = at.hint("merge").join(stretches, "cell").filter("point >= low AND point < high").select(
         F.col("id").alias("slot"), "source_no", F.floor(F.col("id") / CHUNK).alias("chunk"),
         F.lit(1).alias("one"),
     )
@@ -168,7 +169,7 @@ def mix(
         .withColumn("from", F.col("before") + F.col("lap") * F.col("source_size"))
         .withColumn("to", F.col("from") + F.col("size"))
         .withColumn("block", F.explode(F.expr(f"sequence(from div {words}, (to - 1) div {words})")))
-        .join(slots_of, ["source_no", "block"])
+        .join(slots_of.hint("merge"), ["source_no", "block"])
         .select(
             "slot", "row", "source_no", "before",
             (F.greatest(F.col("from"), F.col("block") * words) - F.col("from")).alias("start"),
