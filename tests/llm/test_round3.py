@@ -78,6 +78,23 @@ def test_minhash_links_of_all_strengths(spark, monkeypatch):
         assert found(df, percent) == grouped(rows, percent)
 
 
+def test_minhash_deals_out_few_rows_of_a_large_group(spark, monkeypatch):
+    """Copies that are not alike share most bands; they must not meet in the square of their number."""
+    monkeypatch.setattr(minhash, "BLOCK", 4)
+    dealt, deal = [], minhash._dealt
+
+    def counted(*tables):
+        dealt.append(deal(*tables))
+        return dealt[-1]
+
+    monkeypatch.setattr(minhash, "_dealt", counted)
+    random = np.random.default_rng(8)
+    rows = list(enumerate(near_copies(random, [f"v{x}" for x in range(150)], 300, 16)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert found(df) == grouped(rows)
+    assert dealt[0].count() < 30 * len(rows)
+
+
 def test_minhash_of_odd_tables(spark, docs, nothing):
     assert minhash.near_duplicates(nothing).collect() == []
     assert found(docs.select("*", F.lit(1).alias("band"), F.lit(2).alias("print"))) == found(docs)

@@ -7,8 +7,11 @@ the two errors partly cancel out. Bands of five values, each from five permutati
 sets; a pair at the similarity asked for meets in no band with a chance of 1e-8.
 
 Bands only propose; links are confirmed on the full sets. In a first round each set is
-compared with one other, the first of its bands. In most bands all sets are linked then.
-What is left of the others is compared block by block, only across the groups known so far.
+compared with one other, the one of its bands that meets most sets, which lies in the middle
+of its like. In most bands all sets are linked then. The sets of the other bands meet again by
+their rarest runs: sets that are alike have one early in both, so a set with many runs of its
+own meets nobody (prefix and position filter, Xiao et al., 2008). Only sets that still meet
+are compared block by block, across the groups known so far.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradewind.llm.components import components
@@ -29,7 +32,7 @@ WORDS, PERCENT = 5, 85
 SEED = 42
 BANDS, ROWS = 32, 5
 #: A task compares two blocks; a block is so many sets, or so many runs, whichever is less.
-BLOCK, BLOCK_RUNS = 128, 1 << 18
+BLOCK, BLOCK_RUNS = 64, 1 << 18
 #: Rows that one copy of a set meets in the first round.
 SHARE = 1000
 #: Hashes that meet the permutations at once.
@@ -198,13 +201,16 @@ def _left_over(met: DataFrame, rooted: DataFrame, tried: DataFrame) -> DataFrame
     compared. ``main`` is the band's largest group: its sets are not compared with each other.
     """
     known = met.join(rooted, "print")
-    pair = F.when(F.col("print") != F.col("head"), F.struct("print", "head"))
+    pair = F.when(
+        F.col("centre") != F.col("head"),
+        F.struct(F.col("print").alias("u"), F.col("head.print").alias("v")),
+    )
     bands_of = known.groupBy("band").agg(
         F.count(F.lit(1)).alias("members"), F.sum(F.hash("print").cast("long")).alias("sum"),
         F.bit_xor(F.xxhash64("print")).alias("mixed"), F.min("root").alias("least"),
         F.max("root").alias("most"), F.max(pair).alias("pair"),
     ).filter("least != most")
-    compared = tried.select(F.struct(F.col("u").alias("print"), F.col("v").alias("head")).alias("pair"))
+    compared = tried.select(F.struct("u", "v").alias("pair"))
     open_pairs = bands_of.filter("members = 2").join(compared, "pair", "left_anti")
     larger = bands_of.filter("members > 2")
     columns = ["members", "sum", "mixed"]
@@ -250,17 +256,53 @@ def _dealt(met: DataFrame, rooted: DataFrame, left_over: DataFrame) -> DataFrame
     )
 
 
+def _headed(met: DataFrame, centres: DataFrame) -> DataFrame:
+    """``met`` with ``head``, the first of ``centres`` in each band; both as (rank, print)."""
+    ranked = met.join(centres, "print")
+    heads = ranked.groupBy("band").agg(F.min("centre").alias("head"))
+    return ranked.join(heads, "band")
+
+
+def _by_rare_runs(sets: DataFrame, percent: int) -> DataFrame:
+    """(band, print, n_shingles): sets listed by their rarest runs, as bands that lose no link.
+
+    With a set's runs in the order of how many sets hold them, the first run that two sets have
+    in common leaves at most the rest of either as their intersection. That must do for a
+    set of ``percent`` of its size, and with the smallest set that holds the run.
+    """
+    runs = sets.select("print", "n", F.explode("runs").alias("band"))
+    shared = runs.groupBy("band").agg(F.count(F.lit(1)).alias("holders")).filter("holders > 1")
+    order = Window.partitionBy("print").orderBy(F.col("holders").desc(), F.col("band").desc())
+    # counted from the end, as runs that no other set holds come first
+    early = runs.join(shared, "band").withColumn("rest", F.row_number().over(order)).filter(
+        100 * F.col("rest") >= percent * F.col("n")
+    )
+    least = early.groupBy("band").agg(
+        F.min("n").alias("least"), F.count(F.lit(1)).alias("holders")
+    ).filter("holders > 1").select("band", "least")
+    return early.join(least, "band").filter(
+        (100 + percent) * F.col("rest") >= percent * (F.col("n") + F.col("least"))
+    ).select("band", "print", F.col("n").alias("n_shingles"))
+
+
 def groups(
     docs: DataFrame, by_print: DataFrame, words: int = WORDS, percent: int = PERCENT
 ) -> DataFrame:
     """(print, root) of every linked print; a root stands for a group."""
     listed = by_print.select("print", "n_shingles", F.explode("bands").alias("band"))
-    heads = listed.groupBy("band").agg(
-        F.min("print").alias("head"), F.count(F.lit(1)).alias("n")
-    ).filter("n > 1").drop("n")
-    met = staged(listed.join(heads, "band"), "bands")
+    shared = listed.groupBy("band").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
+    met = staged(listed.join(shared, "band"), "bands")
+    centres = staged(
+        met.groupBy("print").agg((-F.sum("members")).alias("rank")).select(
+            "print", F.struct("rank", "print").alias("centre")
+        ),
+        "centres",
+    )
+    met = staged(_headed(met.drop("members"), centres), "headed")
     tried = staged(
-        met.filter("print != head").groupBy(F.col("print").alias("u")).agg(F.min("head").alias("v")),
+        met.filter("centre != head").groupBy(F.col("print").alias("u")).agg(
+            F.min("head").getField("print").alias("v")
+        ),
         "first-pairs",
     )
     chosen = by_print.join(met.select("print").distinct(), "print", "left_semi")
@@ -272,8 +314,12 @@ def groups(
         ),
         "first-groups",
     )
-    left_over = staged(_left_over(met, rooted, tried), "left-over")
-    dealt = _dealt(met.select("band", "print"), rooted, left_over)
+    open_sets = met.join(_left_over(met, rooted, tried), "band", "left_semi").select("print")
+    rare = staged(
+        _by_rare_runs(sets.join(open_sets.distinct(), "print", "left_semi"), percent), "rare-runs"
+    )
+    left_over = staged(_left_over(_headed(rare, centres), rooted, tried), "left-over")
+    dealt = _dealt(rare.select("band", "print"), rooted, left_over)
     found = dealt.join(sets, "print").groupBy("band", "p", "q").applyInPandas(
         _across(percent), "u binary, v binary"
     )
