@@ -10,7 +10,7 @@ from seed import AS_OF, bronze_tables
 from tradewind.functions.columns import bytes_to_digits
 from tradewind.operators import history, skew
 from tradewind.operators.dedup import latest_per_key
-from tradewind.plans import dependency
+from tradewind.plans import dependency, gold
 from tradewind.plans.pipeline import Model, Options
 from tradewind.rules import TableNames
 from tradewind.sources import warehouse
@@ -181,6 +181,19 @@ def test_bytes_of_any_width(spark):
     assert got[len(values)] == "0" and got[len(values) + 2] is None
 
 
+def test_stock_rows_are_not_broadcast_by_the_size_of_their_files(spark, tmp_path):
+    stock = spark.range(40_000).selectExpr(
+        "id as inventory_id", "id % 9 as store_id", "'ELF-00001' as product_sku", "'a product' as product_name",
+        "id % 300 as quantity_on_hand", "60 as reorder_point", "1.5D as unit_cost",
+        "timestamp_ntz'2001-01-01' as _loaded_at")
+    stock.write.parquet(str(tmp_path / "stock"))
+    newest = latest_per_key(spark.read.parquet(str(tmp_path / "stock")), ["inventory_id"], "_loaded_at")
+    stores = spark.range(12).selectExpr("id as store_id", "concat('Store ', id) as store_name", "'here' as city")
+    got = gold.inventory_status(newest, stores.hint("merge").join(stores.select("store_id"), "store_id"), AS_OF)
+    assert "Broadcast" not in plan(got)
+    assert (got.count(), got.select("store_name").distinct().count()) == (40_000, 9)
+
+
 def test_logs_stay_few_files(spark, empty_catalog):
     from tradewind.sources import ops
 
