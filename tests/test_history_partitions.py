@@ -117,3 +117,68 @@ def test_repeats_in_a_stream(spark, tmp_path):
     second = sorted([*first, (1, "c", 4), (9, "z", 26), (4, "d", 21)])
     assert take() == (second, 1)
     assert take() == (second, 0)
+
+
+def test_repeats_are_found_among_what_is_stored(spark, tmp_path):
+    """Keys without the moment: a key counts until time is the delay ahead of its stored row."""
+    inbox, store = str(tmp_path / "in"), str(tmp_path / "out")
+    for row in ((1, "a", 0), (1, "b", 9), (1, "c", 14), (2, "x", 40), (1, "d", 45), (1, "e", 60)):
+        deliver(spark, inbox, row)
+    schema = spark.read.parquet(inbox).schema
+
+    def take():
+        stream = incremental.arrivals(spark, inbox, schema, maxFilesPerTrigger="1")
+        rows, late = incremental.distinct_arrivals(stream, store, ["k"], "moment", "10 days")
+        return sorted(r.v for r in rows.collect()), late
+
+    assert take() == (["a", "e", "x"], 0)
+    deliver(spark, inbox, (1, "f", 75), (1, "g", 49))
+    assert take() == (["a", "e", "x"], 1)
+    deliver(spark, inbox, (None, "n", 76), (None, "n", 76), (2, "y", None))
+    assert take() == (["a", "e", "n", "x", "y"], 0)
+    assert not (tmp_path / "out" / "distinct-progress" / "state").exists()  # no key is held in memory
+
+
+def test_stored_batches_without_spans_count(spark, tmp_path):
+    inbox, store = str(tmp_path / "in"), tmp_path / "out"
+    deliver(spark, inbox, (1, "a", 0), (2, "b", 20))
+    schema = spark.read.parquet(inbox).schema
+
+    def take():
+        stream = incremental.arrivals(spark, inbox, schema)
+        rows, late = incremental.distinct_arrivals(stream, str(store), ["k", "v", "moment"], "moment", "10 days")
+        return sorted(r.v for r in rows.collect()), late
+
+    assert take() == (["a", "b"], 0)
+    (store / "distinct-spans").rename(store / "spans-of-before")
+    deliver(spark, inbox, (2, "b", 20), (3, "c", 5))
+    assert take() == (["a", "b"], 1)
+
+
+def test_large_deliveries_are_several_files_and_one_batch_each(spark, tmp_path, monkeypatch):
+    from registry import queries
+
+    lines = spark.range(0, 4000, 1, 4).selectExpr(
+        "id AS l_orderkey", "id % 50 AS l_partkey", "id % 10 AS l_suppkey", "1 AS l_linenumber",
+        "cast(1 + id % 9 AS double) AS l_quantity", "100.0D AS l_extendedprice", "0.0D AS l_discount", "0.0D AS l_tax",
+        "'N' AS l_returnflag", "'O' AS l_linestatus",
+        "timestamp_ntz'1992-06-01' + make_dt_interval(cast(id % 7 * 365 AS int)) AS l_shipdate")
+    heads = lines.selectExpr(
+        "l_orderkey AS o_orderkey", "l_orderkey % 90 AS o_custkey", "'O' AS o_orderstatus",
+        "100.0D AS o_totalprice", "timestamp_ntz'1992-01-01' AS o_orderdate", "'1' AS o_orderpriority")
+    lines.write.parquet(str(tmp_path / "lineitem.parquet"))
+    heads.write.parquet(str(tmp_path / "orders.parquet"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        monkeypatch.setattr(queries, "DELIVERY_FILE_ROWS", 150)
+        path, schema, files_each = queries.order_deliveries(spark, str(tmp_path))
+        got = queries.stream_distinct(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert files_each == 4
+    assert len(spark.read.schema(schema).parquet(path).inputFiles()) == 7 * files_each
+    late = sum(1 for i in range(0, 4000, 7) if (i * 8 + 1) % 11 == 0)
+    assert [tuple(r) for r in got] == [("O", 4000, sum(-q if i % 89 == 0 else q for i in range(4000)
+                                                       for q in [1 + i % 9]), 4000, late)]
