@@ -1,12 +1,14 @@
 """Stored layouts, hot keys, switched views, and runs that rebuild what has changed."""
 
 import datetime as dt
+import random
 import threading
 
 import pytest
 from pyspark.sql import functions as F
 from seed import AS_OF, bronze_tables
 
+from tradewind.functions import columns
 from tradewind.functions.columns import bytes_to_digits
 from tradewind.operators import history, skew
 from tradewind.operators.dedup import latest_per_key
@@ -181,6 +183,19 @@ def test_bytes_of_any_width(spark):
     assert got[len(values)] == "0" and got[len(values) + 2] is None
 
 
+def test_bytes_up_to_sixteen_are_worked_out_without_loops(spark):
+    r = random.Random(3)
+    edges = [10**18, 10**27, 10**36, 10**38, 2**64, 2**72, 2**127, 2**128, 2**136]
+    values = [v + d for v in edges for d in (-1, 0, 1)] + [r.getrandbits(n) for n in range(1, 400, 3)]
+    cells = [v.to_bytes(max(1, (v.bit_length() + 7) // 8) + pad, "big") for v in values for pad in (0, 1, 5)]
+    cells += [bytes(n) for n in (8, 9, 16, 17)] + [b"\xff" * n for n in (8, 9, 15, 16, 17, 32, 33)]
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cells)], "i int, b binary")
+    got = {x.i: x.d for x in df.select("i", bytes_to_digits(F.col("b")).alias("d")).collect()}
+    assert [got[i] for i in range(len(cells))] == [str(int.from_bytes(c, "big")) for c in cells]
+    halves = plan(df.select(columns._digits_of_halves(F.col("b"))))
+    assert "decimal(20,0)" in halves and "lambda" not in halves
+
+
 def test_stock_rows_are_not_broadcast_by_the_size_of_their_files(spark, tmp_path):
     stock = spark.range(40_000).selectExpr(
         "id as inventory_id", "id % 9 as store_id", "'ELF-00001' as product_sku", "'a product' as product_name",
